@@ -66,7 +66,7 @@ def _export(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     raw = docs.selectExpr(
         "doc_id", "cast(doc_id as string) as source_id",
-        "rtrim('=', translate(base64(encode(text, 'utf-8')), '+/', '-_')) as raw",
+        "rtrim('=', translate(base64(encode(text, 'utf-8')), '+/\\r\\n', '-_')) as raw",
     )
     return raw.selectExpr("source_id", f"{EXPORT} as raw")
 

@@ -7,46 +7,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 from pyspark.sql.window import Window
 
-# A key is hot when it holds more than one row in HOT_SHARE, so there can be no
-# more than HOT_SHARE hot keys, whatever the data.
-HOT_SHARE = 1000
+# The most frequent keys are set apart. A key that is not among them holds fewer
+# than one row in HOT_KEYS, whatever the data.
+HOT_KEYS = 1000
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that hold more than 1/HOT_SHARE of the rows: at most HOT_SHARE rows."""
+def hot_keys(df: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
+    """The most frequent keys, counted over all rows: at most `most` rows."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * HOT_SHARE > total).select(key)
+    return counts.orderBy(F.col("_n").desc(), key).limit(most).select(key)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
     """Left join to a table with one row per key, safe for hot keys on the left.
 
-    The right rows of hot keys are at most HOT_SHARE, so they are broadcast. Rows
-    with a hot key are done then; for the shuffled join their key is cleared and
-    they are spread by a hash of the row, so no task receives a hot group.
+    The right rows of the most frequent keys are at most `most`, so they are
+    broadcast. Rows they answer are done; for the shuffled join of the others their
+    key is cleared and they are spread by a hash of the row, and so are rows
+    without a key. No task receives a hot group, and no row is left out.
     """
     payload = [c for c in right.columns if c != key]
     packed = right.select(F.col(key).alias("_key"), F.struct(*payload).alias("_found"))
+    frequent = F.broadcast(hot_keys(left, key, most).select(F.col(key).alias("_key")))
     hot = F.broadcast(
-        packed.join(F.broadcast(hot_keys(left, key)), packed["_key"] == F.col(key), "left_semi")
-        .select(F.col("_key").alias("_hot_key"), F.col("_found").alias("_hot"))
-    )
-    spread = F.struct(
-        F.when(F.col("_hot").isNull(), F.col(key)).alias("k"),
-        F.when(
-            F.col("_hot").isNotNull() | F.col(key).isNull(),
-            F.xxhash64(*[f.name for f in left.schema.fields if isinstance(f.dataType, AtomicType)]),
-        ).alias("salt"),
+        packed.join(frequent, "_key", "left_semi").select(
+            F.col("_key").alias("_hot_key"), F.col("_found").alias("_hot")
+        )
     )
+    done = F.col("_hot").isNotNull() | F.col(key).isNull()
+    row_hash = F.xxhash64(*[f.name for f in left.schema.fields if isinstance(f.dataType, AtomicType)])
+    no_salt = F.lit(None).cast("bigint")
+    spread = F.struct(F.when(~done, F.col(key)).alias("k"), F.when(done, row_hash).alias("salt"))
     cold = packed.select(
-        F.struct(F.col("_key").alias("k"), F.lit(None).cast("bigint").alias("salt")).alias("_cold_key"),
+        F.struct(F.col("_key").alias("k"), no_salt.alias("salt")).alias("_cold_key"),
         F.col("_found").alias("_cold"),
     )
     joined = (
         left.join(hot, F.col(key) == F.col("_hot_key"), "left")
         .withColumn("_spread", spread)
-        .join(cold, F.col("_spread").eqNullSafe(F.col("_cold_key")), "left")
+        .join(cold, F.col("_spread") == F.col("_cold_key"), "left")
     )
     found = F.coalesce("_hot", "_cold")
     return joined.select(*[F.col(c) for c in left.columns], *[found[c].alias(c) for c in payload])
