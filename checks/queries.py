@@ -331,7 +331,7 @@ def _mail(spark, sf_dir):
 , verdicts AS (
   SELECT source_id, doc_id % 7 = 0 AS unknown,
          list_filter([CASE WHEN doc_id % 4 = 1 THEN 'spf' END, CASE WHEN doc_id % 6 = 1 THEN 'dkim' END,
-                      CASE WHEN doc_id % 9 = 2 THEN 'dmarc' END], x -> x IS NOT NULL) AS failed
+                      CASE WHEN doc_id % 9 = 2 THEN 'dmarc' END], lambda x: x IS NOT NULL) AS failed
   FROM mail_expected)
 SELECT source_id, 1 AS layer, 'auth_fail' AS name,
        CASE WHEN unknown THEN 0.0::DOUBLE WHEN list_contains(failed, 'dmarc') THEN 1.0 WHEN len(failed) = 2 THEN 0.8 ELSE 0.5 END AS score,
@@ -846,7 +846,7 @@ def actions(spark, sf_dir):
 
 @query("assessments", with_views("levelled") + """
 SELECT message_id, score, level, CASE WHEN len(layers_completed) = 4 THEN 'all layers completed'
-  ELSE 'not completed: L' || array_to_string(list_filter([1, 2, 3, 4], x -> NOT list_contains(layers_completed, x)), ', L') END AS summary,
+  ELSE 'not completed: L' || array_to_string(list_filter([1, 2, 3, 4], lambda x: NOT list_contains(layers_completed, x)), ', L') END AS summary,
   epoch_us(TIMESTAMP '2024-02-01') AS scored_us FROM levelled""")
 def assessments(spark, sf_dir):
     made = _assessments(spark, sf_dir)
