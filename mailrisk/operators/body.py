@@ -36,13 +36,10 @@ def zero_width_signals(messages: DataFrame, key: str = "message_id") -> DataFram
 
 
 def char_grams(text: Column, n: int) -> Column:
-    """All runs of n characters. Characters are split once, so it is one pass over the text."""
-    chars = F.split(text, "")
-    starts = F.sequence(F.lit(0), F.size(chars) - n)
-    return F.when(
-        F.size(chars) >= n,
-        F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])),
-    ).otherwise(F.array().cast("array<string>"))
+    """All runs of n characters, in one pass: a match of no length at every character."""
+    return F.regexp_extract_all(
+        text, F.lit(f"(?s)(?![\\x{{DC00}}-\\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1)
+    )
 
 
 def gram_columns(df: DataFrame, text_col: str) -> DataFrame:
