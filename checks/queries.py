@@ -973,3 +973,31 @@ def layer_health(spark, sf_dir):
 SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 1000 < 200 AS heldout FROM documents""")
 def holdout(spark, sf_dir):
     return evaluation.holdout(table(spark, sf_dir, "documents").select("doc_id"), 0.2, "doc_id")
+
+
+# --- whole plan ----------------------------------------------------------------
+
+
+@query("assess_mail", with_views("mail_expected") + """
+, l1 AS (
+  SELECT source_id, message_id, CASE WHEN auth IS NULL AND replied IS NULL AND unknown THEN NULL ELSE greatest(coalesce(auth, 0), coalesce(replied, 0)) END AS score
+  FROM (SELECT source_id, CASE WHEN doc_id % 5 <> 0 THEN '<' || doc_id || '@' || source || '.example.com>' END AS message_id,
+          doc_id % 7 = 0 AS unknown, CASE WHEN reply_to LIKE '%@other.example.org' THEN 0.7::DOUBLE END AS replied,
+          CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 9 = 2 THEN 1.0::DOUBLE WHEN doc_id % 4 = 1 AND doc_id % 6 = 1 THEN 0.8
+               WHEN doc_id % 4 = 1 OR doc_id % 6 = 1 THEN 0.5 END AS auth
+        FROM mail_expected))
+SELECT source_id, message_id, round(coalesce(0.3 * score / 0.8, 0), 6) AS score,
+       CASE WHEN 0.3 * score / 0.8 >= 0.35 THEN 'medium' ELSE 'low' END AS level,
+       'not completed: L4' AS summary
+FROM l1""")
+def assess_mail(spark, sf_dir):
+    """Raw mail to assessments over the standard layers; no feeds, so layer 4 cannot complete."""
+    from mailrisk.plans import assess_mail as plan
+
+    weights, thresholds = config.load_weights(spark, WEIGHTS_FILE)
+    layers = plan.standard_layers(plan.Records(V.suffixes(spark, sf_dir)))
+    done = plan.assess_mail(
+        V.raw_mail(spark, sf_dir), layers, weights, thresholds, F.lit(datetime(2024, 2, 1)).cast("timestamp")
+    )
+    given = F.when(~F.col("message_id").startswith("sha256:"), F.col("message_id"))
+    return done.assessments.select("source_id", given.alias("message_id"), _rounded("score"), "level", "summary")

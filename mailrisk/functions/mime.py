@@ -23,6 +23,30 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BODY_TYPES = ("text/plain", "text/html")
 
+# Headers that were decoded already in this task. Content types, versions, senders and
+# recipients repeat from message to message, and the library decodes a header again at
+# every look. Long values are not kept, and the table starts over when it is full.
+_decoded_headers: dict = {}
+CACHED_HEADERS = 4096
+CACHED_LENGTH = 512
+
+
+class _DecodeOnce(policy.EmailPolicy):
+    """The library's default policy, remembering decoded headers."""
+
+    def header_fetch_parse(self, name, value):
+        found = _decoded_headers.get((name, value))
+        if found is None:
+            found = super().header_fetch_parse(name, value)
+            if len(value) <= CACHED_LENGTH:
+                if len(_decoded_headers) >= CACHED_HEADERS:
+                    _decoded_headers.clear()
+                _decoded_headers[name, value] = found
+        return found
+
+
+_POLICY = _DecodeOnce()
+
 
 def _attempt(call, default=None):
     """Call into the mail library, which may raise on hostile input."""
@@ -58,7 +82,7 @@ def _text_of(part) -> str:
 
 
 def _parse(raw: bytes):
-    modern = _attempt(lambda: email.message_from_bytes(raw, policy=policy.default))
+    modern = _attempt(lambda: email.message_from_bytes(raw, policy=_POLICY))
     return modern if modern is not None else email.message_from_bytes(raw)
 
 

@@ -140,9 +140,14 @@ def _links_type() -> str:
 
 
 def assemble_messages(decoded: DataFrame, keep_raw: bool = False) -> DataFrame:
-    """The `messages` table from decoded rows."""
+    """The `messages` table from decoded rows.
+
+    Columns that came along with the raw messages are kept. A row that could not be
+    decoded has its reason in `error` and nothing else.
+    """
     raw = [F.col("content").alias("raw")] if keep_raw else []
-    return choose_bodies(readable(decoded)).select(
+    along = [c for c in decoded.columns if c not in ("source_id", "content", "mail")]
+    return choose_bodies(decoded).select(
         "source_id",
         message_id().alias("message_id"),
         F.col("mail.from_addr").alias("from_addr"),
@@ -156,10 +161,12 @@ def assemble_messages(decoded: DataFrame, keep_raw: bool = False) -> DataFrame:
         headers_map().alias("headers"),
         received_chain().alias("received_chain"),
         attachment_array().alias("attachments"),
+        F.col("mail.error").alias("error"),
+        *along,
         *raw,
     )
 
 
 def normalize_messages(raw: DataFrame, keep_raw: bool = False) -> DataFrame:
     """raw_messages to `messages`; undecodable rows are left to parse_rejects."""
-    return assemble_messages(decode_messages(raw), keep_raw)
+    return assemble_messages(readable(decode_messages(raw)), keep_raw).drop("error")
