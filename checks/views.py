@@ -25,9 +25,25 @@ SCHEMAS = {
 }
 
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table. Text and markup are dealt to all cores when the file has too few splits.
+
+    The driver writes one row group per table, which one task would read and decode
+    alone. A table with a split or more for every core is read as it is.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    frame = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and _bytes(frame) < cores * SPLIT_BYTES:
+        return frame.repartition(cores)
+    return frame
+
+
+def _bytes(frame: DataFrame) -> int:
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def with_views(*names: str) -> str:
