@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -14,9 +16,11 @@ from mailrisk.functions import exprs
 from mailrisk.operators.signals import emit
 from mailrisk.operators.skew import lookup_join
 from mailrisk.schemas import MIN_TOKENS
+from mailrisk.session import cut_lineage
 
 # A sentence ends at closing punctuation followed by space, or at a line break.
-SENTENCE_END = "[.!?]+(?:[ \\t\\r\\n]+|$)|[\\r\\n]+"
+# A run of punctuation is tried once, from its start.
+SENTENCE_END = "(?<![.!?])[.!?]++(?:[ \\t\\r\\n]+|$)|[\\r\\n]+"
 
 
 def zero_width_signals(messages: DataFrame, key: str = "message_id") -> DataFrame:
@@ -50,24 +54,35 @@ def gram_columns(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def urgency_stages(features: int = 1 << 18) -> list:
-    """TF-IDF over words, word pairs and character 3-5-grams."""
+def _term_stages(features: int) -> list:
+    """Counts of words with word pairs, and of character 3-5-grams, hashed to `features` columns each."""
     return [
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS word_grams FROM __THIS__"),
         HashingTF(inputCol="word_grams", outputCol="word_tf", numFeatures=features),
         HashingTF(inputCol="chars", outputCol="char_tf", numFeatures=features),
+    ]
+
+
+def _weight_stages() -> list:
+    return [
         IDF(inputCol="word_tf", outputCol="word_tfidf"),
         IDF(inputCol="char_tf", outputCol="char_tfidf"),
         VectorAssembler(inputCols=["word_tfidf", "char_tfidf"], outputCol="features"),
     ]
 
 
+def _terms(df: DataFrame, text_col: str, features: int, *kept: str) -> DataFrame:
+    """Term counts, written once: fitting reads them several times, the texts only now."""
+    grams = gram_columns(df, text_col)
+    counted = PipelineModel(_term_stages(features)).transform(grams)
+    return cut_lineage(counted.select(*kept, "word_tf", "char_tf"))
+
+
 def urgency_features(df: DataFrame, text_col: str = "text", features: int = 1 << 18) -> DataFrame:
     """Feature vectors of a corpus, weighted by document frequency in that corpus."""
-    grams = gram_columns(df, text_col)
-    model = Pipeline(stages=urgency_stages(features)).fit(grams)
-    return model.transform(grams).select(*df.columns, "features")
+    terms = _terms(df, text_col, features, *df.columns)
+    return Pipeline(stages=_weight_stages()).fit(terms).transform(terms).select(*df.columns, "features")
 
 
 def fit_urgency(
@@ -75,10 +90,13 @@ def fit_urgency(
     features: int = 1 << 18, max_iter: int = 20,
 ) -> PipelineModel:
     """Fit the urgency classifier on labelled mail."""
-    grams = gram_columns(train.where(F.col(label_col).isNotNull()), text_col)
-    labelled = grams.withColumn("label", F.col(label_col).cast("double"))
+    labelled = train.where(F.col(label_col).isNotNull()).select(
+        text_col, F.col(label_col).cast("double").alias("label")
+    )
+    terms = _terms(labelled, text_col, features, "label")
     last = LogisticRegression(maxIter=max_iter, regParam=0.01, featuresCol="features", labelCol="label")
-    return Pipeline(stages=[*urgency_stages(features), last]).fit(labelled)
+    fitted = Pipeline(stages=[*_weight_stages(), last]).fit(terms)
+    return PipelineModel([*_term_stages(features), *fitted.stages])
 
 
 def score_urgency(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,48 +139,53 @@ def token_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 def fit_ngram_lm(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """Add-one model of a reference corpus: lm(token, nll), and one row (NULL, nll) for the unseen.
 
-    nll is the negative natural logarithm of the smoothed probability.
+    nll is the negative natural logarithm of the smoothed probability. The counts are
+    written once; the model itself is a projection of them.
     """
-    counts = token_counts(corpus, text_col)
-    size = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).select(
-        (F.col("total") + F.col("kinds")).alias("mass")
-    )
-    mass = F.coalesce(size.scalar(), F.lit(1)).cast("double")
+    counts = cut_lineage(token_counts(corpus, text_col))
+    size = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
+    mass = float((size["total"] or 0) + size["kinds"]) or 1.0
     seen = counts.select("token", (-F.log((F.col("n") + 1) / mass)).alias("nll"))
-    unseen = size.select(
-        F.lit(None).cast("string").alias("token"),
-        (-F.log(F.lit(1.0) / F.coalesce("mass", F.lit(1)))).alias("nll"),
+    unseen = corpus.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("token"), F.lit(math.log(mass)).alias("nll")
     )
     return seen.unionByName(unseen)
 
 
+# A model of at most this many words is broadcast; a larger one is joined by word.
+MAX_BROADCAST_WORDS = 1_000_000
+
+
 def sentence_scores(
     messages: DataFrame,
     lm: DataFrame,
     text_col: str = "body_text",
     key: str = "message_id",
     max_tokens: int | None = None,
+    broadcast_words: int = MAX_BROADCAST_WORDS,
 ) -> DataFrame:
     """sentence_scores(key, sentence, tokens, nll): mean nll of each sentence with a word.
 
     Whole texts are scored; max_tokens limits a message to its first tokens, as a
-    model with a fixed context would. Words are counted per sentence before they are
-    looked up, and frequent words never gather in one task.
+    model with a fixed context would. While the model is small its words are looked
+    up where the text is, and all that is shuffled is one sum per sentence. A larger
+    model is joined by word, with the frequent words of these texts set apart.
     """
     words_of = F.transform(F.split(F.col(text_col), SENTENCE_END), exprs.word_tokens)
     if max_tokens is not None:
         words_of = _first_tokens(words_of, max_tokens)
-    sentences = messages.select(key, F.posexplode(words_of).alias("sentence", "_words"))
-    words = (
-        sentences.select(key, "sentence", F.explode("_words").alias("token"))
-        .groupBy(key, "sentence", "token")
-        .agg(F.count("*").alias("n"))
+    words = messages.select(key, F.posexplode(words_of).alias("sentence", "_words")).select(
+        key, "sentence", F.posexplode("_words").alias("position", "token")
     )
-    unseen = lm.where(F.col("token").isNull()).select("nll").scalar()
-    known = lookup_join(words, lm.where(F.col("token").isNotNull()), "token")
-    scored = known.withColumn("nll", F.coalesce("nll", unseen))
-    return scored.groupBy(key, "sentence").agg(
-        F.sum("n").alias("tokens"), (F.sum(F.col("nll") * F.col("n")) / F.sum("n")).alias("nll")
+    unseen = lm.where(F.col("token").isNull()).first()["nll"]
+    model = lm.where(F.col("token").isNotNull())
+    if model.limit(broadcast_words + 1).count() <= broadcast_words:
+        found = words.join(F.broadcast(model), "token", "left")
+    else:
+        hot = token_counts(messages, text_col).orderBy(F.col("n").desc(), "token")
+        found = lookup_join(words, model, "token", hot=hot)
+    return found.groupBy(key, "sentence").agg(
+        F.count("*").alias("tokens"), F.avg(F.coalesce("nll", F.lit(unseen))).alias("nll")
     )
 
 

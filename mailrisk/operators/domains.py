@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.session import if_small
+from mailrisk.operators.skew import lookup_join
+from mailrisk.session import is_small
 
 # A public-suffix list has about ten thousand rules.
 MAX_BROADCAST_RULES = 200_000
@@ -26,7 +27,11 @@ def suffix_rules(suffixes: DataFrame) -> DataFrame:
 
 
 def registrable_domain(
-    df: DataFrame, host_col: str, suffixes: DataFrame, out: str = "registrable_domain"
+    df: DataFrame,
+    host_col: str,
+    suffixes: DataFrame,
+    out: str = "registrable_domain",
+    max_broadcast: int = MAX_BROADCAST_RULES,
 ) -> DataFrame:
     """Add the registrable domain of a host.
 
@@ -38,11 +43,12 @@ def registrable_domain(
     Only the last n labels can match, n being the longest rule, so the host table
     gets n equality lookups on the rule table and is neither exploded nor regrouped.
     With the usual rule list every lookup is a broadcast and the host table is not
-    shuffled at all.
+    shuffled at all. A list beyond the bound is joined by suffix, and hosts of the
+    common suffixes do not gather in one task.
     """
     rules = suffix_rules(suffixes)
     depth = rules.agg(F.max(F.size(F.split("suffix", "\\.")))).first()[0] or 0
-    rules = if_small(rules, MAX_BROADCAST_RULES)
+    small = is_small(rules, max_broadcast)
 
     host = F.col(host_col)
     labels = F.size(F.split(host, "\\."))
@@ -50,11 +56,13 @@ def registrable_domain(
     def add_rule(frame: DataFrame, n: int) -> DataFrame:
         """Left join the rule spelled by the last n labels."""
         tail = F.when(labels >= n, F.substring_index(host, ".", -n))
+        key = f"_suffix{n}"
         rule = rules.select(
-            F.col("suffix").alias(f"_suffix{n}"),
-            F.struct("normal", "wildcard", "exception").alias(f"_rule{n}"),
+            F.col("suffix").alias(key), F.struct("normal", "wildcard", "exception").alias(f"_rule{n}")
         )
-        return frame.join(rule, tail == F.col(f"_suffix{n}"), "left").drop(f"_suffix{n}")
+        asked = frame.withColumn(key, tail)
+        joined = asked.join(F.broadcast(rule), key, "left") if small else lookup_join(asked, rule, key)
+        return joined.drop(key)
 
     steps = range(1, depth + 1)
     joined = reduce(add_rule, steps, df)

@@ -9,8 +9,9 @@ from mailrisk.functions import exprs
 from mailrisk.operators.domains import registrable_domain
 from mailrisk.operators.lookups import ttl_lookup
 from mailrisk.operators.signals import emit
+from mailrisk.operators.skew import lookup_join
 from mailrisk.schemas import DOMAIN_TTL_S
-from mailrisk.session import if_small
+from mailrisk.session import is_small
 
 MECHANISMS = ("spf", "dkim", "dmarc")
 FAILED = ("fail", "softfail", "permerror")
@@ -120,16 +121,20 @@ def brand_domains(brands: DataFrame) -> DataFrame:
     )
 
 
-def named_brands(df: DataFrame, text_col: str, brands: DataFrame) -> DataFrame:
+def named_brands(
+    df: DataFrame, text_col: str, brands: DataFrame, max_broadcast: int = MAX_BRANDS
+) -> DataFrame:
     """Rows of df once per brand token their text names, with the brand's domains.
 
-    The brand list is broadcast after its size is checked. A longer list is
-    joined on the token with the optimizer's own handling of skew.
+    The brand list is broadcast after its size is checked. A longer list is joined
+    by token, with the frequent tokens of these texts set apart.
     """
     tokens = F.explode(F.array_distinct(exprs.word_tokens(F.col(text_col))))
-    return df.select(*df.columns, tokens.alias("token")).join(
-        if_small(brand_domains(brands), MAX_BRANDS), "token"
-    )
+    words = df.select(*df.columns, tokens.alias("token"))
+    known = brand_domains(brands)
+    if is_small(known, max_broadcast):
+        return words.join(F.broadcast(known), "token")
+    return lookup_join(words, known, "token").where("domains IS NOT NULL")
 
 
 def impersonation_signals(

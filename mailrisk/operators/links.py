@@ -38,7 +38,7 @@ def hidden_addresses(url: Column) -> Column:
         F.concat(params, values), lambda t: F.regexp_replace(t, "(?i)%3d", "=")
     )
     decoded = F.transform(F.array_distinct(tokens), _decoded_text)
-    return F.array_distinct(F.filter(decoded, lambda d: d.rlike(exprs.EMAIL)))
+    return F.array_distinct(F.filter(decoded, exprs.is_address))
 
 
 def base64_email_signals(observations: DataFrame, key: str = "message_id") -> DataFrame:

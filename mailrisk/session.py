@@ -55,12 +55,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """True when the table is counted to be within max_rows; counting stops one row past it."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only when the table is counted to be within max_rows.
 
-    Counting stops one row past the bound. A larger table is returned without a
-    hint, and the join is then a shuffled one chosen by the optimizer.
+    A larger table is returned without a hint, and the join is then a shuffled one
+    chosen by the optimizer.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df, max_rows) else df

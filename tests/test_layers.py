@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from mailrisk.functions import exprs
 from mailrisk.operators import body, headers, intel, links
 
 SUFFIXES = [("com", "normal"), ("org", "normal"), ("uk", "normal"), ("co.uk", "normal")]
@@ -51,6 +52,9 @@ def test_impersonation(spark, suffixes):
     frame = spark.createDataFrame(rows, "message_id string, from_display string, from_addr string")
     got = by_message(headers.impersonation_signals(frame, brands, suffixes))
     assert {k: r["metadata"]["brands"] for k, r in got.items()} == {"pose": "bank, post", "nosender": "post"}
+    near, far = (headers.named_brands(frame, "from_display", brands, most) for most in (10, 0))
+    pairs = lambda df: sorted((r["message_id"], r["token"], sorted(r["domains"])) for r in df.collect())
+    assert pairs(near) == pairs(far) and len(pairs(near)) == 4
 
 
 def test_domain_age_abstains_on_the_unknown(spark):
@@ -75,6 +79,8 @@ def test_base64_addresses(spark):
         "bare": "https://x.example/#" + code("victim@corp.example.com", False),
         "escaped": "https://x.example/?a=1&e=" + code("vi@corp.example.com").replace("=", "%3D"),
         "tracking": "https://x.example/?utm=" + code("campaign-2024-01") + "&id=" + code("12345678@"),
+        "dots": "https://x.example/?e=" + code("victim@corp..example.com"),
+        "long": "https://x.example/?e=" + code("v@" + "a." * 20000 + "!"),
         "binary": "https://x.example/?b=" + base64.urlsafe_b64encode(bytes(range(200, 230))).decode(),
         "path": "https://x.example/" + code("victim@corp.example.com"),
         "plain": "https://x.example/?e=victim@corp.example.com",
@@ -123,12 +129,25 @@ def test_zero_width(spark):
     assert {k: r["metadata"]["count"] for k, r in got.items()} == {"subject": "1", "body": "4"}
 
 
+def test_long_runs_take_linear_time(spark):
+    """A megabyte of dots, of spaces and of brackets: each is read once."""
+    n = 1_000_000
+    texts = spark.createDataFrame([("dots", "." * n + "x"), ("spaces", " " * n + "x. y"), ("brackets", "http://x/" + ")" * n + "y")], "message_id string, body_text string")
+    parts = texts.select("message_id", F.size(F.split("body_text", body.SENTENCE_END)).alias("n"))
+    assert {r["message_id"]: r["n"] for r in parts.collect()} == {"dots": 1, "spaces": 2, "brackets": 1}
+    ends = texts.select(F.length(F.array_join(exprs.text_url_array(F.col("body_text")), "")).alias("n"), F.length(exprs.strip(F.col("body_text"))).alias("m"))
+    assert {(r["n"], r["m"]) for r in ends.collect()} == {(0, n + 1), (0, 4), (n + 10, n + 10)}
+
+
 def test_token_limit_cuts_across_sentences(spark):
     texts = spark.createDataFrame([("m", "one two three. four five!\n\nsix seven eight nine"), ("empty", ""), ("null", None)], "message_id string, body_text string")
     lm = body.fit_ngram_lm(texts, "body_text")
     shape = lambda n: {(r["sentence"], r["tokens"]) for r in body.sentence_scores(texts, lm, max_tokens=n).collect()}
     whole = shape(None)
     assert {t for _, t in whole} == {3, 2, 4} and len(whole) == 3
+    near = {tuple(r) for r in body.sentence_scores(texts, lm).collect()}
+    far = {tuple(r) for r in body.sentence_scores(texts, lm, broadcast_words=0).collect()}
+    assert {r[:3] for r in near} == {r[:3] for r in far} and sum(r[3] for r in near) == pytest.approx(sum(r[3] for r in far))
     assert sum(t for _, t in shape(4)) == 4 and sum(t for _, t in shape(6)) == 6 and shape(100) == whole
     unseen = spark.createDataFrame([("u", "never heard")], "message_id string, body_text string")
     row = body.sentence_scores(unseen, lm).first()

@@ -90,6 +90,8 @@ def test_registrable_domains(spark):
         "no.rule.test": "rule.test", "localhost": None, "192.0.2.7": "192.0.2.7",
     }
     hosts = spark.createDataFrame([(k,) for k in cases] + [(None,)], "host string")
+    far = domains.registrable_domain(hosts, "host", rules, "d", max_broadcast=0)
+    assert {r["host"]: r["d"] for r in far.collect()} == {**cases, None: None}
     found = domains.registrable_domain(hosts, "host", rules, "d")
     assert {r["host"]: r["d"] for r in found.collect()} == {**cases, None: None}
     assert "Exchange hashpartitioning(host" not in found._jdf.queryExecution().executedPlan().toString()
