@@ -572,6 +572,19 @@ def _labelled(spark, sf_dir):
 URGENCY_FEATURES = 1 << 14
 
 
+@query("urgency_grams", f"""
+SELECT doc_id, CAST(len({TOKENS.format('text')}) AS INTEGER) AS words,
+       CAST(greatest(len(lower(text)) - 2, 0) + greatest(len(lower(text)) - 3, 0) + greatest(len(lower(text)) - 4, 0) AS INTEGER) AS char_grams,
+       substr(lower(text), 1, 3) AS first_gram FROM documents""")
+def urgency_grams(spark, sf_dir):
+    """The grams that urgency features are counted from."""
+    grams = body.gram_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return grams.select(
+        "doc_id", F.size("words").alias("words"), F.size("chars").alias("char_grams"),
+        F.get("chars", F.lit(0)).alias("first_gram"),
+    )
+
+
 @query("urgency_features")
 def urgency_features(spark, sf_dir):
     """TF-IDF vectors of whole texts, by the number of their non-zero entries."""
