@@ -17,7 +17,7 @@ from mailrisk.operators import (
     body, domains, evaluation, headers, intel, links, lookups, messages, observations, results, scoring,
 )
 from mailrisk.schemas import DOMAIN_TTL_S
-from mailrisk.session import cut_lineage, shared_folder
+from mailrisk.session import cut_lineage, work_folder
 from mailrisk.sources import assessments as stored
 from mailrisk.sources import config, mailbox
 
@@ -47,7 +47,7 @@ def _rounded(column: str, digits: int = 6):
 SELECT CAST(item_id AS VARCHAR) AS subject, 'item@example.com' AS from_addr, text || chr(10) AS body_text FROM benchmark""")
 def message_files(spark, sf_dir):
     """Message files written to the shared folder, then read as binary files and normalised."""
-    path = f"{shared_folder(spark)}/mailrisk/files-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/files-{uuid.uuid4().hex}"
     mail = F.concat(
         F.lit("From: item@example.com\nSubject: "), "item_id",
         F.lit('\nContent-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: 8bit\n\n'), "text",
@@ -63,7 +63,7 @@ EXPORT = """CASE doc_id % 9 WHEN 1 THEN NULL WHEN 2 THEN concat(raw, '!!!') WHEN
 
 
 def _export(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     raw = docs.selectExpr(
         "doc_id", "cast(doc_id as string) as source_id",
         "rtrim('=', translate(base64(encode(text, 'utf-8')), '+/\\r\\n', '-_')) as raw",
@@ -108,7 +108,7 @@ SELECT CAST(user_id AS VARCHAR) AS message_id, round(least(1.0::DOUBLE, arg_max(
 FROM events GROUP BY user_id ORDER BY max(ts) DESC, message_id LIMIT 100""")
 def latest_assessments(spark, sf_dir):
     """Written to the store by level, read back, newest first."""
-    path = f"{shared_folder(spark)}/mailrisk/assessments-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/assessments-{uuid.uuid4().hex}"
     score = F.round(F.least(F.lit(1.0), F.col("value") / 100), 9)
     made = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("message_id"),
@@ -238,7 +238,7 @@ def html_text(spark, sf_dir):
     """Visible text of pages: headings are there, scripts and styles are not."""
     from mailrisk.functions.html import html_scan
 
-    scanned = table(spark, sf_dir, "pages").withColumn("scan", html_scan("html"))
+    scanned = table(spark, sf_dir, "pages", spread=True).withColumn("scan", html_scan("html"))
     heading = F.trim(F.replace(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("&amp;"), F.lit("&")))
     text = F.col("scan.text")
     return scanned.select(
@@ -256,12 +256,12 @@ SELECT page_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, 'anchor_h
        regexp_extract(unnest(m), 'href="([^"]*)"', 1) AS href, regexp_extract(unnest(m), '>([^<]*)<', 1) AS anchor_text
 FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS m FROM pages)""")
 def html_links(spark, sf_dir):
-    return observations.html_links(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    return observations.html_links(table(spark, sf_dir, "pages", spread=True).select("page_id", "html"), "html")
 
 
 @query("href_classes")
 def href_classes(spark, sf_dir):
-    found = observations.html_links(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    found = observations.html_links(table(spark, sf_dir, "pages", spread=True).select("page_id", "html"), "html")
     every = found.select(F.explode(F.array(
         F.col("href"), F.concat(F.lit(" HTTPS://x.example"), "href"), F.concat(F.lit("mailto:"), "href"),
         F.concat(F.lit("#"), "href"), F.concat(F.lit("javaScript:"), "href"), F.concat(F.lit("cid:"), "href"),
@@ -438,7 +438,7 @@ def redirect_signals(spark, sf_dir):
 
 
 def _landing_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").selectExpr("url", """concat(html, CASE page_id % 4
+    return table(spark, sf_dir, "pages", spread=True).selectExpr("url", """concat(html, CASE page_id % 4
       WHEN 0 THEN '<div class="CF-Turnstile"></div>' WHEN 1 THEN '<script src="https://www.google.com/recaptcha/api.js"></script><div class="h-captcha">'
       ELSE '' END) as html""")
 
@@ -477,7 +477,7 @@ def qr_signals(spark, sf_dir):
 
 def _bodies(spark, sf_dir):
     """Documents as message bodies, with zero-width characters in some."""
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         F.col("doc_id").cast("string").alias("message_id"),
         F.expr("if(doc_id % 6 = 0, 'in\\u200bvoice', 'invoice')").alias("subject"),
         F.expr("if(doc_id % 10 < 3, replace(text, ' the ', ' t\\u200dh\\ufeffe '), text)").alias("body_text"),
@@ -512,27 +512,27 @@ shape AS (
 
 
 def _plain_bodies(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         F.col("doc_id").cast("string").alias("message_id"), F.col("text").alias("body_text")
     )
 
 
 def _shape(spark, sf_dir):
     bodies_ = _plain_bodies(spark, sf_dir)
-    lm = body.fit_ngram_lm(table(spark, sf_dir, "documents"))
+    lm = body.fit_ngram_lm(table(spark, sf_dir, "documents", spread=True))
     return body.text_shape(body.sentence_scores(bodies_, lm), bodies_)
 
 
 @query("language_model", LANGUAGE_MODEL + "SELECT token, round(nll, 6) AS nll FROM lm")
 def language_model(spark, sf_dir):
-    lm = body.fit_ngram_lm(table(spark, sf_dir, "documents"))
+    lm = body.fit_ngram_lm(table(spark, sf_dir, "documents", spread=True))
     return lm.where("token IS NOT NULL").select("token", _rounded("nll"))
 
 
 @query("sentence_scores", LANGUAGE_MODEL + """
 SELECT message_id, CAST(sentence AS INTEGER) AS sentence, tokens, round(nll, 6) AS nll FROM scored""")
 def sentence_scores(spark, sf_dir):
-    lm = body.fit_ngram_lm(table(spark, sf_dir, "documents"))
+    lm = body.fit_ngram_lm(table(spark, sf_dir, "documents", spread=True))
     scored = body.sentence_scores(_plain_bodies(spark, sf_dir), lm)
     return scored.select("message_id", "sentence", "tokens", _rounded("nll"))
 
@@ -565,7 +565,7 @@ def text_shape(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id", "left")
 
 
@@ -578,7 +578,7 @@ SELECT doc_id, CAST(len({TOKENS.format('text')}) AS INTEGER) AS words,
        substr(lower(text), 1, 3) AS first_gram FROM documents""")
 def urgency_grams(spark, sf_dir):
     """The grams that urgency features are counted from."""
-    grams = body.gram_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    grams = body.gram_columns(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), "text")
     return grams.select(
         "doc_id", F.size("words").alias("words"), F.size("chars").alias("char_grams"),
         F.get("chars", F.lit(0)).alias("first_gram"),
@@ -588,7 +588,7 @@ def urgency_grams(spark, sf_dir):
 @query("urgency_features")
 def urgency_features(spark, sf_dir):
     """TF-IDF vectors of whole texts, by the number of their non-zero entries."""
-    found = body.urgency_features(table(spark, sf_dir, "documents").select("doc_id", "text"), features=URGENCY_FEATURES)
+    found = body.urgency_features(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), features=URGENCY_FEATURES)
     from pyspark.ml.functions import vector_to_array
 
     entries = F.filter(vector_to_array("features"), lambda v: v > 0)

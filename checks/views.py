@@ -28,16 +28,17 @@ SCHEMAS = {
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Text and markup are dealt to all cores when the file has too few splits.
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table; `spread` deals it to all cores when the file has too few splits.
 
     The driver writes one row group per table, which one task would read and decode
-    alone. A table with a split or more for every core is read as it is.
+    alone; whole texts and markup are spread. A table with a split or more for every
+    core is read as it is.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     frame = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and _bytes(frame) < cores * SPLIT_BYTES:
+    if spread and _bytes(frame) < cores * SPLIT_BYTES:
         return frame.repartition(cores)
     return frame
 
@@ -200,7 +201,7 @@ def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     0 plain text; 1 plain text with a base64 attachment; 2 HTML only; 3 plain text and
     HTML with an inline image. Every fifth has no Message-ID, every third a Reply-To.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     return docs.selectExpr(
         "doc_id", "cast(doc_id as string) as source_id",
         f"""encode(concat(
@@ -258,7 +259,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message per page: its HTML with absolute links added, and the prose as text."""
-    pages = table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages", spread=True)
     href = "replace(url, '&', '&amp;')"
     return pages.selectExpr(
         "cast(page_id as string) as source_id",

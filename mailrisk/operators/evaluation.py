@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mailrisk.operators.results import MAX_CONFIG_ROWS
 from mailrisk.operators.skew import running_total
 from mailrisk.schemas import LAYERS, SCORE_DIGITS, WEIGHTS
-from mailrisk.session import if_small
+from mailrisk.session import cut_lineage, if_small
 
 ROC_BUCKETS = 4096
 
@@ -60,15 +60,16 @@ def confusion(assessments: DataFrame, labels: DataFrame, verdict: str = "level")
 def roc_points(scored: DataFrame, labels: DataFrame, by: str) -> DataFrame:
     """ROC points of each group: flag everything scored `threshold` or higher.
 
-    Messages are counted per distinct score first. The running totals are taken in
-    score buckets, so a group of any size is spread over many tasks.
+    Messages are counted per distinct score first, and the counts are written once.
+    The running totals are taken in score buckets, so a group of any size is spread
+    over many tasks.
     """
     judged = scored.where("score IS NOT NULL").select("message_id", by, "score").join(labels, "message_id")
     counts = judged.groupBy(by, F.col("score").alias("threshold")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     bucket = F.floor((1 - F.col("threshold")) * ROC_BUCKETS)
-    running = running_total(counts, [by], F.col("threshold").desc(), bucket, ["pos", "neg"])
+    running = running_total(cut_lineage(counts), [by], F.col("threshold").desc(), bucket, ["pos", "neg"])
     tp = F.col("before_pos") + F.col("pos")
     fp = F.col("before_neg") + F.col("neg")
     return running.select(

@@ -18,26 +18,20 @@ def layer_scores(grid: DataFrame, signals: DataFrame, key: str = "message_id") -
     """layer_scores(key, layer, completed, score).
 
     The strongest signal that did not abstain; 0 for a completed layer that produced
-    none; NULL when the layer is incomplete or all of its signals abstained. Grid and
-    signals meet in one aggregation, with partial sums before its only shuffle.
+    none; NULL when the layer is incomplete or all of its signals abstained. Signals are
+    reduced to one row per layer before they meet the grid, which comes from its own
+    aggregation partitioned by the same keys and is not shuffled again.
     """
-    states = grid.select(
-        key, "layer", "completed",
-        F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("produced"),
+    found = signals.groupBy(key, "layer").agg(
+        F.max(F.when(F.col("error").isNull(), F.col("score"))).alias("score"),
+        F.count("*").alias("produced"),
     )
-    found = signals.select(
-        key, "layer", F.lit(None).cast("boolean").alias("completed"),
-        F.when(F.col("error").isNull(), F.col("score")).alias("score"), F.lit(1).alias("produced"),
-    )
-    merged = states.unionByName(found).groupBy(key, "layer").agg(
-        F.max("completed").alias("completed"),
-        F.max("score").alias("score"),
-        F.count("produced").alias("produced"),
-    )
-    score = F.when(F.col("completed") & (F.col("produced") == 0), F.lit(0.0)).when(
+    score = F.when(F.col("completed") & F.col("produced").isNull(), F.lit(0.0)).when(
         F.col("completed"), F.col("score")
     )
-    return merged.where("completed IS NOT NULL").select(key, "layer", "completed", score.alias("score"))
+    return grid.select(key, "layer", "completed").join(found, [key, "layer"], "left").select(
+        key, "layer", "completed", score.alias("score")
+    )
 
 
 def composite_score(scores: DataFrame, weights: DataFrame, key: str = "message_id") -> DataFrame:
@@ -50,9 +44,15 @@ def composite_score(scores: DataFrame, weights: DataFrame, key: str = "message_i
     known = F.col("score").isNotNull()
     total = F.sum(F.when(known, F.col("weight") * F.col("score")))
     mass = F.sum(F.when(known, F.col("weight")))
-    return weighted.groupBy("profile", key).agg(
-        F.round(F.try_divide(total, mass), SCORE_DIGITS).alias("score"),
-        F.array_sort(F.collect_list(F.when(F.col("completed"), F.col("layer")))).alias("layers_completed"),
+    # Layers that ran, as one bit each: a fixed-size value that hash aggregation can hold.
+    ran = F.bit_or(F.when(F.col("completed"), F.expr("shiftleft(1, layer)")).otherwise(0))
+    sums = weighted.groupBy("profile", key).agg(total.alias("total"), mass.alias("mass"), ran.alias("ran"))
+    layers = [F.when(F.col("ran").bitwiseAND(1 << k) != 0, F.lit(k)) for k in LAYERS]
+    return sums.select(
+        "profile",
+        key,
+        F.round(F.try_divide("total", "mass"), SCORE_DIGITS).alias("score"),
+        F.array_compact(F.array(*layers)).alias("layers_completed"),
     )
 
 

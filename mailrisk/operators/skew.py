@@ -63,27 +63,30 @@ def running_total(
 ) -> DataFrame:
     """Add before_<value>, the sum over rows of the group that sort before this one, and all_<value>.
 
-    `bucket` is a coarse integer that agrees with `order`, from a bounded range. Sums
-    within a bucket and offsets between buckets are taken apart, so no window
-    holds more than one bucket of rows, or one row per bucket.
+    `bucket` is a coarse integer that agrees with `order`, from a bounded range. Each
+    bucket gets one row in front that carries the sum of the buckets before it, so a
+    window holds one bucket of rows, or one row per bucket, and never a whole group.
+    `df` is read twice; pass a written table when it is expensive.
     """
-    df = df.withColumn("_bucket", bucket)
-    totals = df.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(v) for v in values])
-    between = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(g).alias(f"_{g}") for g in group],
-        F.col("_bucket").alias("_offset_bucket"),
-        *[F.coalesce(F.sum(v).over(between), F.lit(0)).alias(f"_offset_{v}") for v in values],
-        *[F.sum(v).over(Window.partitionBy(*group)).alias(f"all_{v}") for v in values],
+    rows = df.withColumn("_bucket", bucket).withColumn("_front", F.lit(False))
+    totals = rows.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(v) for v in values])
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    fronts = totals.select(
+        *group,
+        "_bucket",
+        F.lit(True).alias("_front"),
+        *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(v) for v in values],
+        *[F.sum(v).over(whole).alias(f"all_{v}") for v in values],
     )
-    within = Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1
+    merged = rows.unionByName(fronts, allowMissingColumns=True)
+    in_bucket = Window.partitionBy(*group, "_bucket").orderBy(F.col("_front").desc(), order)
+    before = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = merged.select(
+        *df.columns,
+        "_front",
+        *[F.sum(v).over(before).alias(f"before_{v}") for v in values],
+        *[F.first(f"all_{v}").over(upto).alias(f"all_{v}") for v in values],
     )
-    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
-    joined = df.join(offsets, [F.col("_bucket") == F.col("_offset_bucket"), *same])
-    before = [
-        (F.col(f"_offset_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(f"before_{v}")
-        for v in values
-    ]
-    totals_of = [f"all_{v}" for v in values]
-    return joined.select(*[c for c in df.columns if c != "_bucket"], *before, *totals_of)
+    return summed.where(~F.col("_front")).drop("_front")

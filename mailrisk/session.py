@@ -42,6 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables go; it can be removed when it has ended."""
+    return f"{shared_folder(spark).rstrip('/')}/mailrisk/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
@@ -50,7 +55,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     lets each reader prune the columns it does not need.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/mailrisk/{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
