@@ -21,6 +21,7 @@ def local_session(cores: str = "8", memory: str = "8g", app: str = "mailrisk") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from mailrisk import schemas
@@ -24,23 +26,34 @@ def _read_sections(path: str) -> dict[str, dict[str, float]]:
     return sections
 
 
+def _literal(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A literal table: part of the plan, so that no files or workers are needed to read it."""
+    names = [column.split()[0] for column in columns.split(", ")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    fields = columns.replace(" ", ":").replace(",:", ",")
+    return spark.sql(
+        "SELECT inline(from_json(:rows, :shape))", args={"rows": text, "shape": f"array<struct<{fields}>>"}
+    )
+
+
 def weights_table(
     spark: SparkSession, weights: dict[int, float] | None = None, profile: str = "default"
 ) -> DataFrame:
     rows = [(profile, k, float(v)) for k, v in (weights or schemas.DEFAULT_WEIGHTS).items()]
-    return spark.createDataFrame(rows, schemas.WEIGHTS)
+    return _literal(spark, schemas.WEIGHTS, rows)
 
 
 def thresholds_table(
     spark: SparkSession, bounds: dict[str, float] | None = None, profile: str = "default"
 ) -> DataFrame:
     found = bounds or schemas.DEFAULT_THRESHOLDS
-    return spark.createDataFrame([(profile, found["deliver"], found["block"])], schemas.THRESHOLDS)
+    bounds_row = (profile, float(found["deliver"]), float(found["block"]))
+    return _literal(spark, schemas.THRESHOLDS, [bounds_row])
 
 
 def policy_table(spark: SparkSession, policy: dict[str, str] | None = None) -> DataFrame:
     rows = list((policy or schemas.DEFAULT_POLICY).items())
-    return spark.createDataFrame(rows, "level string, action string")
+    return _literal(spark, "level string, action string", rows)
 
 
 def load_weights(
