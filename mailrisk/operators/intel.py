@@ -11,6 +11,7 @@ from mailrisk.functions import exprs
 from mailrisk.operators.domains import registrable_domain
 from mailrisk.operators.signals import emit
 from mailrisk.operators.skew import lookup_join
+from mailrisk.session import cut_lineage
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -107,17 +108,22 @@ def hosting_matches(dns: DataFrame, networks: DataFrame) -> DataFrame:
     few by arithmetic and are broadcast. A narrow block holds fewer than 2^WIDE
     distinct addresses, so no key of the shuffled join can be hot.
     """
-    blocks = network_blocks(networks).groupBy("bits", "prefix").agg(F.collect_set("owner").alias("owners"))
+    blocks = cut_lineage(
+        network_blocks(networks).groupBy("bits", "prefix").agg(F.collect_set("owner").alias("owners"))
+    )
+    # Block sizes in use, 33 at most: an address has a prefix for each of them.
+    sizes = sorted(row["bits"] for row in blocks.select("bits").distinct().collect())
     addresses = dns.select("ip").distinct().withColumn("n", ip_number(F.col("ip"))).where("n IS NOT NULL")
 
-    def prefixes(low: int, high: int) -> DataFrame:
-        sizes = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("bits")
-        return addresses.select("ip", "n", sizes).select(
+    def prefixes(among: list[int]) -> DataFrame:
+        bits = F.explode(F.array(*map(F.lit, among)).cast("array<int>")).alias("bits")
+        return addresses.select("ip", "n", bits).select(
             "ip", "bits", F.expr("shiftright(n, bits)").alias("prefix")
         )
 
-    wide = prefixes(WIDE, 32).join(F.broadcast(blocks.where(F.col("bits") >= WIDE)), ["bits", "prefix"])
-    narrow = prefixes(0, WIDE - 1).join(blocks.where(F.col("bits") < WIDE), ["bits", "prefix"])
+    is_wide = F.col("bits") >= WIDE
+    wide = prefixes([s for s in sizes if s >= WIDE]).join(F.broadcast(blocks.where(is_wide)), ["bits", "prefix"])
+    narrow = prefixes([s for s in sizes if s < WIDE]).join(blocks.where(~is_wide), ["bits", "prefix"])
     return (
         wide.unionByName(narrow)
         .groupBy("ip")
