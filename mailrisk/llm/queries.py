@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import quality, toxicity, url_filter
+from mailrisk.llm import quality, simhash, toxicity, url_filter
 from mailrisk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_simhash")
+def op1_simhash(spark, sf_dir):
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", simhash.hex_fingerprint(), "component_id")
+
+
 @query("op5_url_filter", url_filter.sql())
 def op5_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
