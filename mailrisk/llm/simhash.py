@@ -199,7 +199,7 @@ def _forest(rows: np.ndarray) -> pa.RecordBatch:
         if not len(at):
             break
         other = at + step
-        near = np.bitwise_count(fp[at] ^ fp[other]) <= MAX_BITS
+        near = np.bitwise_count((fp[at] ^ fp[other]).view(np.uint64)) <= MAX_BITS
         new_a.append(fp[at[near]])
         new_b.append(fp[other[near]])
         held += int(near.sum())
