@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import quality, simhash, toxicity, url_filter
+from mailrisk.llm import bpe, quality, simhash, toxicity, url_filter
 from mailrisk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,13 @@ def op1_simhash(spark, sf_dir):
     return groups.select("doc_id", simhash.hex_fingerprint(), "component_id")
 
 
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(encoded.drop("text"), ranks, public_tokenizers.PATTERN)
+
+
 @query("op5_url_filter", url_filter.sql())
 def op5_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
