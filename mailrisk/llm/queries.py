@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import bpe, quality, simhash, toxicity, url_filter
+from mailrisk.llm import bpe, flac, quality, simhash, toxicity, url_filter
 from mailrisk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,8 @@ def op8_toxicity(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_tables(documents, table(spark, sf_dir, "labels"))
     return toxicity.score(documents, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "clauses")
+
+
+@query("op10_flac")
+def op10_flac(spark, sf_dir):
+    return flac.digests(flac.write_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
