@@ -28,7 +28,7 @@ from mailrisk.llm.common import as_bytes, pieces
 BLOCK = 1024
 RATE = 8000
 #: Bytes of samples, encoded or decoded, that one array step holds.
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 20
 
 #: Fixed values of the format: predictor weights of the fixed orders, by distance.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))

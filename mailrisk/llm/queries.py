@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import bpe, flac, quality, simhash, toxicity, url_filter
+from mailrisk.llm import bpe, flac, quality, secrets, simhash, toxicity, url_filter
 from mailrisk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ def op6_quality(spark, sf_dir):
     return quality.score(documents, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+@query("op7_secrets")
+def op7_secrets(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(documents, secrets.fit_tables(documents))
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
