@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import bpe, flac, quality, secrets, simhash, toxicity, url_filter
+from mailrisk.llm import bpe, flac, quality, secrets, simhash, substring, toxicity, url_filter
 from mailrisk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.digests(encoded.drop("text"), ranks, public_tokenizers.PATTERN)
 
 
+@query("op4_substring", substring.sql())
+def op4_substring(spark, sf_dir):
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 @query("op5_url_filter", url_filter.sql())
 def op5_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
