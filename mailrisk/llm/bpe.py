@@ -15,19 +15,21 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Bounds of what a worker keeps; reaching one costs time only.
-MAX_STATES = 100_000
+MAX_STATES = 400_000
 MAX_PIECES = 200_000
 #: Bytes of one piece after which its certain tokens are emitted.
 MAX_HELD = 1024
+ID = np.dtype("<u4")
+#: How an arc holds its token.
+TOKEN_BITS = 24
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
 #: Stands for no token, and for the time before the first merge.
 NONE = -1
 
@@ -62,10 +64,12 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        start = ((b"", 0),)
-        self.numbers = {start: 0}
-        self.readings: list[tuple] = [start]
-        self.arcs: list[dict[int, tuple[int, int]]] = [{}]
+        """Begins anew with the start state. Readings are numbered, and a state is the tuple of its readings."""
+        self.reading_numbers = {(b"", 0): 0}
+        self.readings: list[tuple[bytes, int]] = [(b"", 0)]
+        self.numbers: dict[tuple[int, ...], int] = {(0,): 0}
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.arcs: dict[int, int] = {}  # state and byte to next state and ended token
 
     def _borders(self, token: int) -> tuple[int, int] | None:
         """Classes of a token as the left and as the right neighbour; None for a token that merging does not give.
@@ -144,27 +148,36 @@ class Transducer:
             self.pairs[left, right] = known
         return known
 
-    def _arc(self, state: int, byte: int) -> tuple[int, int]:
+    def _reading(self, begun: bytes, before: int) -> int:
+        number = self.reading_numbers.get((begun, before))
+        if number is None:
+            number = self.reading_numbers[begun, before] = len(self.readings)
+            self.readings.append((begun, before))
+        return number
+
+    def _state(self, readings: tuple[int, ...]) -> int:
+        number = self.numbers.get(readings)
+        if number is None:
+            number = self.numbers[readings] = len(self.states)
+            self.states.append(readings)
+        return number
+
+    def _arc(self, state: int, byte: int) -> int:
         """Determinises one transition: the next state, and the token that ends at its byte."""
         after, letter, ended = [], bytes((byte,)), NONE
-        for begun, before in self.readings[state]:
+        for reading in self.states[state]:
+            begun, before = self.readings[reading]
             grown = begun + letter
             token = self.ranks.get(grown)
             if token is not None and ended == NONE:
                 borders = self._borders(token)
                 if borders is not None and self.compatible(before, borders[1]):
                     ended = token
-                    after.append((b"", borders[0]))
+                    after.append(self._reading(b"", borders[0]))
             if grown in self.open:
-                after.append((grown, self._relevant(grown, before)))
+                after.append(self._reading(grown, self._relevant(grown, before)))
         after.sort()
-        following = tuple(after)
-        number = self.numbers.get(following)
-        if number is None:
-            number = self.numbers[following] = len(self.readings)
-            self.readings.append(following)
-            self.arcs.append({})
-        arc = self.arcs[state][byte] = (number, ended)
+        arc = self.arcs[state << 8 | byte] = self._state(tuple(after)) << TOKEN_BITS | ended
         return arc
 
     def _back(self, ended: list[int], at: int) -> list[int]:
@@ -179,25 +192,23 @@ class Transducer:
         """Token ids of a piece. A piece that is a token is that token."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        if len(self.readings) > MAX_STATES:
+        if len(self.states) > MAX_STATES:
             self._forget()
         state, ids, ended, arcs = 0, [], [], self.arcs
         for byte in data:
-            arc = arcs[state].get(byte) or self._arc(state, byte)
-            state = arc[0]
-            ended.append(arc[1])
+            arc = arcs.get(state << 8 | byte)
+            if arc is None:
+                arc = self._arc(state, byte)
+            state = arc >> TOKEN_BITS
+            ended.append(arc & TOKEN_MASK)
             if len(ended) >= MAX_HELD:
-                here = len(ended)
-                certain = max(set.intersection(*(set(self._back(ended, here - len(begun))) for begun, _ in self.readings[state])), default=0)
+                begun = [self.readings[r] for r in self.states[state]]
+                certain = max(set.intersection(*(set(self._back(ended, len(ended) - len(b))) for b, _ in begun)), default=0)
                 ids.extend(ended[e - 1] for e in reversed(self._back(ended, certain)))
                 ended = ended[certain:]
-                if len(self.readings) > MAX_STATES:  # keep only where we are
-                    readings = self.readings[state]
+                if len(self.states) > MAX_STATES:  # keep only where we are
                     self._forget()
-                    arcs, state = self.arcs, len(self.readings)
-                    self.numbers[readings] = state
-                    self.readings.append(readings)
-                    arcs.append({})
+                    arcs, state = self.arcs, self._state(tuple(sorted(self._reading(*r) for r in begun)))
         ids.extend(ended[e - 1] for e in reversed(self._back(ended, len(ended))))
         return ids
 
@@ -264,13 +275,13 @@ class Decoder:
 
 
 class Pieces(dict):
-    """Ids of pieces met before, up to a bound; a missing piece goes through the transducer."""
+    """Ids (as little-endian bytes) of pieces met before, up to a bound; a missing piece goes through the transducer."""
 
     def __init__(self, transducer: Transducer) -> None:
         self.transducer = transducer
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.transducer.encode(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.transducer.encode(piece.encode()), ID).tobytes()
         if len(piece) <= 64:
             if len(self) >= MAX_PIECES:
                 self.clear()
@@ -283,12 +294,11 @@ class Codec:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.transducer = Transducer(read_ranks(path))
-        self.decoder = Decoder(self.transducer.tokens)
         self.split = regex.compile(pattern)
         self.pieces = Pieces(self.transducer)
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split.findall(text))))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split.findall(text))), ID)
 
 
 @lru_cache(maxsize=2)
@@ -297,6 +307,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder({rank: token for token, rank in read_ranks(path).items()})
+
+
 def encode(documents: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """The documents with `ids`: the tokens of each whole text.
 
@@ -311,7 +326,7 @@ def encode(documents: DataFrame, path: str, pattern: str, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(path, pattern)
         for batch in batches:
-            lists = [np.array(made.encode(t), np.int32) if t else np.empty(0, np.int32) for t in batch.column(text_col).to_pylist()]
+            lists = [made.encode(t or "") for t in batch.column(text_col).to_pylist()]
             ids = _list_array(lists)
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, ids_col])
 
@@ -320,37 +335,44 @@ def encode(documents: DataFrame, path: str, pattern: str, text_col: str = "text"
 
 def _list_array(lists: list[np.ndarray]) -> pa.ListArray:
     offsets = np.r_[0, np.cumsum([len(x) for x in lists], dtype=np.int64)].astype(np.int32)
-    values = np.concatenate(lists) if lists else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+    values = np.concatenate(lists) if lists else np.empty(0, ID)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int32), pa.int32()))
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+def decode(tokens: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """The rows with `decoded`: the bytes of each row's ids, null for null. An id that is not in the file is an error."""
     kept = tokens.drop(bytes_col)
     names = kept.columns
     schema = ", ".join([*(f"`{n.replace('`', '``')}` {t}" for n, t in kept.dtypes), f"`{bytes_col}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = codec(path, pattern).decoder
+        back = decoder(path)
         for batch in batches:
             column = batch.column(ids_col)
-            made = [None if not x.is_valid else decoder.decode(x.values.to_numpy(zero_copy_only=False)) for x in column]
+            made = [None if not x.is_valid else back.decode(x.values.to_numpy(zero_copy_only=False)) for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*names, bytes_col])
 
     return kept.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """(n_tokens, ids_sha256, decoded_sha256) beside doc_id, of the operators' real ids and decoded bytes."""
-    decoded = decode(encoded, path, pattern, ids_col, bytes_col)
+def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each whole text encoded and its ids decoded again.
+
+    Does what `encode` and `decode` do, in one task step: ids and texts do not travel between processes.
+    """
+    source = documents.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, back = codec(path, pattern), decoder(path)
         for batch in batches:
-            shas = [hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()).hexdigest() for x in batch.column(1)]
+            counts, shas, decoded = [], [], []
+            for text in batch.column(1).to_pylist():
+                ids = there.encode(text or "")
+                counts.append(len(ids))
+                shas.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                decoded.append(hashlib.sha256(back.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1).value_lengths().cast(pa.int64()), pa.array(shas, pa.string()), batch.column(2)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    hashed = decoded.select("doc_id", ids_col, F.sha2(bytes_col, 256).alias("sha"))
-    return hashed.mapInArrow(run, f"doc_id {dict(hashed.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

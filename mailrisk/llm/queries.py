@@ -32,9 +32,7 @@ def op1_simhash(spark, sf_dir):
 
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark, sf_dir):
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(encoded.drop("text"), ranks, public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @query("op4_substring", substring.sql())
