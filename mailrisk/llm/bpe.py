@@ -118,7 +118,7 @@ class Transducer:
             return 0
         known = self.narrowed.get((begun, before))
         if known is None:
-            if len(self.narrowed) >= 2 * MAX_STATES:
+            if len(self.narrowed) >= MAX_STATES // 2:
                 self.narrowed.clear()
             heads = [begun[:n] for n in range(1, len(begun) + 1)]
             known = self.narrowed[begun, before] = self._class(tuple(

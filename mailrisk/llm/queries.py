@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import bpe, flac, quality, secrets, simhash, substring, toxicity, url_filter
+from mailrisk.llm import bpe, flac, packing, quality, secrets, simhash, substring, toxicity, url_filter
 from mailrisk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.score(documents, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "clauses")
 
 
+@query("op9_packing")
+def op9_packing(spark, sf_dir):
+    cut = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op10_flac")
 def op10_flac(spark, sf_dir):
     return flac.digests(flac.write_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
