@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import bpe, flac, packing, quality, secrets, simhash, substring, toxicity, url_filter
+from mailrisk.llm import bpe, flac, neighbours, packing, quality, secrets, simhash, substring, toxicity, url_filter
 from mailrisk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1_simhash(spark, sf_dir):
     return groups.select("doc_id", simhash.hex_fingerprint(), "component_id")
 
 
+@query("op2_neighbours")
+def op2_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
