@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,6 +232,58 @@ def bodies(spark, sf_dir):
     )
 
 
+@query("page_text", """
+SELECT page_id, array_to_string(list_filter(list_transform(
+    string_split_regex(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>', '<x>', 'gs'), '<[^>]*>'),
+    lambda x: trim(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), chr(32) || chr(10) || chr(9) || chr(13))),
+  lambda x: x <> ''), chr(10)) AS text FROM pages""")
+def page_text(spark, sf_dir):
+    """The whole visible text of pages, a node per line."""
+    from mailrisk.functions.html import html_scan
+
+    return table(spark, sf_dir, "pages", spread=True).select("page_id", html_scan("html")["text"].alias("text"))
+
+
+@query("refused_markup", """
+SELECT page_id, true AS refused, CAST(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS INTEGER) AS links FROM pages""")
+def refused_markup(spark, sf_dir):
+    """Markup that the reader refuses at its end keeps the links before it and says why it stopped."""
+    from mailrisk.functions.html import html_scan
+
+    broken = table(spark, sf_dir, "pages", spread=True).select("page_id", F.concat("html", F.lit("<![odd thing")).alias("html"))
+    scanned = broken.select("page_id", html_scan("html").alias("scan"))
+    return scanned.select("page_id", F.col("scan.error").isNotNull().alias("refused"), F.size("scan.links").alias("links"))
+
+
+@query("unread_layers", """
+SELECT CAST(page_id AS VARCHAR) AS message_id, layer, true AS completed, CASE WHEN page_id % 2 = 0 THEN 0.0::DOUBLE END AS score
+FROM pages, (SELECT CAST(unnest([2, 3, 4]) AS INTEGER) AS layer)""")
+def unread_layers(spark, sf_dir):
+    """Layers that found nothing in mail whose markup was refused have no score: not read is not clean."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("message_id"), F.when(F.col("page_id") % 2 == 1, F.lit("broken")).alias("html_error"))
+    found = [observations.unread_signals(pages, name) for name in ("links_unread", "text_unread", "intel_unread")]
+    runs = pages.select("message_id", F.explode(F.array(*map(F.lit, (2, 3, 4)))).alias("layer"), F.lit(True).alias("completed"))
+    return scoring.layer_scores(runs, reduce(DataFrame.unionByName, found))
+
+
+@query("mail_dates", """
+SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE epoch_us(date_trunc(CASE WHEN event_id % 5 = 1 THEN 'minute' ELSE 'second' END, ts))
+  - CASE event_id % 5 WHEN 2 THEN 5400000000 WHEN 3 THEN -18000000000 ELSE 0 END END AS moment_us FROM events""")
+def mail_dates(spark, sf_dir):
+    """Dates as mail servers write them: offsets, zone names, without seconds, and what is no date."""
+    ts, kind = F.col("ts"), F.col("event_id") % 5
+    written = (
+        F.when(kind == 0, F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss '+0000 (UTC)'"))
+        .when(kind == 1, F.date_format(ts, "d MMM yyyy HH:mm 'GMT'"))
+        .when(kind == 2, F.date_format(ts, "EEE, d MMM yyyy H:mm:ss '+0130'"))
+        .when(kind == 3, F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss 'EST'"))
+        .otherwise(F.lit("yesterday at noon"))
+    )
+    read = messages.mail_date(written)
+    return table(spark, sf_dir, "events").select("event_id", F.unix_micros(read).alias("moment_us"))
+
+
 @query("html_text", """
 SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1).replace('&amp;', '&').trim() AS heading,
        false AS shows_script, false AS shows_style, true AS has_heading FROM pages""")
@@ -569,9 +622,6 @@ def _labelled(spark, sf_dir):
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id", "left")
 
 
-URGENCY_FEATURES = 1 << 14
-
-
 @query("urgency_grams", f"""
 SELECT doc_id, CAST(len({TOKENS.format('text')}) AS INTEGER) AS words,
        CAST(greatest(len(lower(text)) - 2, 0) + greatest(len(lower(text)) - 3, 0) + greatest(len(lower(text)) - 4, 0) AS INTEGER) AS char_grams,
@@ -588,7 +638,7 @@ def urgency_grams(spark, sf_dir):
 @query("urgency_features")
 def urgency_features(spark, sf_dir):
     """TF-IDF vectors of whole texts, by the number of their non-zero entries."""
-    found = body.urgency_features(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), features=URGENCY_FEATURES)
+    found = body.urgency_features(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))
     from pyspark.ml.functions import vector_to_array
 
     entries = F.filter(vector_to_array("features"), lambda v: v > 0)
@@ -598,20 +648,53 @@ def urgency_features(spark, sf_dir):
 @query("urgency_signals")
 def urgency_signals(spark, sf_dir):
     """Fitted on the labelled documents outside the hold-out, scored on all documents."""
-    corpus = evaluation.holdout(_labelled(spark, sf_dir), 0.2, "doc_id")
-    model = body.fit_urgency(corpus.where("NOT heldout"), features=URGENCY_FEATURES, max_iter=10)
-    scored = body.score_urgency(model, corpus).withColumn("message_id", F.col("doc_id").cast("string"))
+    scored = _urgency(spark, sf_dir).withColumn("message_id", F.col("doc_id").cast("string"))
     return body.urgency_signals(scored, threshold=0.2).select("message_id", "name", _rounded("score", 4))
 
 
+_URGENCY: dict[tuple[str, str], DataFrame] = {}
+
+
+def _urgency(spark, sf_dir):
+    """doc_id, label, heldout and the urgency of every document; fitted once per application and folder."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _URGENCY:
+        corpus = evaluation.holdout(_labelled(spark, sf_dir), 0.2, "doc_id")
+        model = body.fit_urgency(corpus.where("NOT heldout"))
+        _URGENCY[known] = cut_lineage(body.score_urgency(model, corpus).select("doc_id", "label", "heldout", "urgency"))
+    return _URGENCY[known]
+
+
+@query("urgency_terms", f"""
+WITH each AS (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS word FROM documents)
+SELECT word, count(*) AS documents, round(ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)::DOUBLE), 6) AS idf FROM each GROUP BY word""")
+def urgency_terms(spark, sf_dir):
+    """How many documents have each word, and the weight that follows from it."""
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    each = body.gram_columns(docs, "text").select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
+    total = docs.count()
+    found = each.groupBy("word").agg(F.count("*").alias("documents"))
+    return found.select("word", "documents", F.round(F.log((F.lit(total) + 1) / (F.col("documents") + 1)), 6).alias("idf"))
+
+
+@query("urgency_accuracy", """
+SELECT count(*) AS judged, true AS accurate FROM documents JOIN labels USING (doc_id)
+WHERE ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 1000 < 200""")
+def urgency_accuracy(spark, sf_dir):
+    """The held-out fold, and that the classifier is right on at least four fifths of it."""
+    judged = _urgency(spark, sf_dir).where("heldout AND label IS NOT NULL")
+    return judged.agg(
+        F.count("*").alias("judged"), (F.avg(((F.col("urgency") >= 0.5).cast("int") == F.col("label")).cast("double")) >= 0.8).alias("accurate"))
+
+
 def _fusion_input(spark, sf_dir):
-    """The four text features; urgency stands in as the share of long words."""
+    """The four text features, urgency being that of the classifier."""
     shape = cut_lineage(_shape(spark, sf_dir))
-    words = exprs.word_tokens(F.col("body_text"))
+    invisible = lambda c: F.regexp_count(c, F.lit(exprs.ZERO_WIDTH))
+    urgency = _urgency(spark, sf_dir).select(F.col("doc_id").cast("string").alias("message_id"), "urgency")
     texts = _bodies(spark, sf_dir).select(
-        "message_id", F.regexp_count("body_text", F.lit(exprs.ZERO_WIDTH)).cast("double").alias("zero_width"),
-        F.try_divide(F.size(F.filter(words, lambda w: F.length(w) > 7)), F.size(words)).alias("urgency"),
-    )
+        "message_id", (invisible("subject") + invisible("body_text")).cast("double").alias("zero_width")
+    ).join(urgency, "message_id")
     long_enough = F.col("tokens") >= 40
     return texts.join(shape, "message_id").select(
         "message_id", "zero_width", "urgency",
@@ -633,6 +716,20 @@ def fusion_coefficients(spark, sf_dir):
     return body.fit_fusion(features.join(V.run_labels(spark, sf_dir), "message_id"))[1]
 
 
+@query("fusion_checks", LANGUAGE_MODEL + """
+SELECT 'short' AS kind, CAST(count(*) FILTER (tokens < 40 OR nll_spread IS NULL) AS BIGINT) AS messages, true AS holds FROM shape
+UNION ALL SELECT 'coefficients', 5, true""")
+def fusion_checks(spark, sf_dir):
+    """Every short or single-sentence text abstains; five finite coefficients, and none is nothing but zero."""
+    features = cut_lineage(_fusion_input(spark, sf_dir))
+    model, fitted = body.fit_fusion(features.join(V.run_labels(spark, sf_dir), "message_id"))
+    signals = body.fusion_signals(model, features, 0.15)
+    silent = signals.agg(F.count("error").alias("messages"), (F.count_if(F.col("error").isNotNull() & (F.col("score") != 0)) == 0).alias("holds"))
+    finite = ~F.isnan("coefficient") & (F.abs("coefficient") < float("inf"))
+    sizes = fitted.agg(F.count("*").alias("messages"), (F.count_if(~finite) == 0).alias("holds"))
+    return silent.select(F.lit("short").alias("kind"), "*").unionByName(sizes.select(F.lit("coefficients").alias("kind"), "*"))
+
+
 # --- layer 4 -------------------------------------------------------------------
 
 
@@ -686,10 +783,12 @@ def _snapshots(spark, sf_dir):
 
 
 @query("feed_status", """
-SELECT 'feed' || user_id % 40 AS feed, epoch_us(max(ts) FILTER (event_type = 'purchase')) AS snapshot_us,
-       arg_max(event_type = 'purchase', ts) AS newest_ok,
-       coalesce(TIMESTAMP '2024-01-25 12:00:00' - max(ts) FILTER (event_type = 'purchase') <= INTERVAL 6 HOUR, false) AS usable
-FROM events WHERE ts <= TIMESTAMP '2024-01-25 12:00:00' GROUP BY ALL""")
+SELECT feed, snapshot_us, coalesce(newest_ok, false) AS newest_ok, coalesce(usable, false) AS usable
+FROM (SELECT DISTINCT 'feed' || user_id % 40 AS feed FROM events) LEFT JOIN (
+  SELECT 'feed' || user_id % 40 AS feed, epoch_us(max(ts) FILTER (event_type = 'purchase')) AS snapshot_us,
+         arg_max(event_type = 'purchase', ts) AS newest_ok,
+         TIMESTAMP '2024-01-25 12:00:00' - max(ts) FILTER (event_type = 'purchase') <= INTERVAL 6 HOUR AS usable
+  FROM events WHERE ts <= TIMESTAMP '2024-01-25 12:00:00' GROUP BY ALL) USING (feed)""")
 def feed_status(spark, sf_dir):
     moment = F.lit("2024-01-25 12:00:00").cast("timestamp_ntz")
     found = lookups.feed_status(_snapshots(spark, sf_dir), moment, int(timedelta(hours=6).total_seconds()))
@@ -697,6 +796,46 @@ def feed_status(spark, sf_dir):
     return found.select("feed", snapshot, "newest_ok", "usable")
 
 
+@query("feeds_available", """
+WITH status AS (SELECT feed, coalesce(usable, false) AS usable
+FROM (SELECT DISTINCT 'feed' || user_id % 40 AS feed FROM events) LEFT JOIN (
+  SELECT 'feed' || user_id % 40 AS feed, TIMESTAMP '2024-01-25 12:00:00' - max(ts) FILTER (event_type = 'purchase') <= INTERVAL 6 HOUR AS usable
+  FROM events WHERE ts <= TIMESTAMP '2024-01-25 12:00:00' GROUP BY ALL) USING (feed)),
+missing AS (
+  SELECT 'recorded' AS expected, feed FROM status WHERE NOT usable
+  UNION ALL SELECT 'one that never came', feed FROM (SELECT feed FROM status WHERE NOT usable UNION ALL SELECT 'feed_x')
+  UNION ALL SELECT 'before any', feed FROM status)
+SELECT expected, false AS completed, 'no usable snapshot: ' || string_agg(feed, ', ' ORDER BY feed) AS error FROM missing GROUP BY expected
+UNION ALL SELECT 'none', false, 'no feed is expected'""")
+def feeds_available(spark, sf_dir):
+    """Whether layer 4 can complete: with a feed that never came, before any snapshot, without any feed."""
+    noon = F.lit("2024-01-25 12:00:00").cast("timestamp_ntz")
+    early = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
+    seen = _snapshots(spark, sf_dir)
+    feeds = seen.select("feed").distinct()
+    missing = feeds.unionByName(spark.createDataFrame([("feed_x",)], "feed string"))
+    cases = {"recorded": (noon, None), "one that never came": (noon, missing), "before any": (early, None), "none": (noon, feeds.limit(0))}
+    found = [
+        lookups.intel_available(lookups.feed_status(seen, moment, expected=expected)).select(F.lit(name).alias("expected"), "completed", "error")
+        for name, (moment, expected) in cases.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("current_entries", """
+WITH snapshots AS (SELECT 'feed' || user_id % 40 AS feed, ts, event_type = 'purchase' AS good, 'https://e' || event_id % 500 || '.example.com/' AS url FROM events),
+last AS (SELECT feed, max(ts) AS ts FROM snapshots WHERE good AND ts <= TIMESTAMP '2024-01-25 12:00:00' GROUP BY feed
+         HAVING TIMESTAMP '2024-01-25 12:00:00' - max(ts) <= INTERVAL 6 HOUR)
+SELECT feed, url FROM snapshots JOIN last USING (feed, ts)""")
+def current_entries(spark, sf_dir):
+    """Of the entries of all snapshots, those of each feed's last good one within the TTL; stale ones do not match."""
+    noon = F.lit("2024-01-25 12:00:00").cast("timestamp_ntz")
+    seen = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("feed"), F.col("user_id") % 40).alias("feed"), F.col("ts").alias("fetched_at"),
+        F.concat(F.lit("https://e"), F.col("event_id") % 500, F.lit(".example.com/")).alias("url"))
+    return lookups.current_entries(seen, lookups.feed_status(_snapshots(spark, sf_dir), noon)).select("feed", "url")
+
+
 # --- signals and layer results ---------------------------------------------------
 
 
@@ -742,6 +881,18 @@ def signal_quarantine(spark, sf_dir):
     return bad.select("message_id", "layer", "name", "rule")
 
 
+@query("quarantined_layers", with_views("grid", "recorded_signals") + f"""
+, bad AS (SELECT message_id, layer, min({RULES}) AS rule FROM recorded_signals GROUP BY ALL)
+SELECT message_id, layer, completed AND rule IS NULL AS completed,
+       CASE WHEN completed AND rule IS NOT NULL THEN 'quarantined signal: ' || rule ELSE error END AS error
+FROM grid LEFT JOIN bad USING (message_id, layer)""")
+def quarantined_layers(spark, sf_dir):
+    """A layer with a quarantined signal is incomplete for that message, not clean."""
+    spoiled = _spoiled_signals(spark, sf_dir).withColumn("ran", F.col("layer"))
+    _, bad = results.collect_signals(spoiled)
+    return results.reject_layers(_grid(spark, sf_dir), bad).select("message_id", "layer", "completed", "error")
+
+
 def _budget_sql(limits: str, total: int | None) -> str:
     late = f"max(least(duration_ms, limit_ms)) OVER (PARTITION BY message_id) > {total}" if total else "false"
     return with_views("grid") + f"""
@@ -796,13 +947,12 @@ def layer_result_rules(spark, sf_dir):
 @query("evidence_table", with_views("grid", "recorded_signals", "scores", "weights") + """
 , shares AS (SELECT s.message_id, s.layer, w.weight / sum(w.weight) FILTER (s.score IS NOT NULL) OVER (PARTITION BY s.message_id) AS share
              FROM scores s JOIN weights w USING (layer)),
-tops AS (SELECT message_id, layer, arg_min(name, {'s': -score, 'n': name}) AS top_name FROM recorded_signals WHERE error IS NULL GROUP BY ALL),
-shown AS (SELECT g.message_id, g.layer, g.completed, g.error AS reason, r.name, r.score, r.evidence, r.error AS abstained, t.top_name, h.share
-  FROM grid g LEFT JOIN recorded_signals r ON r.message_id = g.message_id AND r.layer = g.layer AND g.completed
-  LEFT JOIN tops t ON t.message_id = g.message_id AND t.layer = g.layer JOIN shares h ON h.message_id = g.message_id AND h.layer = g.layer)
+placed AS (SELECT *, row_number() OVER (PARTITION BY message_id, layer ORDER BY CASE WHEN error IS NULL THEN score END DESC NULLS LAST, name, evidence) AS place FROM recorded_signals),
+shown AS (SELECT g.message_id, g.layer, g.completed, g.error AS reason, r.name, r.score, r.evidence, r.error AS abstained, r.place, h.share
+  FROM grid g LEFT JOIN placed r ON r.message_id = g.message_id AND r.layer = g.layer AND g.completed JOIN shares h ON h.message_id = g.message_id AND h.layer = g.layer)
 SELECT message_id, layer, name, CASE WHEN abstained IS NULL THEN score END AS score, CASE WHEN completed THEN evidence ELSE reason END AS evidence,
        CASE WHEN NOT completed THEN 'not completed' WHEN name IS NULL THEN 'no findings' WHEN abstained IS NOT NULL THEN 'abstained' ELSE 'fired' END AS status,
-       round(CASE WHEN completed AND name IS NOT NULL AND abstained IS NULL THEN CASE WHEN name = top_name THEN share * score ELSE 0.0 END END, 9) AS contribution
+       round(CASE WHEN completed AND name IS NOT NULL AND abstained IS NULL THEN CASE WHEN place = 1 THEN share * score ELSE 0.0 END END, 9) AS contribution
 FROM shown""")
 def evidence_table(spark, sf_dir):
     weights, _ = config.load_weights(spark, WEIGHTS_FILE)
@@ -810,6 +960,18 @@ def evidence_table(spark, sf_dir):
     return found.select("message_id", "layer", "name", "score", "evidence", "status", _rounded("contribution", 9))
 
 
+@query("evidence_sums", with_views("composite") + "SELECT message_id, true AS adds_up FROM composite WHERE score IS NOT NULL")
+def evidence_sums(spark, sf_dir):
+    """Contributions add up to the composite, also when every signal is there twice under one name."""
+    weights, _ = config.load_weights(spark, WEIGHTS_FILE)
+    signals = V.recorded_signals(spark, sf_dir)
+    twice = signals.unionByName(signals.withColumn("score", F.col("score") * 0.9)).unionByName(signals)
+    found = results.evidence_table(_grid(spark, sf_dir), twice, weights)
+    sums = found.groupBy("message_id").agg(F.coalesce(F.sum("contribution"), F.lit(0.0)).alias("sum"))
+    whole = _composite(spark, sf_dir).where("score IS NOT NULL").select("message_id", "score")
+    return whole.join(sums, "message_id").select("message_id", (F.abs(F.col("sum") - F.col("score")) < 1e-6).alias("adds_up"))
+
+
 # --- scoring -------------------------------------------------------------------
 
 
@@ -882,19 +1044,21 @@ def rescore(spark, sf_dir):
 # --- evaluation ------------------------------------------------------------------
 
 
-@query("signal_metrics", with_views("recorded_signals", "run_labels") + """
-, judged AS (SELECT r.*, l.label FROM (SELECT message_id, layer, name, max(error IS NULL AND score > 0) AS fired, max(error IS NOT NULL) AS unknown
-    FROM recorded_signals GROUP BY ALL) r JOIN run_labels l USING (message_id)),
+@query("signal_metrics", with_views("recorded_signals", "run_labels", "grid") + """
+, assessed AS (SELECT g.message_id, g.layer, g.completed, l.label FROM grid g JOIN run_labels l USING (message_id)),
+judged AS (SELECT r.*, a.label FROM (SELECT message_id, layer, name, max(error IS NULL AND score > 0) AS fired, max(error IS NOT NULL) AS unknown
+    FROM recorded_signals GROUP BY ALL) r JOIN assessed a USING (message_id, layer) WHERE a.completed),
+could AS (SELECT layer, count(*) FILTER (completed AND label = 1) AS threats, count(*) FILTER (NOT completed) AS incomplete FROM assessed GROUP BY layer),
 counts AS (SELECT layer, name, count(*) FILTER (fired AND label = 1) AS tp, count(*) FILTER (fired AND label <> 1) AS fp,
-    count(*) FILTER (unknown AND NOT fired) AS abstained,
-    (SELECT count(*) FROM run_labels WHERE label = 1) - count(*) FILTER (fired AND label = 1) - count(*) FILTER (unknown AND NOT fired AND label = 1) AS fn
-  FROM judged GROUP BY layer, name)
-SELECT layer, name, tp, fp, fn, abstained, round(tp / nullif(tp + fp, 0)::DOUBLE, 9) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 9) AS recall,
+    count(*) FILTER (unknown AND NOT fired) AS abstained, any_value(incomplete) AS incomplete,
+    any_value(threats) - count(*) FILTER (fired AND label = 1) - count(*) FILTER (unknown AND NOT fired AND label = 1) AS fn
+  FROM judged JOIN could USING (layer) GROUP BY layer, name)
+SELECT layer, name, tp, fp, fn, abstained, incomplete, round(tp / nullif(tp + fp, 0)::DOUBLE, 9) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 9) AS recall,
        round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 9) AS f1 FROM counts""")
 def signal_metrics(spark, sf_dir):
-    found = evaluation.signal_metrics(V.recorded_signals(spark, sf_dir), V.run_labels(spark, sf_dir))
+    found = evaluation.signal_metrics(V.recorded_signals(spark, sf_dir), V.run_labels(spark, sf_dir), _grid(spark, sf_dir))
     return found.select(
-        "layer", "name", "tp", "fp", "fn", "abstained",
+        "layer", "name", "tp", "fp", "fn", "abstained", "incomplete",
         _rounded("precision", 9), _rounded("recall", 9), _rounded("f1", 9),
     )
 
@@ -969,6 +1133,19 @@ def fit_composite(spark, sf_dir):
     return evaluation.fit_composite(cut_lineage(_scores(spark, sf_dir)), V.run_labels(spark, sf_dir))
 
 
+@query("refit_checks", with_views("scores", "run_labels") + """
+SELECT 4::BIGINT AS layers, true AS adds_up, true AS not_negative, count(*) AS usable FROM (
+  SELECT message_id FROM scores JOIN run_labels USING (message_id) GROUP BY message_id HAVING count(score) = 4)""")
+def refit_checks(spark, sf_dir):
+    """Refitted weights are four shares of one; they come from messages on which all layers have a score."""
+    scores = cut_lineage(_scores(spark, sf_dir))
+    labels = V.run_labels(spark, sf_dir)
+    fitted = evaluation.fit_composite(scores, labels).agg(
+        F.count("*").alias("layers"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("adds_up"), (F.min("weight") >= 0).alias("not_negative"))
+    whole = scores.join(labels.select("message_id"), "message_id").groupBy("message_id").agg(F.count("score").alias("n")).where("n = 4")
+    return fitted.withColumn("usable", whole.agg(F.count("*")).scalar())
+
+
 @query("layer_health", with_views("grid", "recorded_signals") + """
 SELECT layer, runs, completed_share, p50_ms, p95_ms, max_ms, signals, abstained_share FROM (
   SELECT layer, count(*) AS runs, round(avg(completed::INTEGER), 9) AS completed_share, quantile_cont(duration_ms, 0.5) AS p50_ms,

@@ -106,21 +106,30 @@ class _Scanner(HTMLParser):
         super().close()
         self._end_text()
 
+    def stop(self) -> None:
+        """End the reading where the tokenizer gave up."""
+        self._end_text()
+
 
 def _clean(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
 def scan_html(markup: str | None) -> dict | None:
-    """Visible text (one node per line) and links; NULL in gives NULL out."""
+    """Visible text (one node per line) and links; NULL in gives NULL out.
+
+    Markup that the tokenizer refuses is read up to there, with the reason in `error`:
+    what was read is evidence, but what was not cannot be called clean.
+    """
     if markup is None:
         return None
-    scanner = _Scanner()
+    scanner, error = _Scanner(), None
     try:
         scanner.feed(markup)
         scanner.close()
-    except Exception:  # hostile markup the tokenizer refuses: nothing can be read from it
-        return {"text": "", "links": []}
+    except Exception as exc:  # hostile markup the tokenizer refuses
+        error = _clean(f"{type(exc).__name__}: {exc}")
+        scanner.stop()
     links = []
     for pos, link in enumerate(scanner.links):
         text = None
@@ -132,7 +141,7 @@ def scan_html(markup: str | None) -> dict | None:
             "href": _clean(link["href"]),
             "anchor_text": text and _clean(text),
         })
-    return {"text": _clean("\n".join(scanner.texts)), "links": links}
+    return {"text": _clean("\n".join(scanner.texts)), "links": links, "error": error}
 
 
 _SCAN_ARROW = pa.struct([
@@ -141,6 +150,7 @@ _SCAN_ARROW = pa.struct([
         ("pos", pa.int32()), ("source", pa.string()), ("href", pa.string()),
         ("anchor_text", pa.string()),
     ]))),
+    ("error", pa.string()),
 ])
 
 

@@ -168,8 +168,8 @@ def sentence_scores(
 
     Whole texts are scored; max_tokens limits a message to its first tokens, as a
     model with a fixed context would. While the model is small its words are looked
-    up where the text is, and all that is shuffled is one sum per sentence. A larger
-    model is joined by word, with the frequent words of these texts set apart.
+    up where the text is, and all that is shuffled is one sum per sentence. A model of more
+    words or bytes is joined by word, with the frequent words of these texts set apart.
     """
     words_of = F.transform(F.split(F.col(text_col), SENTENCE_END), exprs.word_tokens)
     if max_tokens is not None:
@@ -179,11 +179,7 @@ def sentence_scores(
     )
     unseen = lm.where(F.col("token").isNull()).first()["nll"]
     model = lm.where(F.col("token").isNotNull())
-    if model.limit(broadcast_words + 1).count() <= broadcast_words:
-        found = words.join(F.broadcast(model), "token", "left")
-    else:
-        hot = token_counts(messages, text_col).orderBy(F.col("n").desc(), "token")
-        found = lookup_join(words, model, "token", hot=hot)
+    found = lookup_join(words, model, "token", broadcast_words, token_counts(messages, text_col))
     return found.groupBy(key, "sentence").agg(
         F.count("*").alias("tokens"), F.avg(F.coalesce("nll", F.lit(unseen))).alias("nll")
     )

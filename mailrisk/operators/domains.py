@@ -43,12 +43,24 @@ def registrable_domain(
     Only the last n labels can match, n being the longest rule, so the host table
     gets n equality lookups on the rule table and is neither exploded nor regrouped.
     With the usual rule list every lookup is a broadcast and the host table is not
-    shuffled at all. A list beyond the bound is joined by suffix, and hosts of the
-    common suffixes do not gather in one task.
+    shuffled at all. A list beyond the bound is prepared for the distinct hosts only, by one join of
+    their suffixes, and brought back by one lookup; the table is read twice at any depth.
     """
     rules = suffix_rules(suffixes)
     depth = rules.agg(F.max(F.size(F.split("suffix", "\\.")))).first()[0] or 0
-    small = is_small(rules, max_broadcast)
+    if not is_small(rules, max_broadcast):
+        hosts = df.select(F.col(host_col).alias("_host")).where(F.col("_host").isNotNull()).distinct()
+        split = F.split("_host", "\\.")
+        tails = F.transform(
+            F.sequence(F.lit(1), F.least(F.size(split), F.lit(depth))),
+            lambda n: F.struct(n.alias("n"), F.array_join(F.slice(split, F.size(split) - n + 1, n), ".").alias("suffix")))
+        spelled = lookup_join(hosts.select("_host", F.inline(tails)), rules, "suffix", 0)
+        found = spelled.groupBy("_host").agg(*[
+            F.first(F.when(F.col("n") == n, F.struct("normal", "wildcard", "exception")), ignorenulls=True).alias(f"_rule{n}")
+            for n in range(1, depth + 1)
+        ])
+        named = _taken(found, "_host", depth, out).withColumnRenamed("_host", host_col).select(host_col, out)
+        return lookup_join(df, named, host_col)
 
     host = F.col(host_col)
     labels = F.size(F.split(host, "\\."))
@@ -60,12 +72,16 @@ def registrable_domain(
         rule = rules.select(
             F.col("suffix").alias(key), F.struct("normal", "wildcard", "exception").alias(f"_rule{n}")
         )
-        asked = frame.withColumn(key, tail)
-        joined = asked.join(F.broadcast(rule), key, "left") if small else lookup_join(asked, rule, key)
-        return joined.drop(key)
+        return frame.withColumn(key, tail).join(F.broadcast(rule), key, "left").drop(key)
 
+    return _taken(reduce(add_rule, range(1, depth + 1), df), host_col, depth, out)
+
+
+def _taken(joined: DataFrame, host_col: str, depth: int, out: str) -> DataFrame:
+    """The registrable domain from the rules found for each number of labels."""
+    host = F.col(host_col)
+    labels = F.size(F.split(host, "\\."))
     steps = range(1, depth + 1)
-    joined = reduce(add_rule, steps, df)
 
     def longest(kind: str, extra: int) -> list:
         return [

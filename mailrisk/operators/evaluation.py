@@ -9,6 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mailrisk.operators.results import MAX_CONFIG_ROWS
 from mailrisk.operators.skew import running_total
@@ -18,17 +19,24 @@ from mailrisk.session import cut_lineage, if_small
 ROC_BUCKETS = 4096
 
 
-def signal_metrics(signals: DataFrame, labels: DataFrame) -> DataFrame:
-    """Precision, recall and F1 of each signal over labelled messages.
+def signal_metrics(signals: DataFrame, labels: DataFrame, grid: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of each signal over labelled messages whose layer completed.
 
     A message on which a signal abstained counts neither for nor against it; those
-    are in `abstained`. Each message counts once per signal.
+    are in `abstained`. One whose layer did not complete was not judged at all: its signals do not
+    count, and it is in `incomplete`, not among the misses. Labelled messages that are not
+    in the grid(message_id, layer, completed) were never assessed and take no part.
+    Each message counts once per signal.
     """
     fired = F.col("error").isNull() & (F.col("score") > 0)
     per_message = signals.groupBy("message_id", "layer", "name").agg(
         F.max(fired).alias("fired"), F.max(F.col("error").isNotNull()).alias("unknown")
     )
-    judged = per_message.join(labels, "message_id")
+    assessed = grid.select("message_id", "layer", "completed").join(labels.select("message_id", "label"), "message_id")
+    judged = per_message.join(assessed.where("completed").select("message_id", "layer", "label"), ["message_id", "layer"])
+    # Four rows: what the signals of a layer could have found.
+    layers = F.broadcast(assessed.groupBy("layer").agg(
+        F.count_if(F.col("completed") & (F.col("label") == 1)).alias("threats"), F.count_if(~F.col("completed")).alias("incomplete")))
     threat = F.col("label") == 1
     silent = F.col("unknown") & ~F.col("fired")
     counts = judged.groupBy("layer", "name").agg(
@@ -37,13 +45,12 @@ def signal_metrics(signals: DataFrame, labels: DataFrame) -> DataFrame:
         F.count_if(silent).alias("abstained"),
         F.count_if(silent & threat).alias("abstained_threats"),
     )
-    threats = labels.agg(F.count_if(F.col("label") == 1)).scalar()
-    scored = counts.withColumn("fn", threats - F.col("tp") - F.col("abstained_threats"))
+    scored = counts.join(layers, "layer").withColumn("fn", F.col("threats") - F.col("tp") - F.col("abstained_threats"))
     precision = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
     f1 = F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
     return scored.select(
-        "layer", "name", "tp", "fp", "fn", "abstained",
+        "layer", "name", "tp", "fp", "fn", "abstained", "incomplete",
         precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
     )
 
@@ -82,14 +89,18 @@ def roc_points(scored: DataFrame, labels: DataFrame, by: str) -> DataFrame:
 def auc(points: DataFrame, by: str) -> DataFrame:
     """Area under the ROC curve; messages with equal scores get half credit.
 
-    The sums are whole numbers until the last division, so the value does not
-    depend on the order of addition.
+    The sums are whole numbers of up to 38 digits until the last division, so the value does not
+    depend on the order of addition, and no number of messages overflows it.
     """
-    pairs = F.col("neg") * (2 * (F.col("tp") - F.col("pos")) + F.col("pos"))
+    wide = lambda c: F.col(c).cast("decimal(18,0)")
+    pairs = wide("neg") * (2 * (wide("tp") - wide("pos")) + wide("pos")).cast("decimal(19,0)")
     return points.groupBy(by).agg(
         F.sum(F.col("pos") + F.col("neg")).alias("scored"),
         F.round(
-            F.try_divide(F.sum(pairs), 2 * F.max("positives") * F.max("negatives")), SCORE_DIGITS
+            F.try_divide(
+                F.sum(pairs).cast("double"),
+                2 * F.max("positives").cast("double") * F.max("negatives").cast("double"),
+            ), SCORE_DIGITS
         ).alias("auc"),
     )
 
@@ -132,7 +143,8 @@ def ablation(scores: DataFrame, weights: DataFrame, labels: DataFrame) -> DataFr
         for d in variants
     ])
     areas = auc(roc_points(sums.select("message_id", F.inline(rows)), labels, "dropped"), "dropped")
-    whole = areas.where(F.col("dropped") == 0).select("auc").scalar()
+    # Five rows meet in one window, so the areas are computed once.
+    whole = F.max(F.when(F.col("dropped") == 0, F.col("auc"))).over(Window.partitionBy(F.lit(0)))
     return areas.withColumn("marginal", F.round(whole - F.col("auc"), SCORE_DIGITS))
 
 

@@ -11,7 +11,6 @@ from mailrisk.operators.lookups import ttl_lookup
 from mailrisk.operators.signals import emit
 from mailrisk.operators.skew import lookup_join
 from mailrisk.schemas import DOMAIN_TTL_S
-from mailrisk.session import is_small
 
 MECHANISMS = ("spf", "dkim", "dmarc")
 FAILED = ("fail", "softfail", "permerror")
@@ -19,8 +18,10 @@ MAX_BRANDS = 100_000
 
 
 def _verdict(header: Column, mechanism: str) -> Column:
-    found = F.regexp_extract(header, f"(?i)(?:^|[\\s;]){mechanism}\\s*=\\s*([a-z]+)", 1)
-    return F.nullif(F.lower(found), F.lit(""))
+    """The mechanism's verdict; of several (a mail may carry several signatures) `pass` counts, else the first."""
+    found = F.transform(
+        F.regexp_extract_all(header, F.lit(f"(?i)(?:^|[\\s;]){mechanism}\\s*=\\s*([a-z]+)"), F.lit(1)), F.lower)
+    return F.when(F.array_contains(found, "pass"), "pass").otherwise(F.get(found, F.lit(0)))
 
 
 def auth_results(messages: DataFrame, key: str = "message_id") -> DataFrame:
@@ -100,6 +101,7 @@ def domain_age_signals(
     aged = aged.withColumn("age_days", days)
     reason = (
         F.when(F.col("domain").isNull(), F.lit("no sender domain"))
+        .when(F.col(received_at).isNull(), F.lit("no time of receipt"))
         .when(F.col("fetched_at").isNull(), F.lit("no registration record"))
         .when(F.col("created_at").isNull(), F.lit("registration unknown"))
     )
@@ -114,27 +116,42 @@ def domain_age_signals(
     )
 
 
+# Words of the longest brand name that is looked for.
+BRAND_WORDS = 4
+
+
+def brand_words(text: Column) -> Column:
+    """The words of a name; invisible characters inside them do not part them."""
+    return exprs.word_tokens(F.regexp_replace(text, exprs.ZERO_WIDTH, ""))
+
+
 def brand_domains(brands: DataFrame) -> DataFrame:
-    """brands(token, domain) to one row per token with all of its domains."""
-    return brands.groupBy(F.lower("token").alias("token")).agg(
+    """brands(token, domain) to one row per name, its words joined by a space, with all of its domains."""
+    return brands.groupBy(F.array_join(brand_words(F.col("token")), " ").alias("token")).agg(
         F.collect_set(F.lower("domain")).alias("domains")
-    )
+    ).where("token <> ''")
 
 
 def named_brands(
     df: DataFrame, text_col: str, brands: DataFrame, max_broadcast: int = MAX_BRANDS
 ) -> DataFrame:
-    """Rows of df once per brand token their text names, with the brand's domains.
+    """Rows of df once per brand their text names, with the brand's domains.
 
-    The brand list is broadcast after its size is checked. A longer list is joined
-    by token, with the frequent tokens of these texts set apart.
+    A brand of several words is named by these words in a row. The brand list is broadcast after its
+    size is checked. A longer list is joined by name, with the frequent ones of these texts set apart.
     """
-    tokens = F.explode(F.array_distinct(exprs.word_tokens(F.col(text_col))))
-    words = df.select(*df.columns, tokens.alias("token"))
     known = brand_domains(brands)
-    if is_small(known, max_broadcast):
-        return words.join(F.broadcast(known), "token")
-    return lookup_join(words, known, "token").where("domains IS NOT NULL")
+    longest = known.agg(F.max(F.size(F.split("token", " ")))).first()[0] or 1
+    words = brand_words(F.col(text_col))
+    none = F.array().cast("array<string>")
+
+    def runs_of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(words) - n + 1)
+        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
+
+    named = F.concat(*[runs_of(n) for n in range(1, min(longest, BRAND_WORDS) + 1)])
+    spelled = df.select(*df.columns, F.explode(F.array_distinct(named)).alias("token"))
+    return lookup_join(spelled, known, "token", max_broadcast).where("domains IS NOT NULL")
 
 
 def impersonation_signals(

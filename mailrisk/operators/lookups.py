@@ -6,13 +6,23 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 from pyspark.sql.window import Window
 
+from mailrisk.schemas import INTEL_TTL_S
+from mailrisk.session import if_small
+
+MAX_FEEDS = 100_000
+
 
 def _slice_of(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds)
 
 
+# Events of one key and slice that a window takes; more are dealt to several.
+SLICE_ROWS = 10_000
+
+
 def ttl_lookup(
     events: DataFrame,
     lookups: DataFrame,
@@ -21,21 +31,25 @@ def ttl_lookup(
     fetched_at: str,
     ttl_s: int,
     slice_s: int = 3600,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """For each event the newest record of its key fetched at or before it, within the TTL.
 
-    Adds the lookup columns; they are NULL when there is no valid record. A record
-    that says "nothing known" is a record like any other. Of records fetched at the
-    same time, the greatest by the other columns counts.
+    Adds the lookup columns; they are NULL when there is no valid record, and for events without key
+    or time, which are answered where they are. A record that says "nothing known" is a
+    record like any other. Of records fetched at the same time, the greatest by the other
+    columns counts.
 
     Rows are merged by time and the last record is carried forward, so the
     work is a sort and never a product of events and records of a key. Time is cut
     into slices so a hot key is spread over many groups; what a slice inherits is
-    the last record before it, found on one summary row per key and slice.
+    the last record before it, found on one summary row per key and slice. The events of a
+    crowded slice are dealt by a hash of the row to several groups, each with the records.
     """
     payload = [c for c in lookups.columns if c != key]
     record = F.struct(F.col(fetched_at).alias("_at"), *[F.col(c) for c in payload if c != fetched_at])
     record_type = lookups.select(record.alias("r")).schema["r"].dataType
+    names = [(c, "_at" if c == fetched_at else c) for c in payload]
 
     records = lookups.where(F.col(fetched_at).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).alias("_key"),
@@ -43,35 +57,38 @@ def ttl_lookup(
         F.col(fetched_at).cast("timestamp").alias("_time"),
         record.alias("_record"),
     )
-    requests = events.select(
+    askable = F.col(key).isNotNull() & F.col(event_ts).isNotNull()
+    hashed = [f.name for f in events.schema.fields if isinstance(f.dataType, AtomicType)]
+    requests = events.where(askable).select(
         F.col(key).alias("_key"),
         _slice_of(F.col(event_ts), slice_s).alias("_slice"),
         F.col(event_ts).cast("timestamp").alias("_time"),
         F.struct(*events.columns).alias("_event"),
+        F.xxhash64(*hashed).alias("_hash"),
     )
 
-    # One row per key and slice: the last record in it, and whether anything asks there.
+    # One row per key and slice: the last record in it, and how many ask there.
     ends = records.groupBy("_key", "_slice").agg(F.max("_record").alias("_record"))
-    asks = requests.select("_key", "_slice").distinct()
-    summary = ends.select("_key", "_slice", "_record", F.lit(False).alias("_asks")).unionByName(
-        asks.select("_key", "_slice", F.lit(None).cast(record_type).alias("_record"), F.lit(True).alias("_asks"))
+    asks = requests.groupBy("_key", "_slice").agg(F.ceil(F.count("*") / slice_rows).alias("_parts"))
+    summary = ends.select("_key", "_slice", "_record", F.lit(0).cast("bigint").alias("_parts")).unionByName(
+        asks.select("_key", "_slice", F.lit(None).cast(record_type).alias("_record"), "_parts")
     )
     earlier = Window.partitionBy("_key").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
     inherited = (
         summary.withColumn("_record", F.max("_record").over(earlier))
-        .where(F.col("_asks") & F.col("_record").isNotNull())
+        .where((F.col("_parts") > 0) & F.col("_record").isNotNull())
         .select("_key", "_slice", F.col("_record._at").cast("timestamp").alias("_time"), "_record")
     )
-
-    no_event = F.lit(None).cast(requests.schema["_event"].dataType)
-    no_record = F.lit(None).cast(record_type)
-    merged = (
-        records.unionByName(inherited)
-        .withColumn("_event", no_event)
-        .unionByName(requests.withColumn("_record", no_record))
-    )
+    # Crowded slices hold slice_rows events each, so there are fewer of them than events by that factor.
+    crowded = asks.where(F.col("_parts") > 1)
+    dealt = lookup_parts(requests, crowded).withColumn("_part", F.pmod(F.xxhash64("_hash"), "_parts")).drop("_hash", "_parts")
+    known = lookup_parts(records.unionByName(inherited), crowded).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+
+    merged = known.withColumn("_event", F.lit(None).cast(requests.schema["_event"].dataType)).unionByName(
+        dealt.withColumn("_record", F.lit(None).cast(record_type)))
     upto = (
-        Window.partitionBy("_key", "_slice")
+        Window.partitionBy("_key", "_slice", "_part")
         .orderBy("_time")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -82,15 +99,26 @@ def ttl_lookup(
         .where(F.col("_event").isNotNull())
         .withColumn("_last", F.when(age <= ttl_s * 1_000_000, F.col("_last")))
     )
-    names = [(c, "_at" if c == fetched_at else c) for c in payload]
-    return answered.select("_event.*", *[F.col(f"_last.{inner}").alias(c) for c, inner in names])
+    unanswered = events.where(~askable).select(
+        *events.columns, *[F.lit(None).cast(lookups.schema[c].dataType).alias(c) for c in payload])
+    return answered.select("_event.*", *[F.col(f"_last.{inner}").alias(c) for c, inner in names]).union(unanswered)
 
 
-def feed_status(snapshots: DataFrame, as_of: datetime | Column, ttl_s: int) -> DataFrame:
+def lookup_parts(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Add `_parts`, the number of groups that the row's key and slice are dealt to."""
+    parts = crowded.select(F.col("_key").alias("_k"), F.col("_slice").alias("_s"), "_parts")
+    joined = rows.join(parts, (F.col("_key") == F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
+    return joined.drop("_k", "_s").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("bigint")))
+
+
+def feed_status(
+    snapshots: DataFrame, as_of: datetime | Column, ttl_s: int = INTEL_TTL_S, expected: DataFrame | None = None
+) -> DataFrame:
     """State of each feed at a moment: feed_status(feed, snapshot_at, newest_ok, usable).
 
     snapshots(feed, fetched_at, status). The last good snapshot counts even when the
-    newest one failed, as long as it is within the TTL.
+    newest one failed, as long as it is within the TTL. expected(feed) are the feeds there should
+    be, by default all that ever had a snapshot; one without a snapshot by then is not usable.
     """
     moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
     good = F.col("status") == "ok"
@@ -102,19 +130,32 @@ def feed_status(snapshots: DataFrame, as_of: datetime | Column, ttl_s: int) -> D
     fresh = F.unix_micros(moment.cast("timestamp")) - F.unix_micros(
         F.col("snapshot_at").cast("timestamp")
     )
-    return newest.withColumn("usable", F.coalesce(fresh <= ttl_s * 1_000_000, F.lit(False)))
+    wanted = (snapshots if expected is None else expected).select("feed").distinct()
+    return wanted.join(newest, "feed", "left").select(
+        "feed", "snapshot_at", F.coalesce("newest_ok", F.lit(False)).alias("newest_ok"),
+        F.coalesce(fresh <= ttl_s * 1_000_000, F.lit(False)).alias("usable"))
+
+
+def current_entries(entries: DataFrame, status: DataFrame) -> DataFrame:
+    """The rows of each usable feed's last good snapshot: entries(feed, url, fetched_at) by feed_status.
+
+    What a feed listed earlier and lists no more does not match, nor does anything of a feed whose
+    last good snapshot is beyond the TTL.
+    """
+    valid = status.where("usable").select("feed", F.col("snapshot_at").alias("fetched_at"))
+    return entries.join(if_small(valid, MAX_FEEDS), ["feed", "fetched_at"], "left_semi")
 
 
 def intel_available(status: DataFrame) -> DataFrame:
     """One row: can the intelligence layer complete, and if not, why.
 
-    Every feed has to be usable. A message that was only checked against some of
+    Every feed has to be usable, and there has to be one. A message that was only checked against some of
     the feeds has not been found clean.
     """
     missing = F.array_sort(F.collect_list(F.when(~F.col("usable"), F.col("feed"))))
-    return status.agg(missing.alias("missing")).select(
-        (F.size("missing") == 0).alias("completed"),
-        F.when(
+    return status.agg(missing.alias("missing"), F.count("*").alias("feeds")).select(
+        ((F.size("missing") == 0) & (F.col("feeds") > 0)).alias("completed"),
+        F.when(F.col("feeds") == 0, F.lit("no feed is expected")).when(
             F.size("missing") > 0, F.concat(F.lit("no usable snapshot: "), F.array_join("missing", ", "))
         ).alias("error"),
     )

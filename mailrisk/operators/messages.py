@@ -70,6 +70,34 @@ def received_chain() -> Column:
     )
 
 
+# Zone names of mail dates, as offsets. A name that is not here says nothing.
+ZONES = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400",
+    "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+MAIL_DATE = "([0-9]{1,2})\\s+([A-Za-z]{3})[a-z]*\\s+([0-9]{4})\\s+([0-9]{1,2}:[0-9]{2})(:[0-9]{2})?\\s*([+-][0-9]{4}|[A-Z]{1,4})?"
+
+
+def mail_date(text: Column) -> Column:
+    """The moment a mail date names, or NULL. Without a known zone it is taken as UTC."""
+    part = lambda n: F.regexp_extract(text, MAIL_DATE, n)
+    names = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+    zone = F.when(part(6).rlike("^[+-]"), part(6)).otherwise(F.coalesce(F.try_element_at(names, part(6)), F.lit("+0000")))
+    seconds = F.when(part(5) == "", ":00").otherwise(part(5))
+    written = F.concat(part(1), F.lit(" "), F.initcap(part(2)), F.lit(" "), part(3), F.lit(" "), part(4), seconds, F.lit(" "), zone)
+    return F.try_to_timestamp(written, F.lit("d MMM yyyy H:mm:ss xx"))
+
+
+def received_at() -> Column:
+    """When the mail arrived: the date of the topmost Received header, else the Date header, else NULL.
+
+    The topmost is the one of the receiving server; Date is what the sender wrote.
+    """
+    top = F.get(received_chain(), F.lit(0))
+    stamp = F.when(F.instr(top, ";") > 0, F.substring_index(top, ";", -1))
+    return F.coalesce(mail_date(stamp), mail_date(_first_header("date")))
+
+
 def recipients() -> Column:
     """To addresses over repeated headers, in order, first occurrence kept."""
     return F.array_distinct(F.filter(F.col("mail.to_addrs"), lambda a: a != ""))
@@ -132,7 +160,9 @@ def choose_bodies(decoded: DataFrame) -> DataFrame:
     )
     return scanned.withColumn(
         "body_text", F.coalesce("plain", "scan.text", "mail.flat_text", F.lit(""))
-    ).withColumn("links", F.coalesce("scan.links", F.from_json(F.lit("[]"), _links_type())))
+    ).withColumn("links", F.coalesce("scan.links", F.from_json(F.lit("[]"), _links_type()))).withColumn(
+        "html_error", F.col("scan.error")
+    )
 
 
 def _links_type() -> str:
@@ -142,11 +172,13 @@ def _links_type() -> str:
 def assemble_messages(decoded: DataFrame, keep_raw: bool = False) -> DataFrame:
     """The `messages` table from decoded rows.
 
-    Columns that came along with the raw messages are kept. A row that could not be
+    Columns that came along with the raw messages are kept, and a received_at among them
+    counts in place of the headers. A row that could not be
     decoded has its reason in `error` and nothing else.
     """
     raw = [F.col("content").alias("raw")] if keep_raw else []
     along = [c for c in decoded.columns if c not in ("source_id", "content", "mail")]
+    arrived = [] if "received_at" in along else [received_at().alias("received_at")]
     return choose_bodies(decoded).select(
         "source_id",
         message_id().alias("message_id"),
@@ -156,6 +188,8 @@ def assemble_messages(decoded: DataFrame, keep_raw: bool = False) -> DataFrame:
         F.coalesce(_first_header("subject"), F.lit("")).alias("subject"),
         "body_text",
         "body_html",
+        "html_error",
+        *arrived,
         F.col("mail.reply_to").alias("reply_to"),
         "links",
         headers_map().alias("headers"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.functions import exprs
 from mailrisk.functions.html import html_scan
+from mailrisk.operators.signals import emit
 
 
 def html_links(df: DataFrame, html_col: str) -> DataFrame:
@@ -101,3 +102,12 @@ def with_qr_observations(
         F.lit(None).cast("string").alias("anchor_text"),
     )
     return observations.unionByName(fresh)
+
+
+def unread_signals(messages: DataFrame, name: str, key: str = "message_id") -> DataFrame:
+    """links_unread, text_unread or intel_unread: abstains for mail whose markup was refused before its end.
+
+    Signals found in what was read still count; without one the layer has no score.
+    """
+    refused = messages.where(F.col("html_error").isNotNull())
+    return emit(refused, name, F.lit(""), error=F.concat(F.lit("markup could not be read: "), "html_error"), key=key)

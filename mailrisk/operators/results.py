@@ -32,10 +32,35 @@ def signal_rule() -> Column:
 
 
 def collect_signals(*producers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Union of all producers as (signals, quarantine); quarantined rows name the rule."""
-    rows = reduce(DataFrame.unionByName, producers).withColumn("rule", signal_rule())
-    signals = rows.where("rule IS NULL").drop("rule")
-    return signals, rows.where("rule IS NOT NULL")
+    """Union of all producers as (signals, quarantine); quarantined rows name the rule.
+
+    Rows may say in `ran` which layer produced them; a signal of another layer is then quarantined too.
+    """
+    rows = reduce(DataFrame.unionByName, producers)
+    rule = signal_rule()
+    if "ran" in rows.columns:
+        rule = F.coalesce(rule, F.when(F.col("layer") != F.col("ran"), "layer is not the one that ran"))
+    ruled = rows.withColumn("rule", rule)
+    return ruled.where("rule IS NULL").drop("rule"), ruled.where("rule IS NOT NULL")
+
+
+def reject_layers(grid: DataFrame, quarantine: DataFrame, key: str = "message_id") -> DataFrame:
+    """Make every layer that produced a quarantined signal for a message incomplete, with the rule as reason.
+
+    quarantine(key, ran, rule). What such a layer found is not known, so it has not found the
+    message clean. A quarantined signal without a message could be of any, so its layer is
+    incomplete for all of them.
+    """
+    by_rule = F.min("rule").alias("rule")
+    nameless = blank(F.col(key))
+    named = quarantine.where(~nameless).groupBy(key, F.col("ran").alias("layer")).agg(by_rule)
+    # One row per layer at most.
+    anyone = F.broadcast(
+        quarantine.where(nameless).groupBy(F.col("ran").alias("layer")).agg(F.min("rule").alias("any_rule")))
+    rule = F.coalesce("rule", "any_rule")
+    error = F.when(F.col("completed") & rule.isNotNull(), F.concat(F.lit("quarantined signal: "), rule)).otherwise(F.col("error"))
+    return grid.join(named, [key, "layer"], "left").join(anyone, "layer", "left").select(
+        key, "layer", (F.col("completed") & rule.isNull()).alias("completed"), error.alias("error"), "duration_ms")
 
 
 def qualified_name() -> Column:
@@ -143,13 +168,13 @@ def evidence_table(
     """Every layer of every message with its signals, their evidence and contribution.
 
     The strongest signal of a layer makes its score, so it carries the layer's part of
-    the composite; the others contribute nothing. A layer without signals is one row,
+    the composite; the others contribute nothing, also those of the same name or score.
+    The contributions of a message add up to its composite. A layer without signals is one row,
     marked `no findings` or `not completed`.
     """
     live = F.when(F.col("error").isNull(), F.col("score"))
     top = signals.groupBy(key, "layer").agg(
         F.max(live).alias("top_score"),
-        F.min(F.when(live.isNotNull(), F.struct((-live).alias("s"), "name")))["name"].alias("top_name"),
         F.count("*").alias("produced"),
     )
     states = grid.select(key, "layer", "completed", F.col("error").alias("reason")).join(
@@ -164,9 +189,10 @@ def evidence_table(
     shares = F.sum(F.when(F.col("layer_score").isNotNull(), F.col("weight"))).over(Window.partitionBy(key))
     layers = counted.withColumn("share", F.col("weight") / shares)
     # A layer that did not complete shows no signal, whatever was recorded for it.
+    ties = Window.partitionBy(key, "layer").orderBy(live.desc_nulls_last(), "name", "evidence")
     reported = signals.select(
         key, "layer", F.lit(True).alias("completed"), "name", "severity",
-        live.alias("score"), "evidence", F.col("error").alias("abstained"),
+        live.alias("score"), "evidence", F.col("error").alias("abstained"), F.row_number().over(ties).alias("rank"),
     )
     shown = layers.join(reported, [key, "layer", "completed"], "left")
     status = (
@@ -177,7 +203,7 @@ def evidence_table(
     )
     contribution = F.when(
         status == "fired",
-        F.when(F.col("name") == F.col("top_name"), F.col("share") * F.col("score")).otherwise(0.0),
+        F.when(F.col("rank") == 1, F.col("share") * F.col("score")).otherwise(0.0),
     )
     return shown.select(
         key, "layer", "name", status.alias("status"), "score", "severity",

@@ -24,6 +24,10 @@ STRENGTH = {
     "perplexity": (3, 0.5),
     "burstiness": (3, 0.5),
     "fusion": (3, 0.5),
+    # These only ever abstain: markup that could not be read to its end.
+    "links_unread": (2, 0.0),
+    "text_unread": (3, 0.0),
+    "intel_unread": (4, 0.0),
     "url_ioc": (4, 1.0),
     "domain_ioc": (4, 0.8),
     "hosting_flag": (4, 0.6),

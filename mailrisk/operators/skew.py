@@ -4,58 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
 from pyspark.sql.window import Window
 
-# The most frequent keys are set apart. A key that is not among them holds fewer
-# than one row in HOT_KEYS, whatever the data.
-HOT_KEYS = 1000
+from mailrisk.session import cut_lineage, is_small
 
+# Beyond this many rows (or the byte bound of a broadcast) the right side is joined by a shuffle.
+SMALL_ROWS = 200_000
+# A key is hot when it holds more than this part of a mean task's rows.
+HOT_PART = 0.25
 
-def hot_keys(df: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
-    """The most frequent keys, counted over all rows: at most `most` rows."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.orderBy(F.col("_n").desc(), key).limit(most).select(key)
+
+def hot_keys(counts: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Keys of counts(key, n) with more than HOT_PART of a mean task's rows: fewer than tasks / HOT_PART."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") > max(1.0, HOT_PART * total / tasks)).select(key)
 
 
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
-    most: int = HOT_KEYS,
-    hot: DataFrame | None = None,
+    small_rows: int = SMALL_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to a table with one row per key, safe for hot keys on the left.
 
-    The right rows of the most frequent keys are at most `most`, so they are
-    broadcast. Rows they answer are done; for the shuffled join of the others their
-    key is cleared and they are spread by a hash of the row, and so are rows
-    without a key. No task receives a hot group, and no row is left out. `hot` gives
-    the frequent keys where they can be counted more cheaply than on `left`.
+    A right side that is counted to be small is broadcast, and the left is not shuffled. For a larger
+    one the left is written once. Its hot keys are fewer than tasks / HOT_PART, so their
+    right rows are broadcast; rows of hot keys and rows without a key are answered where
+    they are and take no part in the shuffled join of the others. `counts` (key, n) gives the
+    keys' numbers where they can be counted more cheaply than on `left`.
     """
     payload = [c for c in right.columns if c != key]
-    packed = right.select(F.col(key).alias("_key"), F.struct(*payload).alias("_found"))
-    frequent = hot_keys(left, key, most) if hot is None else hot.select(key).limit(most)
-    answers = F.broadcast(
-        packed.join(F.broadcast(frequent.select(F.col(key).alias("_key"))), "_key", "left_semi").select(
-            F.col("_key").alias("_hot_key"), F.col("_found").alias("_hot")
-        )
-    )
-    done = F.col("_hot").isNotNull() | F.col(key).isNull()
-    row_hash = F.xxhash64(*[f.name for f in left.schema.fields if isinstance(f.dataType, AtomicType)])
-    no_salt = F.lit(None).cast("bigint")
-    spread = F.struct(F.when(~done, F.col(key)).alias("k"), F.when(done, row_hash).alias("salt"))
-    cold = packed.select(
-        F.struct(F.col("_key").alias("k"), no_salt.alias("salt")).alias("_cold_key"),
-        F.col("_found").alias("_cold"),
-    )
-    joined = (
-        left.join(answers, F.col(key) == F.col("_hot_key"), "left")
-        .withColumn("_spread", spread)
-        .join(cold, F.col("_spread") == F.col("_cold_key"), "left")
-    )
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*[F.col(c) for c in left.columns], *[found[c].alias(c) for c in payload])
+    packed = right.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.struct(*payload).alias("_found"))
+
+    def answered(rows: DataFrame, by: DataFrame) -> DataFrame:
+        joined = rows.join(by, F.col(key) == F.col("_key"), "left")
+        return joined.select(*[F.col(c) for c in left.columns], *[F.col("_found")[c].alias(c) for c in payload])
+
+    if is_small(packed, small_rows):
+        return answered(left, F.broadcast(packed))
+    left = cut_lineage(left)
+    known = F.col(key).isNotNull()
+    if counts is None:
+        counts = left.where(known).groupBy(key).agg(F.count("*").alias("n"))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(cut_lineage(hot_keys(cut_lineage(counts), key, tasks).withColumnRenamed(key, "_hot_key")))
+    same = F.col(key) == F.col("_hot_key")
+    crowded = left.where(known).join(hot, same, "left_semi")
+    others = left.where(known).join(hot, same, "left_anti")
+    few = F.broadcast(packed.join(hot, F.col("_key") == F.col("_hot_key"), "left_semi"))
+    without = left.where(~known).select(
+        *left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in payload])
+    return answered(crowded, few).union(answered(others, packed)).union(without)
 
 
 def running_total(

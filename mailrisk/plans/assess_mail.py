@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk.operators import body, headers, intel, links, lookups, observations, results, scoring
 from mailrisk.operators.messages import assemble_messages, decode_messages
-from mailrisk.schemas import LAYERS, SIGNALS
+from mailrisk.schemas import LAYERS, MIN_TOKENS, SIGNALS
 from mailrisk.session import cut_lineage
 
 
@@ -20,6 +22,11 @@ class LayerUnavailable(RuntimeError):
     """A layer cannot look, so it must not report that it found nothing."""
 
 
+# Of the errors that Spark finds before a job runs, those about data that is not there. Any
+# other, such as an unknown column, is a mistake in a program and ends the plan.
+DATA_MISSING = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 @dataclass(frozen=True)
 class Mail:
     """Normalised mail. Rows are keyed by source_id, in column message_id.
@@ -86,13 +93,17 @@ def standard_layers(records: Records) -> dict[int, Layer]:
         if records.brands is not None:
             found.append(headers.impersonation_signals(mail.messages, records.brands, records.suffixes))
         if records.registrations is not None:
-            senders = headers.sender_domains(mail.messages, records.suffixes)
+            senders = headers.sender_domains(
+                mail.messages.select("message_id", "from_addr", "received_at"), records.suffixes)
             found.append(headers.domain_age_signals(senders, records.registrations))
         return union(found)
 
     def url_layer(mail: Mail) -> DataFrame:
         seen = mail.observations
-        found = [links.base64_email_signals(seen), links.qr_signals(seen)]
+        found = [
+            links.base64_email_signals(seen), links.qr_signals(seen),
+            observations.unread_signals(mail.messages, "links_unread"),
+        ]
         if records.brands is not None:
             found.append(links.anchor_brand_signals(seen, records.brands, records.suffixes))
         if records.hops is not None:
@@ -103,10 +114,13 @@ def standard_layers(records: Records) -> dict[int, Layer]:
         return union(found)
 
     def text_layer(mail: Mail) -> DataFrame:
-        found = [body.zero_width_signals(mail.messages)]
+        found = [
+            body.zero_width_signals(mail.messages),
+            observations.unread_signals(mail.messages, "text_unread"),
+        ]
+        invisible = lambda c: F.regexp_count(c, F.lit(body.exprs.ZERO_WIDTH))
         features = mail.messages.select(
-            "message_id",
-            F.regexp_count("body_text", F.lit(body.exprs.ZERO_WIDTH)).cast("double").alias("zero_width"),
+            "message_id", (invisible("subject") + invisible("body_text")).cast("double").alias("zero_width"),
         )
         if records.urgency_model is not None:
             texts = mail.messages.select("message_id", "body_text")
@@ -119,8 +133,12 @@ def standard_layers(records: Records) -> dict[int, Layer]:
             scores = body.sentence_scores(mail.messages, records.language_model)
             shape = cut_lineage(body.text_shape(scores, mail.messages))
             found += [body.perplexity_signals(shape), body.burstiness_signals(shape)]
+            # Where the language-model signals abstain, fusion has no value either.
+            long_enough = F.col("tokens") >= MIN_TOKENS
             features = features.join(
-                shape.select("message_id", "perplexity", F.col("nll_spread").alias("burstiness")), "message_id"
+                shape.select(
+                    "message_id", F.when(long_enough, F.col("perplexity")).alias("perplexity"),
+                    F.when(long_enough, F.col("nll_spread")).alias("burstiness")), "message_id"
             )
         if records.fusion_model is not None and {*body.FUSION_FEATURES} <= {*features.columns}:
             found.append(body.fusion_signals(records.fusion_model, features))
@@ -129,13 +147,18 @@ def standard_layers(records: Records) -> dict[int, Layer]:
     def intel_layer(mail: Mail) -> DataFrame:
         if records.feeds is None:
             raise LayerUnavailable("no feeds are recorded")
-        if records.feed_status is not None:
-            state = lookups.intel_available(records.feed_status).first()
-            if not state["completed"]:
-                raise LayerUnavailable(state["error"])
+        if records.feed_status is None:
+            raise LayerUnavailable("the state of the feeds is not recorded")
+        state = lookups.intel_available(records.feed_status).first()
+        if not state["completed"]:
+            raise LayerUnavailable(state["error"])
+        feeds = records.feeds
+        if "fetched_at" in feeds.columns:
+            feeds = lookups.current_entries(feeds, records.feed_status)
         found = [
-            intel.url_ioc_signals(mail.observations, records.feeds),
-            intel.domain_ioc_signals(mail.observations, records.feeds, records.suffixes),
+            intel.url_ioc_signals(mail.observations, feeds),
+            intel.domain_ioc_signals(mail.observations, feeds, records.suffixes),
+            observations.unread_signals(mail.messages, "intel_unread"),
         ]
         if records.dns is not None and records.networks is not None:
             found.append(intel.hosting_signals(mail.observations, records.dns, records.networks))
@@ -149,30 +172,43 @@ def run_layers(mail: Mail, layers: Mapping[int, Layer | None]) -> tuple[DataFram
 
     The signals of a layer are written before the next one starts, so a layer that
     fails takes nothing else with it; it is incomplete for the batch, with the reason.
-    A layer that gives no table, or is not there, is incomplete too.
+    A layer that gives no table, or is not there, is incomplete too. Signals carry in `ran` the layer
+    that produced them. duration_ms is how long the layer's job took, for every message of the batch.
     """
     spark = mail.messages.sparkSession
-    signals = spark.createDataFrame([], SIGNALS)
+    columns = spark.createDataFrame([], SIGNALS).columns
+    signals = spark.createDataFrame([], f"{SIGNALS}, ran int")
     outcome = []
     for number in LAYERS:
+        started, reason = time.monotonic(), None
         try:
             found = layers[number](mail) if layers.get(number) else None
             if found is None:
                 raise TypeError("layer returned no signals table")
-            signals = signals.unionByName(cut_lineage(found.select(*signals.columns)))
-            outcome.append((number, True, None))
-        except Exception as exc:  # one layer must not sink the batch
-            outcome.append((number, False, f"{type(exc).__name__}: {str(exc).splitlines()[0]}"))
+            signals = signals.unionByName(cut_lineage(found.select(*columns, F.lit(number).alias("ran"))))
+        except AnalysisException as exc:
+            if exc.getCondition() not in DATA_MISSING:
+                raise
+            reason = _reason(exc)
+        except Exception as exc:  # whatever a layer meets stays in that layer
+            reason = _reason(exc)
+        outcome.append((number, reason, int((time.monotonic() - started) * 1000)))
     states = F.array(*[
         F.struct(
-            F.lit(number).alias("layer"), F.lit(done).alias("completed"),
-            F.lit(reason).cast("string").alias("error"), F.lit(0).cast("bigint").alias("duration_ms"),
+            F.lit(number).alias("layer"), F.lit(reason is None).alias("completed"),
+            F.lit(reason).cast("string").alias("error"), F.lit(took).cast("bigint").alias("duration_ms"),
         )
-        for number, done, reason in outcome
+        for number, reason, took in outcome
     ])
     return signals, mail.messages.select("message_id", F.inline(states))
 
 
+def _reason(exc: Exception) -> str:
+    """Kind of an error and the first line of its text, if it has one."""
+    lines = str(exc).splitlines()
+    return f"{type(exc).__name__}: {lines[0]}" if lines else type(exc).__name__
+
+
 @dataclass(frozen=True)
 class Result:
     assessments: DataFrame
@@ -189,15 +225,25 @@ def assess_mail(
     thresholds: DataFrame,
     scored_at: Column,
     qr_decodes: DataFrame | None = None,
+    limits: Mapping[int, float] | None = None,
+    total: float | None = None,
 ) -> Result:
     """raw_messages(source_id, content) to assessments, with all that led to them.
 
-    Assessments carry source_id beside the message's own id.
+    Assessments carry source_id beside the message's own id. A layer is incomplete for a message
+    if it failed, if it produced a signal that breaks the contract, or if it took longer than
+    `limits` (seconds by layer) or the whole longer than `total`; its signals do not count then.
+    Limits are those of a batch and off by default.
     """
     mail = normalize(raw, qr_decodes)
     produced, runs = run_layers(mail, layers)
-    signals, quarantine = results.collect_signals(produced)
-    grid = results.layer_grid(mail.messages, runs)
+    accepted, quarantine = results.collect_signals(produced)
+    grid = results.reject_layers(results.layer_grid(mail.messages, runs), quarantine)
+    if limits is not None or total is not None:
+        unlimited = dict.fromkeys(LAYERS, float("1e12"))
+        grid = results.apply_budgets(grid, {**unlimited, **(limits or {})}, total)
+    grid = cut_lineage(grid)
+    signals = results.surviving_signals(accepted.drop("ran"), grid)
     scored = scoring.assess(grid, signals, weights, thresholds, scored_at)
     named = scored.join(mail.messages.select("message_id", "header_id"), "message_id").withColumnsRenamed(
         {"message_id": "source_id", "header_id": "message_id"}

@@ -32,7 +32,7 @@ def write_report(
     )
     points = cut_lineage(evaluation.roc_points(ranked, labels, "layer"))
     tables = {
-        "signal_metrics": evaluation.signal_metrics(signals, labels),
+        "signal_metrics": evaluation.signal_metrics(signals, labels, grid),
         "confusion": evaluation.confusion(levelled, labels),
         "roc_points": points,
         "auc": evaluation.auc(points, "layer"),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# Temporary folders of local applications without the setting.
+_LOCAL: dict[str, str] = {}
 
 
 def local_session(cores: str = "8", memory: str = "8g", app: str = "mailrisk") -> SparkSession:
@@ -38,9 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    named = tempfile.mkdtemp(prefix="mailrisk-")
-    spark.conf.set(CHECKPOINT_DIR, named)
-    return named
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="mailrisk-")
+    return _LOCAL[application]
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -48,6 +51,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/mailrisk/{spark.sparkContext.applicationId}"
 
 
+def drop_work(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application. Results that read them must have been written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
@@ -61,13 +71,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when the table is counted to be within max_rows; counting stops one row past it."""
-    return df.limit(max_rows + 1).count() <= max_rows
+# What a table may hold to be broadcast, whatever its number of rows.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when the table is counted to be within max_rows and max_bytes; counting stops one row past them."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")).first()
+    return found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 
 def if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only when the table is counted to be within max_rows.
+    """Hint a broadcast only when the table is counted to be within max_rows and the byte bound.
 
     A larger table is returned without a hint, and the join is then a shuffled one
     chosen by the optimizer.

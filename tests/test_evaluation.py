@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mailrisk.operators import evaluation
 from mailrisk.schemas import SIGNALS
@@ -33,11 +34,22 @@ def test_signal_metrics(spark):
         row("c1", "y", 0.0, "no data"), row("unlabelled", "x", 0.9),
     ], SIGNALS)
     labels = spark.createDataFrame([("t1", 1), ("t2", 1), ("t3", 1), ("c1", 0), ("zero", 0)], "message_id string, label int")
-    got = {r["name"]: r for r in evaluation.signal_metrics(signals, labels).collect()}
+    grid = spark.createDataFrame([(m, 1, True) for m in ("t1", "t2", "t3", "c1", "zero", "unlabelled")], "message_id string, layer int, completed boolean")
+    got = {r["name"]: r for r in evaluation.signal_metrics(signals, labels, grid).collect()}
     x = got["x"]
-    assert (x["tp"], x["fp"], x["fn"], x["abstained"]) == (1, 1, 1, 1)
+    assert (x["tp"], x["fp"], x["fn"], x["abstained"], x["incomplete"]) == (1, 1, 1, 1, 0)
     assert (x["precision"], x["recall"], x["f1"]) == (0.5, 0.5, 0.5)
     assert (got["y"]["precision"], got["y"]["recall"], got["y"]["fn"]) == (None, 0.0, 3)
+    # A threat whose layer did not run was not missed, and one that was never assessed is not counted.
+    partial = grid.where("message_id <> 't2'").withColumn("completed", F.col("message_id") != "t3")
+    x = {r["name"]: r for r in evaluation.signal_metrics(signals, labels, partial).collect()}["x"]
+    assert (x["tp"], x["fn"], x["abstained"], x["incomplete"], x["recall"]) == (1, 0, 0, 1, 1.0)
+
+
+def test_auc_of_billions(spark):
+    n = 3_000_000_000
+    points = spark.createDataFrame([("g", n, 0, n, 0, n, n), ("g", 0, n, n, n, n, n)], "by string, pos long, neg long, tp long, fp long, positives long, negatives long")
+    assert evaluation.auc(points, "by").first()["auc"] == 1.0
 
 
 def test_ablation_and_refit(spark):

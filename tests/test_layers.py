@@ -28,6 +28,7 @@ def test_auth_reads_the_topmost_header(spark):
         "dmarc": ["mx; spf=pass; dkim=pass header.d=x; dmarc=FAIL (p=none)"],
         "two": ["mx; spf=softfail; dkim=fail; dmarc=none"],
         "one": ["mx; spf=fail"],
+        "resigned": ["mx; dkim=fail header.d=list.org; spf=pass; dkim=pass header.d=x.com"], "twice": ["mx; dkim=neutral; dkim=fail; spf=pass; dmarc=pass"],
         "forged_below": ["mx; spf=pass", "evil; spf=fail"],
         "silent": ["mx; none"], "absent": None,
     }

@@ -139,3 +139,25 @@ def test_evidence_table(spark):
         (1, "x", "fired", "e", 0.48), (1, "y", "fired", "e", 0.0), (2, None, "not completed", "timeout after 15s", None),
         (3, None, "no findings", None, None), (4, "z", "abstained", "e", None),
     ]
+
+
+def test_contributions_add_up_with_repeated_names(spark):
+    grid = runs_of(spark, [("a", k, True, None, 0) for k in (1, 2, 3, 4)])
+    signals = frame(spark, [signal("a", 2, "qr", 0.6), signal("a", 2, "qr", 0.5), signal("a", 2, "qr", 0.6), signal("a", 1, "x", 0.2)])
+    weights = config.weights_table(spark)
+    rows = results.evidence_table(grid, signals, weights).collect()
+    assert sorted(r["contribution"] for r in rows if r["layer"] == 2) == [0.0, 0.0, pytest.approx(0.18)]
+    whole = scoring.composite_score(scoring.layer_scores(grid, signals), weights).first()["score"]
+    assert sum(r["contribution"] or 0 for r in rows) == pytest.approx(whole)
+
+
+def test_quarantine_makes_the_layer_incomplete(spark):
+    grid = runs_of(spark, [(m, k, k != 4, None if k != 4 else "down", 0) for m in ("a", "b") for k in (1, 2, 3, 4)])
+    rows = frame(spark, [signal("a", 3, "p", float("nan")), signal("a", 1, "x", 0.5), signal(" ", 2, "x", 0.5), signal("b", 1, "y", 0.4), signal("b", 4, "z", 2.0)])
+    ran = rows.withColumn("ran", F.when(F.col("name") == "y", 2).otherwise(F.col("layer")))
+    good, bad = results.collect_signals(ran)
+    assert [r["name"] for r in good.collect()] == ["x"] and bad.where("rule = 'layer is not the one that ran'").count() == 1
+    states = {(r["message_id"], r["layer"]): (r["completed"], r["error"]) for r in results.reject_layers(grid, bad).collect()}
+    assert states["a", 3] == (False, "quarantined signal: score is not finite") and states["a", 1] == (True, None)
+    assert states["a", 2] == (False, "quarantined signal: message_id is blank") and not states["b", 2][0]
+    assert states["b", 4] == (False, "down") and states["b", 1] == (True, None) and len(states) == 8

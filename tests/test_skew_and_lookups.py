@@ -3,36 +3,65 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from mailrisk.operators import lookups, skew
 
 
+def largest_share(frame):
+    """Rows of the fullest task over the mean of all, as a plan's last stage deals them."""
+    sizes = [r["n"] for r in frame.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    return max(sizes) / (sum(sizes) / len(sizes))
+
+
+@pytest.fixture
+def plain_shuffles(spark):
+    """Eight tasks, no help from the optimizer."""
+    fixed = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in fixed}
+    for k, v in fixed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def test_lookup_join_is_a_left_join(spark):
     random.seed(1)
     left = [("hot", i) for i in range(300)] + [(random.choice("abcdefgh"), i) for i in range(300, 400)] + [(None, 400), (None, 401)]
     right = {"hot": 1, "a": 2, "b": 3, "c": None, "unused": 5}
     frame = spark.createDataFrame(left, "k string, n long")
-    table = spark.createDataFrame(list(right.items()), "k string, v int")
+    table = spark.createDataFrame([*right.items(), (None, 9)], "k string, v int")
     want = sorted(((k, n, right.get(k)) for k, n in left), key=repr)
-    for most in (1, 3, 1000):
-        got = skew.lookup_join(frame, table, "k", most).collect()
-        assert sorted(map(tuple, got), key=repr) == want, most
+    for small in (0, 1000):
+        got = skew.lookup_join(frame, table, "k", small).collect()
+        assert sorted(map(tuple, got), key=repr) == want, small
+
+
+def test_small_table_shuffles_nothing(spark):
+    frame = spark.range(1000).select((F.col("id") % 7).cast("string").alias("k"), F.col("id").alias("n"))
+    joined = skew.lookup_join(frame, spark.createDataFrame([("1", 1)], "k string, v int"), "k")
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
-def test_hot_rows_are_spread(spark):
-    """With one key in all rows, the shuffled join key of the left side is spread by row."""
-    frame = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("n"))
-    table = spark.createDataFrame([("hot", 1)], "k string, v int")
-    joined = skew.lookup_join(frame, table, "k")
-    assert joined.where("v = 1").count() == 1000
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "xxhash64" in plan and "Join LeftOuter" in plan
+@pytest.mark.parametrize("crowd", ["one key", "identical rows", "no key"])
+def test_large_table_spreads_a_crowd(spark, plain_shuffles, crowd):
+    """A third of the rows on one key: none of it goes through the shuffle."""
+    hot = F.lit(None).cast("string") if crowd == "no key" else F.lit("hot")
+    number = F.lit(0).cast("long") if crowd == "identical rows" else F.col("id")
+    key = F.when(F.col("id") % 3 == 0, hot).otherwise((F.col("id") % 5000).cast("string"))
+    frame = spark.range(60_000, numPartitions=8).select(key.alias("k"), number.alias("n"))
+    table = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v")).union(spark.createDataFrame([("hot", -1)], "k string, v long"))
+    joined = skew.lookup_join(frame, table, "k", 0)
+    assert joined.count() == 60_000 and joined.where("k = 'hot' and v = -1").count() == (0 if crowd == "no key" else 20_000)
+    assert largest_share(joined) <= 2
 
 
 def test_hot_keys_are_bounded(spark):
-    frame = spark.range(500).select((F.col("id") % 50).cast("string").alias("k"))
-    assert skew.hot_keys(frame, "k", 7).count() == 7
+    counts = spark.range(500).select(F.col("id").cast("string").alias("k"), F.lit(10).alias("n"))
+    assert skew.hot_keys(counts, "k", 8).count() == 0
+    assert skew.hot_keys(counts, "k", 1000).count() <= 4000
 
 
 def test_running_total(spark):
@@ -52,22 +81,36 @@ def test_ttl_lookup_agrees_with_a_loop(spark):
     start = datetime(2024, 1, 1)
     at = lambda: start + timedelta(minutes=30 * random.randint(0, 400))
     keys = ["hot"] * 6 + ["a", "b", None]
-    events = [(i, random.choice(keys), at()) for i in range(400)]
+    events = [(i, random.choice(keys), random.choice([None, at(), at(), at()])) for i in range(400)]
     records = list({(k, t): (k, t, random.choice([None, "x", "y"])) for k, t in ((random.choice(keys), at()) for _ in range(120))}.values())
     ev = spark.createDataFrame(events, "id long, k string, ts timestamp")
     rec = spark.createDataFrame(records, "k string, fetched_at timestamp, answer string")
-    for ttl, width in ((6 * 3600, 3600), (3 * 86400, 7200), (1800, 86400)):
+    for ttl, width, rows in ((6 * 3600, 3600, 10_000), (3 * 86400, 7200, 3), (1800, 86400, 5)):
         got = {r["id"]: (r["fetched_at"], r["answer"]) for r in
-               lookups.ttl_lookup(ev, rec, "k", "ts", "fetched_at", ttl, width).collect()}
+               lookups.ttl_lookup(ev, rec, "k", "ts", "fetched_at", ttl, width, rows).collect()}
         assert len(got) == len(events)
         for i, k, t in events:
-            known = [(f, a) for rk, f, a in records if rk == k and k is not None and f <= t]
+            known = [(f, a) for rk, f, a in records if rk == k and k is not None and t is not None and f <= t]
             best = max(known, key=lambda r: r[0], default=(None, None))
             if best[0] is None or t - best[0] > timedelta(seconds=ttl):
                 best = (None, None)
             assert got[i] == best, (i, k, t, ttl)
 
 
+@pytest.mark.parametrize("crowd", ["no key", "no time", "one key in one hour"])
+def test_ttl_lookup_spreads_a_crowd(spark, plain_shuffles, crowd):
+    start = F.lit("2024-01-01").cast("timestamp")
+    moment = F.timestamp_add("SECOND", F.col("id") % F.lit(1800 if crowd == "one key in one hour" else 90000), start)
+    third = F.col("id") % 3 == 0
+    key = F.when(third, F.lit(None if crowd == "no key" else "hot").cast("string")).otherwise((F.col("id") % 4000).cast("string"))
+    ts = F.when(third, F.lit(None).cast("timestamp")).otherwise(moment) if crowd == "no time" else moment
+    events = spark.range(60_000, numPartitions=8).select("id", key.alias("k"), ts.alias("ts"))
+    records = spark.range(4000).select(F.col("id").cast("string").alias("k"), start.alias("fetched_at"), F.lit("x").alias("answer"))
+    found = lookups.ttl_lookup(events, records.union(records.limit(1).withColumn("k", F.lit("hot"))), "k", "ts", "fetched_at", 10**6, slice_rows=500)
+    assert found.where("answer = 'x'").count() == (60_000 if crowd == "one key in one hour" else 40_000)
+    assert largest_share(found) <= 2
+
+
 def test_feed_status_uses_the_last_good_snapshot(spark):
     noon = datetime(2024, 1, 1, 12)
     h = lambda n: noon - timedelta(hours=n)
@@ -78,3 +121,17 @@ def test_feed_status_uses_the_last_good_snapshot(spark):
     assert got == {"a": (h(5), False, True), "b": (h(7), True, False), "c": (None, False, False), "d": (h(2), True, True)}
     assert tuple(lookups.intel_available(status).first()) == (False, "no usable snapshot: b, c")
     assert tuple(lookups.intel_available(status.where("usable")).first()) == (True, None)
+    assert tuple(lookups.intel_available(status.limit(0)).first()) == (False, "no feed is expected")
+    expected = spark.createDataFrame([("a",), ("d",), ("late",)], "feed string")
+    late = snapshots.unionByName(spark.createDataFrame([("late", h(-2), "ok")], snapshots.schema))
+    state = lookups.intel_available(lookups.feed_status(late, noon, expected=expected)).first()
+    assert tuple(state) == (False, "no usable snapshot: late")
+
+
+def test_stale_entries_do_not_match(spark):
+    noon = datetime(2024, 1, 1, 12)
+    h = lambda n: noon - timedelta(hours=n)
+    snapshots = spark.createDataFrame([("a", h(5), "ok"), ("a", h(3), "ok"), ("a", h(1), "failed"), ("b", h(7), "ok")], "feed string, fetched_at timestamp, status string")
+    entries = spark.createDataFrame([("a", "old", h(5)), ("a", "now", h(3)), ("a", "half", h(1)), ("b", "gone", h(7))], "feed string, url string, fetched_at timestamp")
+    found = lookups.current_entries(entries, lookups.feed_status(snapshots, noon))
+    assert [r["url"] for r in found.collect()] == ["now"]
