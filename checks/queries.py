@@ -764,6 +764,21 @@ def hosting_matches(spark, sf_dir):
     return found.select("ip", F.array_join("owners", ",").alias("owners"))
 
 
+@query("hosting_matches_6", """
+SELECT printf('2001:db8:%x::%x', page_id % 64, page_id) AS ip,
+       CASE WHEN page_id % 8 = 0 THEN 'half,quarter' ELSE 'quarter' END AS owners
+FROM pages WHERE page_id % 4 = 0""")
+def hosting_matches_6(spark, sf_dir):
+    """IPv6 addresses of pages in listed /48 and /64 networks."""
+    pages = table(spark, sf_dir, "pages")
+    dns = pages.select(F.format_string("2001:db8:%x::%x", F.col("page_id") % 64, F.col("page_id")).alias("ip"))
+    numbers = pages.select((F.col("page_id") % 64).alias("n")).distinct().where("n % 4 = 0")
+    wide = numbers.select(F.format_string("2001:db8:%x::/48", "n").alias("cidr"), F.lit("quarter").alias("owner"))
+    narrow = numbers.where("n % 8 = 0").select(F.format_string("2001:DB8:%x:0:0:0:0:0/64", "n").alias("cidr"), F.lit("half").alias("owner"))
+    found = intel.hosting_matches_6(dns, wide.unionByName(narrow))
+    return found.select("ip", F.array_join("owners", ",").alias("owners"))
+
+
 @query("hosting_signals", with_views("dns", "networks", "host_links") + """
 , flagged AS (SELECT host, min(ip) AS ip FROM dns JOIN networks ON n BETWEEN lo AND hi GROUP BY host)
 SELECT message_id, min({'h': host, 'i': ip}).h AS host, min({'h': host, 'i': ip}).i AS ip, CAST(count(*) AS VARCHAR) AS hosts
@@ -1191,3 +1206,73 @@ def assess_mail(spark, sf_dir):
     )
     given = F.when(~F.col("message_id").startswith("sha256:"), F.col("message_id"))
     return done.assessments.select("source_id", given.alias("message_id"), _rounded("score"), "level", "summary")
+
+
+FULL_MAIL = f"""
+, facts AS (SELECT *, 'https://www.' || source || '.example.com/view/' || doc_id AS link FROM mail_expected),
+counts AS (SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY token),
+mass AS (SELECT (sum(n) + count(*))::DOUBLE AS m FROM counts),
+sentences AS (
+  SELECT source_id, i - 1 AS sentence, s[i] AS body FROM (
+    SELECT source_id, regexp_split_to_array(body_text, '[.!?]+(?:[ \\t\\r\\n]+|$)|[\\r\\n]+') AS s FROM facts), unnest(range(1, len(s) + 1)) AS r(i)),
+words AS (SELECT source_id, sentence, unnest({TOKENS.format('body')}) AS token FROM sentences),
+scored AS (SELECT source_id, sentence, count(*) AS tokens, avg(-ln((coalesce(n, 0) + 1) / (SELECT m FROM mass))) AS nll
+           FROM words LEFT JOIN counts USING (token) GROUP BY ALL),
+shape AS (SELECT source_id, sum(tokens) AS tokens, sum(nll * tokens) / sum(tokens) AS perplexity, stddev_samp(nll) AS spread FROM scored GROUP BY source_id),
+layers AS (
+  SELECT f.source_id,
+    greatest(CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 9 = 2 THEN 1.0::DOUBLE WHEN doc_id % 4 = 1 AND doc_id % 6 = 1 THEN 0.8
+                  WHEN doc_id % 4 = 1 OR doc_id % 6 = 1 THEN 0.5 END,
+             CASE WHEN reply_to LIKE '%@other.example.org' THEN 0.7::DOUBLE END,
+             CASE WHEN source LIKE '%3' THEN 0.7::DOUBLE END,
+             CASE WHEN doc_id BETWEEN 720 AND 7199 THEN 0.6::DOUBLE END) AS fired1,
+    doc_id % 7 = 0 OR doc_id NOT BETWEEN 720 AND 720 + 10080 AS silent1,
+    CASE WHEN doc_id % 16 = 2 THEN 0.7::DOUBLE WHEN doc_id % 8 = 2 THEN 0.375 ELSE 0 END AS score2,
+    CASE WHEN tokens >= 40 AND (perplexity < 6.0 OR spread < 0.5) THEN 0.5::DOUBLE END AS fired3,
+    coalesce(tokens, 0) < 40 OR spread IS NULL AS silent3,
+    CASE WHEN doc_id % 12 = 2 THEN 1.0::DOUBLE WHEN doc_id % 4 = 2 THEN 0.8 ELSE 0 END AS score4
+  FROM facts f LEFT JOIN shape USING (source_id)),
+parts AS (
+  SELECT source_id, v.layer, v.weight,
+    CASE v.layer WHEN 1 THEN coalesce(fired1, CASE WHEN NOT silent1 THEN 0 END) WHEN 2 THEN score2
+                 WHEN 3 THEN coalesce(fired3, CASE WHEN NOT silent3 THEN 0 END) ELSE score4 END AS score
+  FROM layers, (VALUES (1, 0.3::DOUBLE), (2, 0.3::DOUBLE), (3, 0.2::DOUBLE), (4, 0.2::DOUBLE)) AS v(layer, weight)),
+whole AS (SELECT source_id, round(sum(weight * score) FILTER (score IS NOT NULL) / sum(weight) FILTER (score IS NOT NULL), 9) AS score FROM parts GROUP BY source_id)
+SELECT source_id, round(score, 6) AS score, CASE WHEN score >= 0.65 THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END AS level,
+       'all layers completed' AS summary FROM whole"""
+
+
+@query("assess_mail_full", with_views("mail_expected") + FULL_MAIL)
+def assess_mail_full(spark, sf_dir):
+    """Raw mail to assessments with every recorded table: registrations, brands, hops, pages, feeds, networks, language model."""
+    from mailrisk.plans import assess_mail as plan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    link = F.concat(F.lit("https://www."), "source", F.lit(".example.com/view/"), "doc_id")
+    at = lambda text: F.lit(text).cast("timestamp")
+    raw = V.raw_mail(spark, sf_dir).withColumn(
+        "received_at", F.timestamp_add("MINUTE", F.col("source_id").cast("int"), at("2024-01-10 00:00:00")))
+    brands = docs.where("source LIKE '%3'").select(F.concat(F.lit("Sender "), "source").alias("token"), F.lit("brand.example.org").alias("domain")).distinct()
+    registrations = spark.range(1).select(
+        F.lit("example.co.uk").alias("domain"), at("2024-01-08 00:00:00").alias("created_at"), at("2024-01-10 12:00:00").alias("fetched_at"))
+    step = lambda n: link if n == 0 else F.concat(link, F.lit(f"/{n}"))
+    hops = reduce(DataFrame.unionByName, [
+        docs.where(F.col("doc_id") % 8 == 2).select(step(n).alias("src"), step(n + 1).alias("dst")) for n in range(3)
+    ] + [docs.where(F.col("doc_id") % 8 == 6).select(step(0).alias("src"), step(1).alias("dst"))])
+    pages = docs.select(step(3).alias("url"), F.when(F.col("doc_id") % 16 == 2, "<div class=g-recaptcha>").otherwise("<p>").alias("html"))
+    fresh, stale = at("2024-01-31 20:00:00"), at("2024-01-31 19:00:00")
+    entry = lambda rest, moment: docs.where(F.col("doc_id") % 12 == rest).select(
+        F.lit("feed").alias("feed"), link.alias("url"), moment.alias("fetched_at"))
+    feeds = entry(2, fresh).unionByName(entry(6, stale))
+    snapshots = feeds.select("feed", "fetched_at").distinct().withColumn("status", F.lit("ok"))
+    hosts = docs.select(F.concat(F.lit("www."), "source", F.lit(".example.com")).alias("host")).distinct()
+    records = plan.Records(
+        suffixes=V.suffixes(spark, sf_dir), brands=brands, registrations=registrations, hops=hops, pages=pages, feeds=feeds,
+        feed_status=lookups.feed_status(snapshots, at("2024-02-01 00:00:00")),
+        dns=hosts.select("host", F.lit("203.0.113.9").alias("ip")),
+        networks=spark.createDataFrame([(203 << 24, (204 << 24) - 1, "AS1")], "lo long, hi long, owner string"),
+        language_model=body.fit_ngram_lm(table(spark, sf_dir, "documents", spread=True)),
+    )
+    weights, thresholds = config.load_weights(spark, WEIGHTS_FILE)
+    done = plan.assess_mail(raw, plan.standard_layers(records), weights, thresholds, at("2024-02-01 00:00:00"))
+    return done.assessments.select("source_id", _rounded("score"), "level", "summary")

@@ -74,6 +74,37 @@ def ip_number(ip: Column) -> Column:
     return F.when(valid, ((a * 256 + b) * 256 + c) * 256 + d)
 
 
+def ip6_bits(ip: Column) -> Column:
+    """IPv6 address as 128 binary digits, or NULL. An embedded dotted IPv4 part is not read."""
+    halves = F.split(ip, "::")
+    part = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    left, right = part(0), part(1)
+    given = F.size(left) + F.size(right)
+    zeros = F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0)))).otherwise(
+        F.array().cast("array<string>"))
+    groups = F.concat(left, zeros, right)
+    valid = ip.rlike("^[0-9A-Fa-f:]+$") & (F.size(groups) == 8) & (F.size(halves) <= 2) & ((F.size(halves) == 1) | (given < 8))
+    valid = valid & F.forall(groups, lambda g: F.length(g) <= 4)
+    return F.when(valid, F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
+
+
+def hosting_matches_6(dns: DataFrame, networks: DataFrame) -> DataFrame:
+    """The same for IPv6: networks(cidr, owner), whose prefix lengths in use are at most 129."""
+    size = F.substring_index("cidr", "/", -1).try_cast("int")
+    listed = networks.where(F.col("cidr").contains(":")).select(
+        ip6_bits(F.substring_index("cidr", "/", 1)).alias("base"), F.when(size.between(0, 128), size).alias("size"), "owner"
+    ).dropna()
+    owners = cut_lineage(
+        listed.groupBy("size", F.expr("substring(base, 1, size)").alias("base"))
+        .agg(F.collect_set("owner").alias("owners")).select("size", F.concat("size", F.lit(":"), "base").alias("prefix"), "owners"))
+    sizes = sorted(row["size"] for row in owners.select("size").distinct().collect())
+    addresses = dns.select("ip").distinct().withColumn("bits", ip6_bits(F.col("ip"))).where("bits IS NOT NULL")
+    among = F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")
+    asked = addresses.select("ip", "bits", among).select("ip", F.expr("concat(size, ':', substring(bits, 1, size))").alias("prefix"))
+    found = lookup_join(asked, owners.select("prefix", "owners"), "prefix").where("owners IS NOT NULL")
+    return found.groupBy("ip").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("owners"))
+
+
 def network_blocks(networks: DataFrame) -> DataFrame:
     """networks(lo, hi, owner) as aligned blocks: blocks(bits, prefix, owner).
 
@@ -81,7 +112,7 @@ def network_blocks(networks: DataFrame) -> DataFrame:
     to a range when it lies inside it and the block twice its size does not. That
     can only be the first or last block of a size, so a range has at most two of each.
     """
-    sizes = networks.select("lo", "hi", "owner", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bits"))
+    sizes = networks.where("lo IS NOT NULL AND hi IS NOT NULL").select("lo", "hi", "owner", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bits"))
     inner = sizes.select(
         "*",
         F.expr("shiftright(lo + shiftleft(1L, bits) - 1, bits)").alias("first"),
@@ -135,8 +166,12 @@ def hosting_signals(
     observations: DataFrame, dns: DataFrame, networks: DataFrame, key: str = "message_id"
 ) -> DataFrame:
     """hosting_flag: a URL's host resolves into a listed network, by recorded dns(host, ip)."""
+    dns = dns.select("host", "ip").distinct()
+    matches = hosting_matches(dns, networks)
+    if "cidr" in networks.columns:
+        matches = matches.unionByName(hosting_matches_6(dns, networks))
     flagged = (
-        lookup_join(dns.select("host", "ip"), hosting_matches(dns, networks), "ip")
+        lookup_join(dns, matches, "ip")
         .where("owners IS NOT NULL")
         .groupBy(F.lower("host").alias("host"))
         .agg(F.min(F.struct("ip", "owners")).alias("first"))
