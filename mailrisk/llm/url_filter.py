@@ -31,12 +31,12 @@ RULES = (
 
 STRICT_TERMS = (
     "porn", "porno", "xxx", "hentai", "camgirls", "escorts", "warez", "keygen", "crackz", "torrents",
-    "onlinecasino", "sexcam", "nudes", "milf", "bdsm",
+    "onlinecasino", "sexcam", "nudes", "milf", "bdsm", "adult",
 )
 SOFT_TERMS = (
-    "adult", "sex", "sexy", "nude", "dating", "casino", "poker", "betting", "gambling", "slots", "jackpot",
+    "sex", "sexy", "nude", "dating", "casino", "poker", "bet", "bets", "betting", "gambling", "slots", "jackpot",
     "viagra", "cialis", "pills", "loan", "payday", "cheap", "free", "bonus", "crack", "serial", "torrent",
-    "download", "click", "ads", "affiliate", "replica", "hot", "girls", "win",
+    "download", "click", "ads", "track", "tracking", "affiliate", "replica", "hot", "girls", "win",
 )
 
 
