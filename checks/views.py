@@ -25,28 +25,21 @@ SCHEMAS = {
 }
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A driver table; `spread` deals it to all cores when the file has too few splits.
 
-    The driver writes one row group per table, which one task would read and decode
-    alone; whole texts and markup are spread. A table with a split or more for every
+    The driver writes one row group per file, which one task would read and decode
+    alone; whole texts and markup are spread. A table with a file or more for every
     core is read as it is.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     frame = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread and _bytes(frame) < cores * SPLIT_BYTES:
+    if spread and len(frame.inputFiles()) < cores:
         return frame.repartition(cores)
     return frame
 
 
-def _bytes(frame: DataFrame) -> int:
-    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def with_views(*names: str) -> str:
     """WITH clause for these views and the views they need, in order."""
     wanted: list[str] = []

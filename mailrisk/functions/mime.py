@@ -52,7 +52,7 @@ def _attempt(call, default=None):
     """Call into the mail library, which may raise on hostile input."""
     try:
         return call()
-    except Exception:  # untrusted bytes: any failure means "not readable"
+    except Exception:  # the sender chose these bytes, so nothing about them is certain
         return default
 
 
