@@ -55,28 +55,28 @@ def gram_columns(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def _term_stages(features: int) -> list:
-    """Counts of words with word pairs, and of character 3-5-grams, hashed to `features` columns each."""
+    """Counts of words with word pairs, and of character 3-5-grams, hashed to twice `features` columns.
+
+    The two kinds are told apart by a letter in front. They share one vector, since assembling two
+    would describe every column by name in the schema.
+    """
+    marked = "concat(transform(concat(words, pairs), w -> concat('w', w)), transform(chars, c -> concat('c', c))) AS terms"
     return [
         NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS word_grams FROM __THIS__"),
-        HashingTF(inputCol="word_grams", outputCol="word_tf", numFeatures=features),
-        HashingTF(inputCol="chars", outputCol="char_tf", numFeatures=features),
+        SQLTransformer(statement=f"SELECT *, {marked} FROM __THIS__"),
+        HashingTF(inputCol="terms", outputCol="tf", numFeatures=2 * features),
     ]
 
 
 def _weight_stages() -> list:
-    return [
-        IDF(inputCol="word_tf", outputCol="word_tfidf"),
-        IDF(inputCol="char_tf", outputCol="char_tfidf"),
-        VectorAssembler(inputCols=["word_tfidf", "char_tfidf"], outputCol="features"),
-    ]
+    return [IDF(inputCol="tf", outputCol="features")]
 
 
 def _terms(df: DataFrame, text_col: str, features: int, *kept: str) -> DataFrame:
     """Term counts, written once: fitting reads them several times, the texts only now."""
     grams = gram_columns(df, text_col)
     counted = PipelineModel(_term_stages(features)).transform(grams)
-    return cut_lineage(counted.select(*kept, "word_tf", "char_tf"))
+    return cut_lineage(counted.select(*kept, "tf"))
 
 
 def urgency_features(df: DataFrame, text_col: str = "text", features: int = 1 << 18) -> DataFrame:

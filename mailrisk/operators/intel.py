@@ -83,7 +83,7 @@ def ip6_bits(ip: Column) -> Column:
     zeros = F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0)))).otherwise(
         F.array().cast("array<string>"))
     groups = F.concat(left, zeros, right)
-    valid = ip.rlike("^[0-9A-Fa-f:]+$") & (F.size(groups) == 8) & (F.size(halves) <= 2) & ((F.size(halves) == 1) | (given < 8))
+    valid = ip.rlike("^[0-9A-Fa-f:]+$") & ~ip.rlike(":::|^:[^:]|[^:]:$") & (F.size(groups) == 8) & (F.size(halves) <= 2) & ((F.size(halves) == 1) | (given < 8))
     valid = valid & F.forall(groups, lambda g: F.length(g) <= 4)
     return F.when(valid, F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
 

@@ -209,7 +209,7 @@ def test_ipv6_bits(spark):
     import ipaddress
 
     good = ["::", "::1", "2001:db8::", "2001:DB8:0:1::ff", "1:2:3:4:5:6:7:8", "fe80::1:2:3", "1:2:3:4:5:6:7::"]
-    bad = ["1:2:3", "1::2::3", ":::", "12345::", "g::", "1:2:3:4:5:6:7:8:9", "203.0.113.9", "", None, "1:2:3:4:5:6:7:8::"]
+    bad = ["1:2:3", "1::2::3", ":::", "12345::", "g::", "1:2:3:4:5:6:7:8:9", "203.0.113.9", "", None, "1:2:3:4:5:6:7:8::", "1:2:3:4:5:6:7:8:", ":1:2:3:4:5:6:7:8"]
     frame = spark.createDataFrame([(x,) for x in good + bad], "ip string")
     got = {r["ip"]: r["b"] for r in frame.select("ip", intel.ip6_bits(F.col("ip")).alias("b")).collect()}
     assert {x: got[x] for x in good} == {x: f"{int(ipaddress.ip_address(x)):0128b}" for x in good}
