@@ -269,7 +269,11 @@ def deduplicate(documents: DataFrame, shingle: int = 3) -> DataFrame:
     The columns are those of the input. Exact repeats of the row that stays go too. Rows with
     a null doc_id stay only where nothing in their component has an id.
     """
-    groups = near_duplicates(documents, shingle)
+    return one_of_each(documents, near_duplicates(documents, shingle))
+
+
+def one_of_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """The document with the smallest doc_id of each root, then the smallest text hash, of groups(doc_id, text_hash, root)."""
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
     stay = cut_lineage(
         groups.groupBy("root").agg(smallest.alias("s"))
