@@ -116,10 +116,6 @@ def domain_age_signals(
     )
 
 
-# Words of the longest brand name that is looked for.
-BRAND_WORDS = 4
-
-
 def brand_words(text: Column) -> Column:
     """The words of a name; invisible characters inside them do not part them."""
     return exprs.word_tokens(F.regexp_replace(text, exprs.ZERO_WIDTH, ""))
@@ -137,11 +133,12 @@ def named_brands(
 ) -> DataFrame:
     """Rows of df once per brand their text names, with the brand's domains.
 
-    A brand of several words is named by these words in a row. The brand list is broadcast after its
+    A brand of several words, however many, is named by these words in a row. The brand list is broadcast after its
     size is checked. A longer list is joined by name, with the frequent ones of these texts set apart.
     """
     known = brand_domains(brands)
-    longest = known.agg(F.max(F.size(F.split("token", " ")))).first()[0] or 1
+    # As many rows as names differ in length, whatever the number of brands.
+    lengths = sorted(r[0] for r in known.select(F.size(F.split("token", " "))).distinct().collect())
     words = brand_words(F.col(text_col))
     none = F.array().cast("array<string>")
 
@@ -149,7 +146,7 @@ def named_brands(
         places = F.sequence(F.lit(1), F.size(words) - n + 1)
         return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
 
-    named = F.concat(*[runs_of(n) for n in range(1, min(longest, BRAND_WORDS) + 1)])
+    named = F.concat(none, *[runs_of(n) for n in lengths])
     spelled = df.select(*df.columns, F.explode(F.array_distinct(named)).alias("token"))
     return lookup_join(spelled, known, "token", max_broadcast).where("domains IS NOT NULL")
 

@@ -58,6 +58,19 @@ def test_impersonation(spark, suffixes):
     assert pairs(near) == pairs(far) and len(pairs(near)) == 4
 
 
+def test_brands_of_any_number_of_words(spark, suffixes):
+    names = ["post", "Bank of New York Mellon", "The Most Honourable Society of Letter Carriers and Clerks"]
+    brands = spark.createDataFrame([(n, "own.com") for n in names], "token string, domain string")
+    rows = [("five", "BANK of New York\u200b Mellon, support", "a@evil.com"), ("nine", f"{names[2]} | post", "a@evil.com"),
+            ("own", names[1], "a@own.com"), ("part", "Bank of New York", "a@evil.com"), ("none", "", "a@evil.com")]
+    frame = spark.createDataFrame(rows, "message_id string, from_display string, from_addr string")
+    got = by_message(headers.impersonation_signals(frame, brands, suffixes))
+    assert {k: r["metadata"]["brands"] for k, r in got.items()} == {"five": names[1].lower(), "nine": f"post, {names[2].lower()}"}
+    assert headers.named_brands(frame, "from_display", brands.limit(0)).count() == 0
+    links_ = spark.createDataFrame([("m", f"Log in to {names[1]}", "https://evil.com/")], "message_id string, anchor_text string, url string")
+    assert [r["token"] for r in headers.named_brands(links_, "anchor_text", brands).collect()] == [names[1].lower()]
+
+
 def test_domain_age_abstains_on_the_unknown(spark):
     now = datetime(2024, 1, 31)
     d = lambda n: now - timedelta(days=n)
