@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import bpe, flac, neighbours, packing, quality, secrets, simhash, substring, toxicity, url_filter
+from mailrisk.llm import (
+    bpe, flac, language, neighbours, packing, periodic, quality, secrets, simhash, substring, toxicity, url_filter,
+)
 from mailrisk.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +82,13 @@ def op9_packing(spark, sf_dir):
 @query("op10_flac")
 def op10_flac(spark, sf_dir):
     return flac.digests(flac.write_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op11_periodic")
+def op11_periodic(spark, sf_dir):
+    return periodic.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_language")
+def op12_language(spark, sf_dir):
+    return language.report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
