@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailrisk.llm import (
-    bpe, flac, language, neighbours, packing, periodic, quality, secrets, simhash, substring, toxicity, url_filter,
+    alignment, bpe, flac, language, neighbours, packing, periodic, quality, secrets, simhash, substring, toxicity, url_filter,
 )
 from mailrisk.llm.common import held_out, table
 
@@ -92,3 +92,9 @@ def op11_periodic(spark, sf_dir):
 @query("op12_language")
 def op12_language(spark, sf_dir):
     return language.report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    return alignment.report(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
