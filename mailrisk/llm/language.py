@@ -8,10 +8,11 @@ probability of a language is that of the sum over the words of a text.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
-from itertools import islice
+from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,24 @@ from mailrisk.session import cut_lineage
 
 #: Letters, with the marks that follow them.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: The same for texts of these characters only, where there are no marks.
+LATIN_TEXT, LATIN_WORD = re.compile("[\0-\u024f]*"), re.compile("[A-Za-zªµºÀ-ÖØ-öø-\u024f]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 SMOOTHING = 0.5
 #: What a worker holds at once: words of one text, and scored words.
-WORDS_AT_ONCE, MAX_SCORED = 100_000, 200_000
-#: Words beyond so many letters are scored without being kept.
-MAX_KEPT_LETTERS = 40
+WORDS_AT_ONCE, MAX_SCORED = 100_000, 500_000
+
+
+def words_of(text: str) -> Iterator[list[str]]:
+    """The words of a text, at most WORDS_AT_ONCE at a time."""
+    pattern = LATIN_WORD if LATIN_TEXT.fullmatch(text) else WORD
+    if len(text) <= WORDS_AT_ONCE:
+        yield pattern.findall(text)
+    else:
+        found = (m.group() for m in pattern.finditer(text))
+        while some := list(islice(found, WORDS_AT_ONCE)):
+            yield some
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -41,18 +53,40 @@ def grams(word: str, order: int) -> list[str]:
 class LanguageModel:
     languages: list[str]
     priors: np.ndarray  # log share of the training texts
-    words: dict[str, np.ndarray] = field(default_factory=dict)  # log frequency per language
-    grams: dict[str, np.ndarray] = field(default_factory=dict)  # the same, of every order
-
-    def evidence(self, word: str) -> np.ndarray:
-        """Log frequency of a lower-case word in each language; zeros when nothing of it is known."""
-        if word in self.words:
-            return self.words[word]
+    words: dict[str, int]  # row of `logs`
+    grams: dict[str, int]  # the same, of every order
+    logs: np.ndarray  # log frequency of a word or n-gram in each language
+
+    def evidence_rows(self, word: str) -> list[int]:
+        """Rows whose mean is the evidence of a lower-case word; none when nothing of it is known."""
+        if (row := self.words.get(word)) is not None:
+            return [row]
+        get, padded = self.grams.get, f" {word} "
         for order in ORDERS:
-            known = [self.grams[g] for g in grams(word, order) if g in self.grams]
+            known = [row for i in range(len(padded) - order + 1) if (row := get(padded[i : i + order])) is not None]
             if known:
-                return np.sum(known, axis=0) / len(known)
-        return np.zeros(len(self.languages))
+                return known
+        return []
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Mean log frequencies of each lower-case word in each language; zeros when nothing of it is known."""
+        rows = [self.evidence_rows(w) for w in words]
+        counts = np.array([len(r) for r in rows], np.int64)
+        out = np.zeros((len(words), len(self.languages)))
+        known = counts > 0
+        if known.any():
+            flat = np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum()))
+            starts = np.r_[0, np.cumsum(counts[known])[:-1]]
+            out[known] = np.add.reduceat(self.logs[flat], starts) / counts[known, None]
+        return out
+
+
+class _Rows(dict):
+    """Words to rows, in order; a missing one gets the next."""
+
+    def __missing__(self, word: str) -> int:
+        made = self[word] = len(self)
+        return made
 
 
 class Scorer:
@@ -60,47 +94,55 @@ class Scorer:
 
     def __init__(self, model: LanguageModel) -> None:
         self.model = model
-        self.rows: dict[str, int] = {}
+        self.rows = _Rows()
         self.table = np.empty((0, len(model.languages)))
-        self.size = 0
-
-    def rows_of(self, words: list[str]) -> list[int]:
-        """Rows of the table that hold the evidence of the words."""
-        missing = [w for w in dict.fromkeys(words) if w not in self.rows]
-        if self.size + len(missing) > MAX_SCORED:
-            self.rows, self.size = {}, 0
-            missing = list(dict.fromkeys(words))
-        if self.size + len(missing) > len(self.table):
-            grown = np.empty((max(2 * len(self.table), self.size + len(missing), 1024), self.table.shape[1]))
-            grown[: self.size] = self.table[: self.size]
-            self.table = grown
-        for word in missing:
-            self.table[self.size] = self.model.evidence(word.lower())
-            self.rows[word] = self.size
-            self.size += 1
-        got = [self.rows[w] for w in words]
-        for word in missing:
-            if len(word) > MAX_KEPT_LETTERS:
-                del self.rows[word]
-        return got
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, probability) of a whole text."""
-        found = (m.group() for m in WORD.finditer(text or ""))
-        total, words = np.zeros(len(self.model.languages)), 0
-        while some := list(islice(found, WORDS_AT_ONCE)):
-            words += len(some)
-            total += self.table_sum(some)
+    def found(self, words: list[str]) -> np.ndarray:
+        """Evidence of each word, one row per word."""
+        if len(self.rows) > MAX_SCORED:
+            self.rows, self.table = _Rows(), self.table[:0]
+        before = len(self.table)
+        at = list(map(self.rows.__getitem__, words))
+        if len(self.rows) > before:
+            missing = islice(self.rows, before, None)
+            self.table = np.concatenate([self.table, self.model.evidence([w.lower() for w in missing])])
+        return self.table[at]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, probability) of whole texts, whose words are looked up some at a time."""
+        totals, counts = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts), np.int64)
+        words: list[str] = []
+        owner: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            if words:
+                at = np.repeat(*np.array(owner).T)
+                found = self.found(words)
+                for k in range(totals.shape[1]):
+                    totals[:, k] += np.bincount(at, found[:, k], len(texts))
+                words.clear()
+                owner.clear()
+
+        for i, text in enumerate(texts):
+            for some in words_of(text or ""):
+                words.extend(some)
+                owner.append((i, len(some)))
+                counts[i] += len(some)
+                if len(words) >= WORDS_AT_ONCE:
+                    flush()
+        flush()
+        return [self._best(total, n) for total, n in zip(totals, counts, strict=True)]
+
+    def _best(self, total: np.ndarray, words: int) -> tuple[str, float]:
         if not words or not self.model.languages:
             return UNDETERMINED, 0.0
-        total += self.model.priors
+        total = total + self.model.priors
         best = int(total.argmax())
         # Rounded: sums of other batches may differ in their last bits.
         return self.model.languages[best], round(float(1 / np.exp(total - total[best]).sum()), 6)
 
-    def table_sum(self, words: list[str]) -> np.ndarray:
-        rows = self.rows_of(words)
-        return self.table[rows].sum(axis=0)
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predict_all([text])[0]
 
 
 def training_fold(doc_id: str = "doc_id") -> Column:
@@ -135,7 +177,7 @@ def _counted(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatc
 
 def _count_words(counts: Counter, batch: pa.RecordBatch) -> None:
     for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        for word, times in Counter(w.lower() for w in WORD.findall(text)).items():
+        for word, times in Counter(w.lower() for some in words_of(text) for w in some).items():
             counts[lang, word, 0] += times
 
 
@@ -180,7 +222,6 @@ def build(texts: dict[str, int], counts: Iterable[tuple[int, str, dict[str, int]
     """A model from the texts per language and (order, term, times per language); order 0 is a word."""
     languages = sorted(texts)
     share = np.array([texts[lang] for lang in languages], float)
-    model = LanguageModel(languages, np.log(share / share.sum()) if languages else share)
     place = {lang: i for i, lang in enumerate(languages)}
     by_order: dict[int, list[tuple[str, np.ndarray]]] = defaultdict(list)
     for order, term, times in counts:
@@ -188,11 +229,16 @@ def build(texts: dict[str, int], counts: Iterable[tuple[int, str, dict[str, int]
         for lang, n in times.items():
             row[place[lang]] += n
         by_order[order].append((term, row))
+    words: dict[str, int] = {}
+    grams_: dict[str, int] = {}
+    logs = [np.zeros((0, len(languages)))]
     for order, rows in by_order.items():
-        totals = np.log(np.sum([row for _, row in rows], axis=0))
-        kept = model.grams if order else model.words
-        kept.update((term, np.log(row) - totals) for term, row in rows)
-    return model
+        kept, first = (grams_ if order else words), sum(map(len, logs))
+        kept.update((term, first + i) for i, (term, _) in enumerate(rows))
+        table = np.array([row for _, row in rows])
+        logs.append(np.log(table) - np.log(table.sum(axis=0)))
+    priors = np.log(share / share.sum()) if languages else share
+    return LanguageModel(languages, priors, words, grams_, np.concatenate(logs))
 
 
 def identify(documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -211,7 +257,7 @@ def identify(documents: DataFrame, model: LanguageModel, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = [scorer.predict(text) for text in batch.column(text_col).to_pylist()]
+            got = scorer.predict_all(batch.column(text_col).to_pylist())
             langs, scores = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])

@@ -32,12 +32,12 @@ def brute_predict(model, text):
         return "und", 0.0
     total = [float(x) for x in model.priors]
     for word in (w.lower() for w in words):
-        hits = [model.words[word]] if word in model.words else []
+        hits = [model.logs[model.words[word]]] if word in model.words else []
         order = 5
         while not hits and order:
             padded = f" {word} "
             parts = [padded[i : i + order] for i in range(len(padded)) if i + order <= len(padded)]
-            hits = [model.grams[p] for p in parts if p in model.grams]
+            hits = [model.logs[model.grams[p]] for p in parts if p in model.grams]
             order -= 1
         for i in range(len(total)):
             total[i] += sum(float(h[i]) for h in hits) / max(1, len(hits))
@@ -46,12 +46,14 @@ def brute_predict(model, text):
 
 
 def test_backoff_by_hand():
-    near = lambda a, b: np.allclose(a, b)
-    assert near(MODEL.evidence("the"), np.log([1.5, 50.5]) - np.log([42, 51]))
-    assert near(MODEL.evidence("unser"), np.log([3.5, 0.5]) - np.log([3.5, 0.5]))  # the longest order wins
-    assert near(MODEL.evidence("thß"), np.log([2.5, 30.5]) - np.log([2.5, 30.5]))
-    assert near(MODEL.evidence("ßw"), (np.log([9.5, 0.5]) + np.log([0.5, 4.5])) / 2 - np.log([10, 5]))
-    assert near(MODEL.evidence("xyz"), [0, 0])
+    got = MODEL.evidence(["the", "unser", "thß", "ßw", "xyz"])
+    wanted = [
+        np.log([1.5, 50.5]) - np.log([42, 51]),
+        np.log([3.5, 0.5]) - np.log([3.5, 0.5]),  # the longest order wins
+        np.log([2.5, 30.5]) - np.log([2.5, 30.5]),
+        (np.log([9.5, 0.5]) + np.log([0.5, 4.5])) / 2 - np.log([10, 5]),
+        [0, 0]]
+    assert np.allclose(got, wanted) and MODEL.evidence([]).shape == (0, 2)
 
 
 def test_texts_and_their_languages():
@@ -83,6 +85,7 @@ def test_kept_words_change_nothing(monkeypatch):
     monkeypatch.setattr(language, "WORDS_AT_ONCE", 2)
     scorer = language.Scorer(MODEL)
     assert [scorer.predict(t) for t in texts] == plain
+    assert language.Scorer(MODEL).predict_all(texts) == plain
 
 
 def test_counts_equal_brute_force(spark):
@@ -102,7 +105,7 @@ def test_counts_equal_brute_force(spark):
     plain = language.build({lang: sum(r[2] == lang for r in learnt) for lang in "ab"}, ((n, t, by) for (n, t), by in counts.items()))
     assert model.languages == plain.languages and np.allclose(model.priors, plain.priors)
     for mine, other in ((model.words, plain.words), (model.grams, plain.grams)):
-        assert mine.keys() == other.keys() and all(np.allclose(mine[k], other[k]) for k in mine)
+        assert mine.keys() == other.keys() and all(np.allclose(model.logs[mine[k]], plain.logs[other[k]]) for k in mine)
 
 
 def test_held_out_accuracy_and_whole_table(spark):
