@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.llm import components
 from mailrisk.llm.common import as_bytes
-from mailrisk.session import cut_lineage
+from mailrisk.session import MAX_BROADCAST_BYTES, cut_lineage
 
 #: Bits of the segments, from the lowest.
 A_BITS = B_BITS = 23
@@ -40,6 +40,8 @@ C_BITS = 18
 MAX_BITS = 3
 #: Buckets of more distinct fingerprints than this are linked by neighbour balls, see `_ball_links`.
 BUCKET_LIMIT = 4096
+#: Keys that may be broadcast.
+FEW_KEYS = 500_000
 #: Fixed value: a generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 #: Shingle hashes that are counted at once, which bounds the memory for any text.
@@ -272,14 +274,27 @@ def deduplicate(documents: DataFrame, shingle: int = 3) -> DataFrame:
     return one_of_each(documents, near_duplicates(documents, shingle))
 
 
+def _broadcast_few(keys: DataFrame) -> DataFrame:
+    """The keys, to be broadcast if they are counted to be few."""
+    size = keys.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.col("__id").cast("string"))).alias("bytes")).first()
+    return F.broadcast(keys) if size["rows"] <= FEW_KEYS and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES else keys
+
+
 def one_of_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each root, then the smallest text hash, of groups(doc_id, text_hash, root)."""
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
-    stay = cut_lineage(
-        groups.groupBy("root").agg(smallest.alias("s"))
-        .select(F.col("s.doc_id").alias("__id"), F.col("s.text_hash").alias("__hash"))
-    )
+    stay = groups.groupBy("root").agg(smallest.alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
+    rows = groups.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n"))
+    found = rows["__id"].eqNullSafe(stay["_id"]) & (rows["__hash"] == stay["_hash"])
+    place = rows.join(stay, found, "left").select("__id", "__hash", "n", F.col("_hash").isNotNull().alias("stays"))
+    # Texts need no shuffle where few rows go: what goes is looked up, not what stays.
+    place = cut_lineage(place.where("not stays or n > 1"))
+    gone, repeated = (_broadcast_few(rows.select("__id", "__hash")) for rows in (place, place.where("stays")))
     source = documents.withColumn("__hash", F.xxhash64("text")).withColumnRenamed("doc_id", "__id")
-    pair = source["__id"].eqNullSafe(stay["__id"]) & (source["__hash"] == stay["__hash"])
-    kept = source.join(stay, pair, "left_semi").dropDuplicates(["__id", "__hash"])
-    return kept.withColumnRenamed("__id", "doc_id").select(*documents.columns)
+
+    def same(keys: DataFrame) -> F.Column:
+        return source["__id"].eqNullSafe(keys["__id"]) & (source["__hash"] == keys["__hash"])
+
+    kept = source.join(gone, same(gone), "left_anti")
+    once = source.join(repeated, same(repeated), "left_semi").dropDuplicates(["__id", "__hash"])
+    return kept.unionAll(once).withColumnRenamed("__id", "doc_id").select(*documents.columns)
