@@ -10,29 +10,34 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from mailrisk.llm.common import pieces
 from mailrisk.session import cut_lineage
 
-#: Characters for which encoding part by part is certain to equal encoding the whole text.
+#: Characters for which encoding unit by unit is certain to equal encoding the whole text.
 PLAIN = re.compile(r"[\n\x20-\x7E¡-¬®-ſ]*")
-#: Parts of texts: of the byte-level pattern, and a run of spaces with what follows it.
-LETTERS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-SPACED = re.compile(r" +[^ ]*(?: +\Z)?")
+#: A unit begins with a space after something else than white space, where both sides always end a token.
+UNIT = re.compile(r" (?:[^ ]|(?<=[ \n]) )*(?: [ \n]*\Z)?")
+#: Fixed value: how the byte-level tokenizer splits text.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE = "▁"
-MAX_PARTS, MAX_PART = 300_000, 64
+MAX_UNITS, MAX_UNIT = 250_000, 64
+#: Bytes of texts that are held as tokens at once.
+TEXT_AT_ONCE = 1 << 20
 #: Distinct pairs that a task sums before it hands them on, and that one broadcast block holds.
 MAX_SUMMED, BLOCK_PAIRS = 1_000_000, 2_000_000
 
@@ -45,32 +50,36 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Side A: byte-level BPE of the tokenizers library; special tokens' strings are plain text."""
+    """Side A: byte-level BPE of a tokenizers file; special tokens' strings are plain text.
+
+    Where the ids of the file follow its merges, tiktoken gives the same ids for plain text in a
+    fraction of the time; other texts and files go to the tokenizers library.
+    """
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
-        splits = made.get("pre_tokenizer") or {}
-        # Parts are those of this splitter, on text as it is.
-        self.whole_only = bool(made.get("normalizer")) or splits.get("type") != "ByteLevel" or not splits.get("use_regex", True) or splits.get("add_prefix_space", True)
         letters = byte_letters()
-        entries = (self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size()))
+        entries = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         # An entry outside the alphabet is a special one, which is never emitted.
         self.tokens = [bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode() for entry in entries]
-        self.parts: dict[str, list[int]] = {}
-
-    def library_ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)] if texts else []
-
-    def split(self, text: str) -> list[str]:
-        return LETTERS.findall(" " + text)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.whole_only:
-            return self.library_ids([" " + t for t in texts])
-        return by_parts(self, texts, lambda t: " " + t, lambda part: part)
+        splits = made.get("pre_tokenizer") or {}
+        self.plain = not made.get("normalizer") and splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space", True)
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in made["model"]["merges"]]
+        alphabet = len(letters)
+        self.fast = None
+        if self.plain and entries[alphabet : alphabet + len(merges)] == merges and set(entries[:alphabet]) == set(letters):
+            ranks = {token: i for i, token in enumerate(self.tokens[: alphabet + len(merges)])}
+            self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str], plain: bool) -> list[list[int]]:
+        if not texts:
+            return []
+        if plain and self.fast:
+            return list(map(self.fast.encode_ordinary, texts))
+        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
 
 class Pieces:
@@ -80,98 +89,105 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         entries = self.library.id_to_piece(list(range(self.library.get_piece_size())))
         self.tokens = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(e)) else e.replace(SPACE, " ").encode() for e in entries]
-        # With a space inside an entry, a merge could reach over the border of two parts.
-        self.whole_only = any(re.search(f"[^{SPACE}]{SPACE}", e) for e in entries)
-        self.parts: dict[str, list[int]] = {}
+        # With a space inside an entry, a merge could reach over the border of two units.
+        self.plain = not any(re.search(f"[^{SPACE}]{SPACE}", e) for e in entries)
 
-    def library_ids(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of a space and each text."""
         return self.library.encode(texts, num_threads=1) if texts else []
 
-    def split(self, text: str) -> list[str]:
-        return SPACED.findall(" " + text)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.whole_only:
-            return self.library_ids(texts)
-        return by_parts(self, texts, lambda t: t, lambda part: part[1:])
-
-
-def by_parts(side: ByteLevel | Pieces, texts: list[str], whole, alone) -> list[list[int]]:
-    """Ids of the texts. Parts of plain texts are encoded once and kept, other texts go whole to the library."""
-    plain = [PLAIN.fullmatch(t) is not None for t in texts]
-    split = [side.split(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-    if len(side.parts) > MAX_PARTS:
-        side.parts = {}
-    missing = list(dict.fromkeys(part for parts in split for part in parts if part not in side.parts))
-    now = side.parts | dict(zip(missing, side.library_ids([alone(m) for m in missing]), strict=True))
-    side.parts = now if all(len(m) <= MAX_PART for m in missing) else {p: ids for p, ids in now.items() if len(p) <= MAX_PART}
-    others = iter(side.library_ids([whole(t) for t, p in zip(texts, plain, strict=True) if not p]))
-    return [[i for part in parts for i in now[part]] if p else next(others) for parts, p in zip(split, plain, strict=True)]
-
-
-@dataclass
-class Aligned:
-    """One text: where each group ends in both lists, and its links as indexes into them."""
-
-    ends_a: list[int]
-    ends_b: list[int]
-    links_a: np.ndarray
-    links_b: np.ndarray
-
-
-def align_tokens(sizes_a: list[int], sizes_b: list[int]) -> Aligned:
-    """Aligns two lists of token sizes (in bytes, none zero) that sum to the same."""
-    bytes_a, bytes_b = list(accumulate(sizes_a)), list(accumulate(sizes_b))
-    at_a = dict(zip(bytes_a, range(1, len(bytes_a) + 1), strict=True))
-    at_b = dict(zip(bytes_b, range(1, len(bytes_b) + 1), strict=True))
-    common = sorted(at_a.keys() & at_b.keys())
-    ends_a, ends_b = [at_a[end] for end in common], [at_b[end] for end in common]
-    # All slices at once: an overlap ends where a token of either side ends.
-    grid_a, grid_b = np.array(bytes_a), np.array(bytes_b)
-    overlaps = np.union1d(grid_a, grid_b)
-    return Aligned(ends_a, ends_b, np.searchsorted(grid_a, overlaps), np.searchsorted(grid_b, overlaps))
-
-
-class Printer:
-    """Groups as text: ids of a group joined by commas, `|` between the sides, `;` between groups."""
-
-    def __init__(self, n_a: int, n_b: int) -> None:
-        self.a = [[f"{i}{sep}" for i in range(n_a)] for sep in ",|"]
-        self.b = [[f"{i}{sep}" for i in range(n_b)] for sep in ",;"]
-
-    def text(self, ids_a: list[int], ids_b: list[int], made: Aligned) -> str:
-        out: list[str] = []
-        from_a = from_b = 0
-        (a, last_a), (b, last_b) = self.a, self.b
-        for to_a, to_b in zip(made.ends_a, made.ends_b, strict=True):
-            out += [a[i] for i in ids_a[from_a : to_a - 1]]
-            out.append(last_a[ids_a[to_a - 1]])
-            out += [b[i] for i in ids_b[from_b : to_b - 1]]
-            out.append(last_b[ids_b[to_b - 1]])
-            from_a, from_b = to_a, to_b
-        return "".join(out)[:-1]
+def slices(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
+    """Where each group ends in both lists, given the cumulative byte ends of their tokens, none of them empty."""
+    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1), strict=True))
+    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1), strict=True))
+    return [(at_a[end], at_b[end]) for end in sorted(at_a.keys() & at_b.keys())]
+
+
+def overlaps(ends_a: list[int], ends_b: list[int], a: int, b: int, to_a: int, to_b: int) -> list[tuple[int, int]]:
+    """The pairs of tokens whose bytes overlap in one slice, from a to to_a and from b to to_b."""
+    if to_a - a == 1:
+        return [(a, j) for j in range(b, to_b)]
+    if to_b - b == 1:
+        return [(i, b) for i in range(a, to_a)]
+    found = [(a, b)]
+    while a + 1 < to_a or b + 1 < to_b:  # the side whose token ends first goes on; they end together only at the end
+        if ends_a[a] < ends_b[b]:
+            a += 1
+        else:
+            b += 1
+        found.append((a, b))
+    return found
+
+
+class Aligned(NamedTuple):
+    """Tokens, groups and links of a text or unit; `links` are little-endian 64-bit, groups as in `align`."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    links: bytes
+
+
+NOTHING = Aligned(0, 0, 0, "", b"")
 
 
 class Aligner:
-    """Both tokenizers and the sizes of their tokens."""
+    """Both tokenizers. Units met before are kept up to a bound."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.sizes_a, self.sizes_b = [len(t) for t in self.a.tokens], [len(t) for t in self.b.tokens]
-        self.printer = Printer(len(self.sizes_a), len(self.sizes_b))
-
-    def tokens(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both sides; none for null, for empty texts and where the bytes of either differ from space and text."""
-        given = [t for t in texts if t]
-        both = zip(given, self.a.encode(given), self.b.encode(given), strict=True)
-        for text in texts:
-            if not text:
-                yield [], []
-                continue
-            _, ids_a, ids_b = next(both)
-            wanted = (" " + text).encode()
-            same = all(b"".join([side.tokens[i] for i in ids]) == wanted for side, ids in ((self.a, ids_a), (self.b, ids_b)))
-            yield (ids_a, ids_b) if same else ([], [])
+        self.units: dict[str, Aligned] = {}
+
+    def align_ids(self, text: str, ids_a: list[int], ids_b: list[int]) -> Aligned:
+        """Aligns the ids of both sides; nothing where the bytes of either differ from the text."""
+        data = text.encode()
+        if any(b"".join([tokens[i] for i in ids]) != data for tokens, ids in ((self.a.tokens, ids_a), (self.b.tokens, ids_b))):
+            return NOTHING
+        ends_a, ends_b = (list(accumulate(map(sizes.__getitem__, ids))) for sizes, ids in ((self.sizes_a, ids_a), (self.sizes_b, ids_b)))
+        printed, links, n, a, b = [], array("q"), len(self.sizes_b), 0, 0
+        for to_a, to_b in slices(ends_a, ends_b):
+            if to_a - a == 1 == to_b - b:
+                x, y = ids_a[a], ids_b[b]
+                printed.append(f"{x}|{y}")
+                links.append(x * n + y)
+            else:
+                printed.append(f"{','.join(map(str, ids_a[a:to_a]))}|{','.join(map(str, ids_b[b:to_b]))}")
+                links.extend([ids_a[i] * n + ids_b[j] for i, j in overlaps(ends_a, ends_b, a, b, to_a, to_b)])
+            a, b = to_a, to_b
+        return Aligned(len(ids_a), len(ids_b), len(printed), ";".join(printed), links.tobytes())
+
+    def _whole(self, texts: list[str], plain: bool) -> Iterator[Aligned]:
+        """Aligns texts that begin with a space."""
+        sides = zip(texts, self.a.encode(texts, plain), self.b.encode([t[1:] for t in texts]), strict=True)
+        return (self.align_ids(*side) for side in sides)
+
+    def align_all(self, texts: list[str | None]) -> list[Aligned]:
+        """Aligns whole texts, plain ones by their units."""
+        spaced = [" " + t for t in texts if t]
+        both = self.a.plain and self.b.plain
+        split = [UNIT.findall(t) if both and PLAIN.fullmatch(t) else None for t in spaced]
+        if len(self.units) > MAX_UNITS:
+            self.units = {}
+        missing = list(set().union(*filter(None, split)).difference(self.units))
+        known, long = self.units, []
+        for unit, made in zip(missing, self._whole(missing, True), strict=True):
+            known[unit] = made
+            if len(unit) > MAX_UNIT:
+                long.append(unit)
+        others = self._whole([t for t, units in zip(spaced, split, strict=True) if units is None], False)
+        done = iter([next(others) if units is None else self._joined([known[u] for u in units]) for units in split])
+        for unit in long:
+            del known[unit]
+        return [next(done) if t else NOTHING for t in texts]
+
+    def _joined(self, units: list[Aligned]) -> Aligned:
+        n_a, n_b, n_groups, groups, links = zip(*units, strict=True)
+        if not all(n_a):
+            return NOTHING
+        return Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
 
 
 @lru_cache(maxsize=2)
@@ -197,25 +213,15 @@ def align(documents: DataFrame, path_a: str, path_b: str, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
-        size_a, size_b, n_ids_b = both.sizes_a, both.sizes_b, len(both.sizes_b)
         for batch in batches:
-            counts, groups, links = [], [], []
-            for ids_a, ids_b in both.tokens(batch.column(text_col).to_pylist()):
-                if not ids_a:
-                    counts.append((0, 0, 0))
-                    groups.append("")
-                    links.append(np.empty(0, np.int64))
-                    continue
-                got = align_tokens([size_a[i] for i in ids_a], [size_b[i] for i in ids_b])
-                counts.append((len(ids_a), len(ids_b), len(got.ends_a)))
-                groups.append(both.printer.text(ids_a, ids_b, got))
-                links.append(np.array(ids_a, np.int64)[got.links_a] * n_ids_b + np.array(ids_b, np.int64)[got.links_b])
-            ends = np.r_[0, np.cumsum([len(x) for x in links], dtype=np.int64)].astype(np.int32)
-            values = np.concatenate(links) if links else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(groups, pa.string()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                names=[*names, *made_names])
+            for some in pieces(batch, text_col, TEXT_AT_ONCE):
+                n_a, n_b, n_groups, groups, links = zip(*both.align_all(some.column(text_col).to_pylist()), strict=True)
+                ends = np.r_[0, np.cumsum([len(x) // 8 for x in links], dtype=np.int64)].astype(np.int32)
+                values = np.frombuffer(b"".join(links), "<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(n_groups, pa.int64()),
+                     pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))],
+                    names=[*names, *made_names])
 
     return kept.mapInArrow(run, schema)
 

@@ -87,15 +87,25 @@ def rows_of(frame):
     return sorted((tuple(r) for r in frame.collect()), key=str)
 
 
-def test_ids_equal_the_libraries(libraries):
+def test_groups_equal_the_libraries(libraries):
     both = alignment.aligner(PATH_A, PATH_B)
+    assert both.a.fast and both.a.plain and both.b.plain
     rng = random.Random(3)
-    alphabet = "ab  eé\n\t'sß.,!1٣漢🙂 -_"
-    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 80))) for _ in range(3000)]
-    for _ in range(2):  # the second time from kept parts
-        for text, (ids_a, ids_b) in zip(texts, both.tokens(texts), strict=True):
-            a, b = plain_tokens(libraries, text)
-            assert (ids_a, ids_b) == ([i for i, _ in a], [i for i, _ in b]), text
+    alphabet = "ab  eé\n\t'sß.,!1٣漢🙂 -_"
+    latin = "ab   eé\n\n'tsß.,!1²½ -_ºµ"
+    texts = ODD + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 80))) for letters in (alphabet, latin) for _ in range(1500)]
+    for _ in range(2):  # the second time from kept units
+        for text, got in zip(texts, both.align_all(texts), strict=True):
+            n_a, n_b, groups, links = plain_alignment(libraries, text)
+            assert got[:4] == (n_a, n_b, len(groups), ";".join(groups)), text
+            assert sorted(divmod(x, 32_000) for x in memoryview(got.links).cast("q")) == sorted(links), text
+
+
+def test_units_are_the_text():
+    for text in (" a", "  ", " a ", " a  b \n c\n", " \n \n x  \n", "  a b"):
+        units = alignment.UNIT.findall(text)
+        assert "".join(units) == text and all(u[0] == " " for u in units)
+    assert alignment.UNIT.findall(" a b\nc  d \n") == [" a", " b\nc", "  d \n"]
 
 
 def test_letters_are_those_of_the_library():
@@ -108,13 +118,12 @@ def test_letters_are_those_of_the_library():
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 40).flatmap(lambda n: st.tuples(*(st.sets(st.integers(1, n)).map(lambda cut, n=n: sorted(cut | {n})) for _ in "ab"))))
 def test_groups_and_links_of_any_cuts(ends):
-    sizes = [[e - s for s, e in zip([0, *side], side)] for side in ends]  # noqa: B905
-    made = alignment.align_tokens(*sizes)
+    made = alignment.slices(*ends)
     common = sorted(set(ends[0]) & set(ends[1]))
-    assert [ends[0][i - 1] for i in made.ends_a] == common == [ends[1][i - 1] for i in made.ends_b]
+    assert [(ends[0][i - 1], ends[1][j - 1]) for i, j in made] == [(end, end) for end in common]
+    links = [link for start, end in zip([(0, 0), *made], made) for link in alignment.overlaps(*ends, *start, *end)]  # noqa: B905
     a, b = ([(s, e) for s, e in zip([0, *side], side)] for side in ends)  # noqa: B905
-    wanted = [(i, j) for i, (s, e) in enumerate(a) for j, (t, f) in enumerate(b) if s < f and t < e]
-    assert list(zip(made.links_a.tolist(), made.links_b.tolist(), strict=True)) == wanted
+    assert links == [(i, j) for i, (s, e) in enumerate(a) for j, (t, f) in enumerate(b) if s < f and t < e]
 
 
 def test_report_equals_brute_force(spark, libraries):
