@@ -6,23 +6,14 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
-from pyspark.sql.window import Window
 
+from mailrisk.operators import asof
 from mailrisk.schemas import INTEL_TTL_S
 from mailrisk.session import if_small
 
 MAX_FEEDS = 100_000
 
 
-def _slice_of(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds)
-
-
-# Events of one key and slice that a window takes; more are dealt to several.
-SLICE_ROWS = 10_000
-
-
 def ttl_lookup(
     events: DataFrame,
     lookups: DataFrame,
@@ -30,85 +21,33 @@ def ttl_lookup(
     event_ts: str,
     fetched_at: str,
     ttl_s: int,
-    slice_s: int = 3600,
-    slice_rows: int = SLICE_ROWS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """For each event the newest record of its key fetched at or before it, within the TTL.
 
     Adds the lookup columns; they are NULL when there is no valid record, and for events without key
     or time, which are answered where they are. A record that says "nothing known" is a
     record like any other. Of records fetched at the same time, the greatest by the other
-    columns counts.
-
-    Rows are merged by time and the last record is carried forward, so the
-    work is a sort and never a product of events and records of a key. Time is cut
-    into slices so a hot key is spread over many groups; what a slice inherits is
-    the last record before it, found on one summary row per key and slice. The events of a
-    crowded slice are dealt by a hash of the row to several groups, each with the records.
+    columns counts. Events and records are merged by time in ranges of equal size (`asof`), `tasks` of
+    them, by default as many as there are shuffle partitions.
     """
     payload = [c for c in lookups.columns if c != key]
-    record = F.struct(F.col(fetched_at).alias("_at"), *[F.col(c) for c in payload if c != fetched_at])
-    record_type = lookups.select(record.alias("r")).schema["r"].dataType
-    names = [(c, "_at" if c == fetched_at else c) for c in payload]
-
+    at = F.col(fetched_at).cast("timestamp")
+    record = F.struct(at.alias("_at"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(payload)])
     records = lookups.where(F.col(fetched_at).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"),
-        _slice_of(F.col(fetched_at), slice_s).alias("_slice"),
-        F.col(fetched_at).cast("timestamp").alias("_time"),
-        record.alias("_record"),
-    )
+        F.col(key).alias("_key"), at.alias("_time"), record.alias("_record"))
     askable = F.col(key).isNotNull() & F.col(event_ts).isNotNull()
-    hashed = [f.name for f in events.schema.fields if isinstance(f.dataType, AtomicType)]
-    requests = events.where(askable).select(
-        F.col(key).alias("_key"),
-        _slice_of(F.col(event_ts), slice_s).alias("_slice"),
-        F.col(event_ts).cast("timestamp").alias("_time"),
-        F.struct(*events.columns).alias("_event"),
-        F.xxhash64(*hashed).alias("_hash"),
-    )
-
-    # One row per key and slice: the last record in it, and how many ask there.
-    ends = records.groupBy("_key", "_slice").agg(F.max("_record").alias("_record"))
-    asks = requests.groupBy("_key", "_slice").agg(F.ceil(F.count("*") / slice_rows).alias("_parts"))
-    summary = ends.select("_key", "_slice", "_record", F.lit(0).cast("bigint").alias("_parts")).unionByName(
-        asks.select("_key", "_slice", F.lit(None).cast(record_type).alias("_record"), "_parts")
-    )
-    earlier = Window.partitionBy("_key").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
-    inherited = (
-        summary.withColumn("_record", F.max("_record").over(earlier))
-        .where((F.col("_parts") > 0) & F.col("_record").isNotNull())
-        .select("_key", "_slice", F.col("_record._at").cast("timestamp").alias("_time"), "_record")
-    )
-    # Crowded slices hold slice_rows events each, so there are fewer of them than events by that factor.
-    crowded = asks.where(F.col("_parts") > 1)
-    dealt = lookup_parts(requests, crowded).withColumn("_part", F.pmod(F.xxhash64("_hash"), "_parts")).drop("_hash", "_parts")
-    known = lookup_parts(records.unionByName(inherited), crowded).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
-
-    merged = known.withColumn("_event", F.lit(None).cast(requests.schema["_event"].dataType)).unionByName(
-        dealt.withColumn("_record", F.lit(None).cast(record_type)))
-    upto = (
-        Window.partitionBy("_key", "_slice", "_part")
-        .orderBy("_time")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    last = F.max("_record").over(upto)
-    age = F.unix_micros(F.col("_time")) - F.unix_micros(F.col("_last._at").cast("timestamp"))
-    answered = (
-        merged.withColumn("_last", last)
-        .where(F.col("_event").isNotNull())
-        .withColumn("_last", F.when(age <= ttl_s * 1_000_000, F.col("_last")))
-    )
+    event = F.struct(F.col(event_ts).cast("timestamp").alias("_time"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(events.columns)])
+    asked = events.where(askable).select(F.col(key).alias("_key"), F.col(event_ts).cast("timestamp").alias("_time"), event.alias("_event"))
+    found = asof.merge(asked, records, tasks)
+    age = F.unix_micros("_event._time") - F.unix_micros("_record._at")
+    valid = found.withColumn("_record", F.when(age <= ttl_s * 1_000_000, F.col("_record")))
+    answered = valid.select(
+        *[F.col(f"_event._{i}").alias(c) for i, c in enumerate(events.columns)],
+        *[F.col(f"_record._{i}").alias(c) for i, c in enumerate(payload)])
     unanswered = events.where(~askable).select(
         *events.columns, *[F.lit(None).cast(lookups.schema[c].dataType).alias(c) for c in payload])
-    return answered.select("_event.*", *[F.col(f"_last.{inner}").alias(c) for c, inner in names]).union(unanswered)
-
-
-def lookup_parts(rows: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Add `_parts`, the number of groups that the row's key and slice are dealt to."""
-    parts = crowded.select(F.col("_key").alias("_k"), F.col("_slice").alias("_s"), "_parts")
-    joined = rows.join(parts, (F.col("_key") == F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
-    return joined.drop("_k", "_s").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("bigint")))
+    return answered.union(unanswered)
 
 
 def feed_status(

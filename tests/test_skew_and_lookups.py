@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from mailrisk.operators import lookups, skew
+from mailrisk.operators import asof, lookups, skew
 
 
 def largest_share(frame):
@@ -85,16 +85,16 @@ def test_ttl_lookup_agrees_with_a_loop(spark):
     records = list({(k, t): (k, t, random.choice([None, "x", "y"])) for k, t in ((random.choice(keys), at()) for _ in range(120))}.values())
     ev = spark.createDataFrame(events, "id long, k string, ts timestamp")
     rec = spark.createDataFrame(records, "k string, fetched_at timestamp, answer string")
-    for ttl, width, rows in ((6 * 3600, 3600, 10_000), (3 * 86400, 7200, 3), (1800, 86400, 5)):
+    for ttl, tasks in ((6 * 3600, None), (3 * 86400, 1), (1800, 50), (30 * 86400, 13)):
         got = {r["id"]: (r["fetched_at"], r["answer"]) for r in
-               lookups.ttl_lookup(ev, rec, "k", "ts", "fetched_at", ttl, width, rows).collect()}
+               lookups.ttl_lookup(ev, rec, "k", "ts", "fetched_at", ttl, tasks).collect()}
         assert len(got) == len(events)
         for i, k, t in events:
             known = [(f, a) for rk, f, a in records if rk == k and k is not None and t is not None and f <= t]
             best = max(known, key=lambda r: r[0], default=(None, None))
             if best[0] is None or t - best[0] > timedelta(seconds=ttl):
                 best = (None, None)
-            assert got[i] == best, (i, k, t, ttl)
+            assert got[i] == best, (i, k, t, ttl, tasks)
 
 
 @pytest.mark.parametrize("crowd", ["no key", "no time", "one key in one hour"])
@@ -106,9 +106,53 @@ def test_ttl_lookup_spreads_a_crowd(spark, plain_shuffles, crowd):
     ts = F.when(third, F.lit(None).cast("timestamp")).otherwise(moment) if crowd == "no time" else moment
     events = spark.range(60_000, numPartitions=8).select("id", key.alias("k"), ts.alias("ts"))
     records = spark.range(4000).select(F.col("id").cast("string").alias("k"), start.alias("fetched_at"), F.lit("x").alias("answer"))
-    found = lookups.ttl_lookup(events, records.union(records.limit(1).withColumn("k", F.lit("hot"))), "k", "ts", "fetched_at", 10**6, slice_rows=500)
+    found = lookups.ttl_lookup(events, records.union(records.limit(1).withColumn("k", F.lit("hot"))), "k", "ts", "fetched_at", 10**6)
     assert found.where("answer = 'x'").count() == (60_000 if crowd == "one key in one hour" else 40_000)
-    assert largest_share(found) <= 2
+    # the others are answered in the tasks that read them
+    assert largest_share(found.where("k IS NOT NULL AND ts IS NOT NULL")) <= 2
+
+
+@pytest.mark.parametrize("crowd", ["events", "records", "equal events", "equal records"])
+def test_asof_ranges_are_even(spark, plain_shuffles, crowd):
+    """A third of all rows, or 10^5 records, on one key in one hour or one moment: each range reads about the mean, and rows are not copied."""
+    start = F.lit("2024-01-01").cast("timestamp")
+    often = F.timestamp_add("SECOND", F.lit(0) if crowd.startswith("equal") else F.col("id") % 3600, start)
+    few, many = spark.range(20_000, numPartitions=8), spark.range(100_000, numPartitions=8)
+    hot = lambda f: f.select(F.lit("hot").alias("_key"), often.alias("_time"), "id")
+    plain = lambda f: f.select((F.col("id") % 3000).cast("string").alias("_key"), F.timestamp_add("SECOND", F.col("id") % 90_000, start).alias("_time"), "id")
+    on_records = crowd.endswith("records")
+    ev = plain(few).union(hot(spark.range(1000)) if on_records else hot(few))
+    rec = plain(few).union(hot(many) if on_records else hot(spark.range(10)))
+    events = ev.select("_key", "_time", F.struct("id").alias("_event"))
+    records = rec.select("_key", "_time", F.struct(F.col("_time").alias("_at"), "id").alias("_record"))
+    total = events.count() + records.count()
+    rows = [r["_rows"] for r in asof.scanned(asof.sequence(events, records, 8)).where("_rows IS NOT NULL").collect()]
+    assert sum(rows) == total and len(rows) == 8
+    assert max(rows) <= 2 * total / 8
+    merged = asof.merge(events, records)
+    assert merged.count() == events.count()
+    assert merged.where("_event.id < 10 AND _record IS NULL").count() <= 10
+    # the only shuffle between the tables and what is written is the one into ranges
+    plan = asof.scanned(asof.sequence(events, records, 8))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+
+
+def test_asof_carries_across_many_ranges(spark):
+    """One record long before a hot key's events, keys between, ties at one time: as a loop finds."""
+    random.seed(9)
+    moment = datetime(2024, 1, 1)
+    events = [(k, moment + timedelta(minutes=random.randint(0, 40)), i) for i, k in enumerate(random.choices("abh", [1, 1, 8], k=500))]
+    records = [("h", moment, 1), ("h", moment, 7), ("h", moment + timedelta(minutes=20), 3), ("h", moment + timedelta(minutes=20), 2), ("b", moment + timedelta(minutes=39), 5), ("c", moment, 4)]
+    ev = spark.createDataFrame(events, "k string, ts timestamp, id int")
+    rec = spark.createDataFrame(records, "k string, at timestamp, v int")
+    for tasks in (1, 3, 60):
+        for r in lookups.ttl_lookup(ev, rec, "k", "ts", "at", 10**6, tasks).collect():
+            known = [(t, v) for k, t, v in records if k == r["k"] and t <= r["ts"]]
+            assert (r["at"], r["v"]) == max(known, default=(None, None)), (r, tasks)
+    clash = lookups.ttl_lookup(ev.withColumnRenamed("id", "_record"), rec.withColumnRenamed("v", "_event"), "k", "ts", "at", 10**6)
+    assert clash.columns == ["k", "ts", "_record", "at", "_event"] and clash.count() == 500
+    assert lookups.ttl_lookup(ev.limit(0), rec, "k", "ts", "at", 1).count() == 0
+    assert lookups.ttl_lookup(ev, rec.limit(0), "k", "ts", "at", 1).where("at IS NULL").count() == 500
 
 
 def test_feed_status_uses_the_last_good_snapshot(spark):
