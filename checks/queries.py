@@ -617,6 +617,60 @@ def text_shape(spark, sf_dir):
     )
 
 
+PAIR_MODEL = f"""
+WITH sentences AS (
+  SELECT message_id, lang, i - 1 AS sentence, regexp_extract_all(lower(s[i]), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS t FROM (
+    SELECT CAST(doc_id AS VARCHAR) AS message_id, lang, regexp_split_to_array(text, '[.!?]+(?:[ \\t\\r\\n]+|$)|[\\r\\n]+') AS s FROM documents),
+  unnest(range(1, len(s) + 1)) AS r(i)),
+pairs AS (SELECT message_id, lang, sentence, CASE WHEN k = 1 THEN '^' ELSE t[k - 1] END AS prev, t[k] AS token
+  FROM sentences, unnest(range(1, len(t) + 1)) AS q(k)),
+counts AS (SELECT prev, token, count(*) AS n FROM pairs WHERE lang = 'en' GROUP BY ALL),
+contexts AS (SELECT prev, sum(n)::DOUBLE AS total, 0.75 * count(*) / sum(n) AS given FROM counts GROUP BY prev),
+kinds AS (SELECT token, count(*) AS kinds FROM counts GROUP BY token),
+size AS (SELECT sum(kinds)::DOUBLE AS pairs, count(*)::DOUBLE AS words FROM kinds),
+rest AS (SELECT 0.75 * words / pairs / (words + 1) AS unseen FROM size),
+alone AS (SELECT token, (kinds - 0.75) / (SELECT pairs FROM size) + (SELECT unseen FROM rest) AS p FROM kinds),
+scored AS (
+  SELECT message_id, sentence, -ln(coalesce((n - 0.75) / total, 0) + coalesce(given, 1) * coalesce(p, (SELECT unseen FROM rest))) AS nll
+  FROM pairs LEFT JOIN counts USING (prev, token) LEFT JOIN contexts USING (prev) LEFT JOIN alone USING (token))
+"""
+
+
+def _pair_model(spark, sf_dir):
+    """A model of the English documents."""
+    return body.fit_ngram_lm(table(spark, sf_dir, "documents", spread=True).where("lang = 'en'"), order=2)
+
+
+@query("pair_model", PAIR_MODEL + """
+SELECT prev || ' ' || token AS ngram, round(-ln((n - 0.75) / total + given * p), 6) AS nll FROM counts JOIN contexts USING (prev) JOIN alone USING (token)
+UNION ALL SELECT prev || ' ', round(-ln(given), 6) FROM contexts
+UNION ALL SELECT ' ' || token, round(-ln(p), 6) FROM alone UNION ALL SELECT NULL, round(-ln(unseen), 6) FROM rest""")
+def pair_model(spark, sf_dir):
+    return _pair_model(spark, sf_dir).select(F.col("token").alias("ngram"), _rounded("nll"))
+
+
+@query("pair_scores", PAIR_MODEL + """
+SELECT message_id, CAST(sentence AS INTEGER) AS sentence, count(*) AS tokens, round(avg(nll), 6) AS nll FROM scored GROUP BY message_id, sentence""")
+def pair_scores(spark, sf_dir):
+    """Sentences of all documents under the model of the English ones: most pairs of the others back off."""
+    found = body.sentence_scores(_plain_bodies(spark, sf_dir), _pair_model(spark, sf_dir), order=2)
+    return found.select("message_id", "sentence", "tokens", _rounded("nll"))
+
+
+@query("pair_perplexity", PAIR_MODEL + """,
+shape AS (SELECT message_id, sum(tokens) AS tokens, sum(nll * tokens) / sum(tokens) AS perplexity FROM (
+  SELECT message_id, sentence, count(*) AS tokens, avg(nll) AS nll FROM scored GROUP BY message_id, sentence) GROUP BY message_id)
+SELECT CAST(doc_id AS VARCHAR) AS message_id, CAST(coalesce(tokens, 0) AS VARCHAR) AS tokens,
+       CASE WHEN coalesce(tokens, 0) < 40 THEN 0.0::DOUBLE ELSE 0.5 END AS score, CASE WHEN coalesce(tokens, 0) < 40 THEN 'body too short' END AS error
+FROM documents LEFT JOIN shape ON message_id = CAST(doc_id AS VARCHAR) WHERE coalesce(tokens, 0) < 40 OR perplexity < 7.5""")
+def pair_perplexity(spark, sf_dir):
+    """Texts that the pair model finds easy, and those too short to tell."""
+    bodies_ = _plain_bodies(spark, sf_dir)
+    shape = body.text_shape(body.sentence_scores(bodies_, _pair_model(spark, sf_dir), order=2), bodies_)
+    found = body.perplexity_signals(shape, suspect_below=7.5)
+    return found.select("message_id", F.col("metadata")["tokens"].alias("tokens"), "score", "error")
+
+
 def _labelled(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id", "left")

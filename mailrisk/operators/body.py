@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk.functions import exprs
+from mailrisk.operators import ngrams
 from mailrisk.operators.signals import emit
 from mailrisk.operators.skew import lookup_join
 from mailrisk.schemas import MIN_TOKENS
@@ -136,12 +137,26 @@ def token_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def fit_ngram_lm(corpus: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add-one model of a reference corpus: lm(token, nll), and one row (NULL, nll) for the unseen.
+def sentence_words(messages: DataFrame, text_col: str, *keys: str, max_tokens: int | None = None) -> DataFrame:
+    """(keys, sentence, _words): the words of each sentence, of the first max_tokens words of a text if that is given."""
+    words_of = F.transform(F.split(F.col(text_col), SENTENCE_END), exprs.word_tokens)
+    if max_tokens is not None:
+        words_of = _first_tokens(words_of, max_tokens)
+    return messages.select(*keys, F.posexplode(words_of).alias("sentence", "_words"))
+
+
+def fit_ngram_lm(corpus: DataFrame, text_col: str = "text", order: int = 1, discount: float = ngrams.DISCOUNT) -> DataFrame:
+    """Model of a reference corpus: lm(token, nll), and one row (NULL, nll) for the unseen.
 
-    nll is the negative natural logarithm of the smoothed probability. The counts are
-    written once; the model itself is a projection of them.
+    nll is the negative natural logarithm of a smoothed probability: of order 1 an add-one model of
+    words, of order 2 an interpolated Kneser-Ney model of word pairs within sentences (`ngrams`).
+    The counts are written once; the model itself is made of them.
     """
+    if order == 2:
+        pairs = ngrams.sentence_pairs(sentence_words(corpus, text_col))
+        return ngrams.fit(cut_lineage(ngrams.pair_counts(pairs)), discount)
+    if order != 1:
+        raise ValueError("orders are 1 and 2")
     counts = cut_lineage(token_counts(corpus, text_col))
     size = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
     mass = float((size["total"] or 0) + size["kinds"]) or 1.0
@@ -163,23 +178,29 @@ def sentence_scores(
     key: str = "message_id",
     max_tokens: int | None = None,
     broadcast_words: int = MAX_BROADCAST_WORDS,
+    order: int = 1,
 ) -> DataFrame:
     """sentence_scores(key, sentence, tokens, nll): mean nll of each sentence with a word.
 
     Whole texts are scored; max_tokens limits a message to its first tokens, as a
     model with a fixed context would. While the model is small its words are looked
     up where the text is, and all that is shuffled is one sum per sentence. A model of more
-    words or bytes is joined by word, with the frequent words of these texts set apart.
+    words or bytes is joined by word, with the frequent words of these texts set apart. `order` is
+    that of the model; of order 2, each kind of pair in these texts is scored once and then looked up.
     """
-    words_of = F.transform(F.split(F.col(text_col), SENTENCE_END), exprs.word_tokens)
-    if max_tokens is not None:
-        words_of = _first_tokens(words_of, max_tokens)
-    words = messages.select(key, F.posexplode(words_of).alias("sentence", "_words")).select(
-        key, "sentence", F.posexplode("_words").alias("position", "token")
-    )
-    unseen = lm.where(F.col("token").isNull()).first()["nll"]
-    model = lm.where(F.col("token").isNotNull())
-    found = lookup_join(words, model, "token", broadcast_words, token_counts(messages, text_col))
+    spoken = sentence_words(messages, text_col, key, max_tokens=max_tokens)
+    if order == 2:
+        pairs = ngrams.sentence_pairs(spoken, key, "sentence")
+        counts = cut_lineage(ngrams.pair_counts(pairs))
+        words = pairs.select(key, "sentence", ngrams.name(F.col("prev"), F.col("token")).alias("token"))
+        model = cut_lineage(ngrams.pair_nll(counts, lm))
+        counted = counts.select(ngrams.name(F.col("prev"), F.col("token")).alias("token"), "n")
+        found, unseen = lookup_join(words, model, "token", broadcast_words, counted), 0.0
+    else:
+        words = spoken.select(key, "sentence", F.posexplode("_words").alias("position", "token"))
+        unseen = lm.where(F.col("token").isNull()).first()["nll"]
+        model = lm.where(F.col("token").isNotNull())
+        found = lookup_join(words, model, "token", broadcast_words, token_counts(messages, text_col))
     return found.groupBy(key, "sentence").agg(
         F.count("*").alias("tokens"), F.avg(F.coalesce("nll", F.lit(unseen))).alias("nll")
     )
