@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, NGram, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from mailrisk.functions import exprs
+from mailrisk.functions import exprs, grams
 from mailrisk.operators import ngrams
 from mailrisk.operators.signals import emit
 from mailrisk.operators.skew import lookup_join
@@ -55,54 +59,48 @@ def gram_columns(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def _term_stages(features: int) -> list:
-    """Counts of words with word pairs, and of character 3-5-grams, hashed to twice `features` columns.
+def term_counts(df: DataFrame, text_col: str, features: int) -> DataFrame:
+    """Add `tf`: counts of words, word pairs and character 3-5-grams, hashed to 2 * features columns.
 
-    The two kinds are told apart by a letter in front. They share one vector, since assembling two
-    would describe every column by name in the schema.
+    The two kinds are told apart by a letter in front. Each text is read once and its terms are hashed
+    where they stand (`grams`); null counts as empty.
     """
-    marked = "concat(transform(concat(words, pairs), w -> concat('w', w)), transform(chars, c -> concat('c', c))) AS terms"
-    return [
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement=f"SELECT *, {marked} FROM __THIS__"),
-        HashingTF(inputCol="terms", outputCol="tf", numFeatures=2 * features),
-    ]
-
-
-def _weight_stages() -> list:
-    return [IDF(inputCol="tf", outputCol="features")]
+    kept = df.drop("tf")
+    names = kept.columns
+    schema = StructType([*kept.schema.fields, StructField("tf", VectorUDT())])
+    lowered = kept.withColumn("_lowered", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = grams.sparse_vectors(batch.column(len(names)), 2 * features)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=[*names, "tf"])
 
-def _terms(df: DataFrame, text_col: str, features: int, *kept: str) -> DataFrame:
-    """Term counts, written once: fitting reads them several times, the texts only now."""
-    grams = gram_columns(df, text_col)
-    counted = PipelineModel(_term_stages(features)).transform(grams)
-    return cut_lineage(counted.select(*kept, "tf"))
+    return lowered.mapInArrow(run, schema)
 
 
 def urgency_features(df: DataFrame, text_col: str = "text", features: int = 1 << 18) -> DataFrame:
     """Feature vectors of a corpus, weighted by document frequency in that corpus."""
-    terms = _terms(df, text_col, features, *df.columns)
-    return Pipeline(stages=_weight_stages()).fit(terms).transform(terms).select(*df.columns, "features")
+    terms = cut_lineage(term_counts(df, text_col, features))
+    return IDF(inputCol="tf", outputCol="features").fit(terms).transform(terms).select(*df.columns, "features")
 
 
 def fit_urgency(
     train: DataFrame, text_col: str = "text", label_col: str = "label",
     features: int = 1 << 18, max_iter: int = 20,
 ) -> PipelineModel:
-    """Fit the urgency classifier on labelled mail."""
+    """Fit the urgency classifier on labelled mail. Term counts are written once, fitting reads them several times."""
     labelled = train.where(F.col(label_col).isNotNull()).select(
         text_col, F.col(label_col).cast("double").alias("label")
     )
-    terms = _terms(labelled, text_col, features, "label")
+    terms = cut_lineage(term_counts(labelled, text_col, features).select("label", "tf"))
     last = LogisticRegression(maxIter=max_iter, regParam=0.01, featuresCol="features", labelCol="label")
-    fitted = Pipeline(stages=[*_weight_stages(), last]).fit(terms)
-    return PipelineModel([*_term_stages(features), *fitted.stages])
+    return Pipeline(stages=[IDF(inputCol="tf", outputCol="features"), last]).fit(terms)
 
 
 def score_urgency(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add `urgency`, the probability that a text presses the reader."""
-    scored = model.transform(gram_columns(df, text_col))
+    columns = model.stages[-1].numFeatures
+    scored = model.transform(term_counts(df, text_col, columns // 2))
     return scored.select(*df.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("urgency"))
 
 
