@@ -13,10 +13,11 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, count
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import tiktoken
@@ -35,7 +36,7 @@ UNIT = re.compile(r" (?:[^ ]|(?<=[ \n]) )*(?: [ \n]*\Z)?")
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE = "▁"
-MAX_UNITS, MAX_UNIT = 250_000, 64
+MAX_UNITS, MAX_UNIT = 120_000, 64
 #: Bytes of texts that are held as tokens at once.
 TEXT_AT_ONCE = 1 << 20
 #: Distinct pairs that a task sums before it hands them on, and that one broadcast block holds.
@@ -99,9 +100,10 @@ class Pieces:
 
 def slices(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
     """Where each group ends in both lists, given the cumulative byte ends of their tokens, none of them empty."""
-    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1), strict=True))
-    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1), strict=True))
-    return [(at_a[end], at_b[end]) for end in sorted(at_a.keys() & at_b.keys())]
+    at_a = dict(zip(ends_a, count(1)))
+    at_b = dict(zip(ends_b, count(1)))
+    common = sorted(at_a.keys() & at_b.keys())
+    return list(zip(map(at_a.__getitem__, common), map(at_b.__getitem__, common)))
 
 
 def overlaps(ends_a: list[int], ends_b: list[int], a: int, b: int, to_a: int, to_b: int) -> list[tuple[int, int]]:
@@ -134,30 +136,38 @@ NOTHING = Aligned(0, 0, 0, "", b"")
 
 
 class Aligner:
-    """Both tokenizers. Units met before are kept up to a bound."""
+    """Both tokenizers. Units met before are kept up to a bound, those met again for longer."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.sizes_a, self.sizes_b = [len(t) for t in self.a.tokens], [len(t) for t in self.b.tokens]
+        self.names_a, self.names_b = [f"{i}|" for i in range(len(self.sizes_a))], [str(i) for i in range(len(self.sizes_b))]
         self.units: dict[str, Aligned] = {}
+        self.older: dict[str, Aligned] = {}
 
     def align_ids(self, text: str, ids_a: list[int], ids_b: list[int]) -> Aligned:
         """Aligns the ids of both sides; nothing where the bytes of either differ from the text."""
         data = text.encode()
-        if any(b"".join([tokens[i] for i in ids]) != data for tokens, ids in ((self.a.tokens, ids_a), (self.b.tokens, ids_b))):
+        if b"".join(map(self.b.tokens.__getitem__, ids_b)) != data or b"".join(map(self.a.tokens.__getitem__, ids_a)) != data:
             return NOTHING
-        ends_a, ends_b = (list(accumulate(map(sizes.__getitem__, ids))) for sizes, ids in ((self.sizes_a, ids_a), (self.sizes_b, ids_b)))
-        printed, links, n, a, b = [], array("q"), len(self.sizes_b), 0, 0
+        ends_a, ends_b = list(accumulate(map(self.sizes_a.__getitem__, ids_a))), list(accumulate(map(self.sizes_b.__getitem__, ids_b)))
+        printed, links, n, a, b = [], [], len(self.sizes_b), 0, 0
+        name_a, name_b = self.names_a, self.names_b
         for to_a, to_b in slices(ends_a, ends_b):
-            if to_a - a == 1 == to_b - b:
-                x, y = ids_a[a], ids_b[b]
-                printed.append(f"{x}|{y}")
-                links.append(x * n + y)
+            x, y = ids_a[a], ids_b[b]
+            if to_a - a == 1:
+                if to_b - b == 1:
+                    printed.append(name_a[x] + name_b[y])
+                    links.append(x * n + y)
+                else:
+                    rest = ids_b[b + 1 : to_b]
+                    printed.append(f"{name_a[x]}{name_b[y]},{','.join(map(str, rest))}")
+                    links += [x * n + other for other in (y, *rest)]
             else:
-                printed.append(f"{','.join(map(str, ids_a[a:to_a]))}|{','.join(map(str, ids_b[b:to_b]))}")
-                links.extend([ids_a[i] * n + ids_b[j] for i, j in overlaps(ends_a, ends_b, a, b, to_a, to_b)])
+                printed.append(f"{','.join(map(str, ids_a[a : to_a - 1]))},{name_a[ids_a[to_a - 1]]}{','.join(map(str, ids_b[b:to_b]))}")
+                links += [ids_a[i] * n + ids_b[j] for i, j in overlaps(ends_a, ends_b, a, b, to_a, to_b)]
             a, b = to_a, to_b
-        return Aligned(len(ids_a), len(ids_b), len(printed), ";".join(printed), links.tobytes())
+        return Aligned(len(ids_a), len(ids_b), len(printed), ";".join(printed), array("q", links).tobytes())
 
     def _whole(self, texts: list[str], plain: bool) -> Iterator[Aligned]:
         """Aligns texts that begin with a space."""
@@ -170,8 +180,11 @@ class Aligner:
         both = self.a.plain and self.b.plain
         split = [UNIT.findall(t) if both and PLAIN.fullmatch(t) else None for t in spaced]
         if len(self.units) > MAX_UNITS:
-            self.units = {}
-        missing = list(set().union(*filter(None, split)).difference(self.units))
+            self.units, self.older = {}, self.units
+        missing = set().union(*filter(None, split)).difference(self.units)
+        # What is still in use moves on from the older half.
+        self.units.update((unit, self.older[unit]) for unit in missing & self.older.keys())
+        missing = list(missing.difference(self.units))
         known, long = self.units, []
         for unit, made in zip(missing, self._whole(missing, True), strict=True):
             known[unit] = made
@@ -226,14 +239,11 @@ def align(documents: DataFrame, path_a: str, path_b: str, text_col: str = "text"
     return kept.mapInArrow(run, schema)
 
 
-def _distinct(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owning row, position of the pair, times) of each row's distinct links, and the distinct pairs of the batch."""
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row's links end, the distinct pairs of all rows, and for each link the place of its pair."""
     ends = column.offsets.to_numpy().astype(np.int64)
-    flat = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
-    pairs, place = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(column)), np.diff(ends))
-    keys, times = np.unique(owner * max(1, len(pairs)) + place, return_counts=True)
-    return keys // max(1, len(pairs)), keys % max(1, len(pairs)), times, pairs
+    place, pairs = pd.factorize(column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]])
+    return ends - ends[0], pairs, place
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -249,8 +259,10 @@ def link_counts(aligned: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(summed.keys(), pa.int64()), pa.array(summed.values(), pa.int64())], names=["link", "documents"])
 
         for batch in batches:
-            _, place, _, pairs = _distinct(batch.column(0))
-            for pair, n in zip(pairs.tolist(), np.bincount(place, minlength=len(pairs)).tolist(), strict=True):
+            ends, pairs, place = _flat(batch.column(0))
+            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            once = pd.unique(owner * max(1, len(pairs)) + place) % max(1, len(pairs))
+            for pair, n in zip(pairs.tolist(), np.bincount(once, minlength=len(pairs)).tolist(), strict=True):
                 summed[pair] = summed.get(pair, 0) + n
             if len(summed) > MAX_SUMMED:
                 yield out()
@@ -312,14 +324,12 @@ def _weigh_block(aligned: DataFrame, counts: DataFrame, n_ids_b: int, block: tup
         known, n, best = shared.value
         for batch in batches:
             links = batch.column(batch.num_columns - 1)
-            row, place, times, pairs = _distinct(links)
+            ends, pairs, place = _flat(links)
             inside = (pairs >= low) & (pairs < high)
             at = np.searchsorted(known, pairs[inside])
             per_pair, top = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
             per_pair[inside], top[inside] = n[at], best[at]
-            n_best, total = np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
-            np.add.at(n_best, row, times * top[place])
-            np.add.at(total, row, times * per_pair[place])
+            n_best, total = (np.diff(np.r_[0, np.cumsum(x[place])][ends]) for x in (top, per_pair))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(n_best), pa.array(total)], names=[*batch.schema.names[:-1], "n_best", "count_sum"])
 
