@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.session import cut_lineage
+from mailrisk.session import cut_lineage, if_small
 
 #: Letters, with the marks that follow them.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -28,6 +28,8 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LATIN_TEXT, LATIN_WORD = re.compile("[\0-\u024f]*"), re.compile("[A-Za-zªµºÀ-ÖØ-öø-\u024f]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
+#: Languages whose shares are broadcast.
+MAX_LANGUAGES = 10_000
 SMOOTHING = 0.5
 #: What a worker holds at once: words of one text, and scored words.
 WORDS_AT_ONCE, MAX_SCORED = 100_000, 500_000
@@ -158,8 +160,8 @@ def sample(documents: DataFrame, rows: int, max_bytes: int) -> DataFrame:
     """
     usable = documents.where(
         training_fold() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    # One row per language that occurs.
-    shares = usable.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("share"))
+    # One row per language that occurs; texts stay where they are unless there are very many.
+    shares = if_small(cut_lineage(usable.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("share"))), MAX_LANGUAGES)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     return usable.select("lang", "text", place.alias("place")).join(shares, "lang").where("place < share").select("lang", "text")
 
