@@ -829,7 +829,22 @@ def hosting_matches_6(spark, sf_dir):
     numbers = pages.select((F.col("page_id") % 64).alias("n")).distinct().where("n % 4 = 0")
     wide = numbers.select(F.format_string("2001:db8:%x::/48", "n").alias("cidr"), F.lit("quarter").alias("owner"))
     narrow = numbers.where("n % 8 = 0").select(F.format_string("2001:DB8:%x:0:0:0:0:0/64", "n").alias("cidr"), F.lit("half").alias("owner"))
-    found = intel.hosting_matches_6(dns, wide.unionByName(narrow))
+    found = intel.hosting_matches(dns, wide.unionByName(narrow))
+    return found.select("ip", F.array_join("owners", ",").alias("owners"))
+
+
+@query("mapped_addresses", with_views("networks") + """
+, asked AS (SELECT DISTINCT event_id % 200 AS a, user_id % 256 AS b, event_id % 4 AS form FROM events)
+SELECT CASE form WHEN 0 THEN printf('10.%d.%d.1', a, b) WHEN 1 THEN printf('::ffff:10.%d.%d.1', a, b) WHEN 2 THEN printf('::FFFF:0a%02x:%02x01', a, b)
+       ELSE printf('0:0:0:0:0:ffff:10.%d.%d.1', a, b) END AS ip, array_to_string(list_sort(list(DISTINCT owner)), ',') AS owners
+FROM asked JOIN networks ON 10 * 16777216 + a * 65536 + b * 256 + 1 BETWEEN lo AND hi GROUP BY form, a, b""")
+def mapped_addresses(spark, sf_dir):
+    """IPv4 addresses written as such and in three ways inside IPv6."""
+    asked = table(spark, sf_dir, "events").select((F.col("event_id") % 200).alias("a"), (F.col("user_id") % 256).alias("b"), (F.col("event_id") % 4).alias("form"))
+    ip = F.when(F.col("form") == 0, F.format_string("10.%d.%d.1", "a", "b")).when(
+        F.col("form") == 1, F.format_string("::ffff:10.%d.%d.1", "a", "b")).when(
+        F.col("form") == 2, F.format_string("::FFFF:0a%02x:%02x01", "a", "b")).otherwise(F.format_string("0:0:0:0:0:ffff:10.%d.%d.1", "a", "b"))
+    found = intel.hosting_matches(asked.select(ip.alias("ip")), V.networks(spark, sf_dir))
     return found.select("ip", F.array_join("owners", ",").alias("owners"))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from mailrisk.functions import exprs
 from mailrisk.operators.domains import registrable_domain
 from mailrisk.operators.signals import emit
+from mailrisk.operators.networks import matches as hosting_matches
 from mailrisk.operators.skew import lookup_join
-from mailrisk.session import cut_lineage
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -63,113 +63,12 @@ def domain_ioc_signals(
     return _listed(hits.where("feeds IS NOT NULL"), "domain", "domain_ioc", key)
 
 
-def ip_number(ip: Column) -> Column:
-    """IPv4 address as a number, or NULL."""
-    octet = lambda i: F.try_element_at(F.split(ip, "\\."), F.lit(i)).try_cast("bigint")
-    parts = [octet(i) for i in (1, 2, 3, 4)]
-    valid = ip.rlike("^[0-9]{1,3}(\\.[0-9]{1,3}){3}$")
-    for part in parts:
-        valid = valid & (part <= 255)
-    a, b, c, d = parts
-    return F.when(valid, ((a * 256 + b) * 256 + c) * 256 + d)
-
-
-def ip6_bits(ip: Column) -> Column:
-    """IPv6 address as 128 binary digits, or NULL. An embedded dotted IPv4 part is not read."""
-    halves = F.split(ip, "::")
-    part = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
-    left, right = part(0), part(1)
-    given = F.size(left) + F.size(right)
-    zeros = F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0)))).otherwise(
-        F.array().cast("array<string>"))
-    groups = F.concat(left, zeros, right)
-    valid = ip.rlike("^[0-9A-Fa-f:]+$") & ~ip.rlike(":::|^:[^:]|[^:]:$") & (F.size(groups) == 8) & (F.size(halves) <= 2) & ((F.size(halves) == 1) | (given < 8))
-    valid = valid & F.forall(groups, lambda g: F.length(g) <= 4)
-    return F.when(valid, F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
-
-
-def hosting_matches_6(dns: DataFrame, networks: DataFrame) -> DataFrame:
-    """The same for IPv6: networks(cidr, owner), whose prefix lengths in use are at most 129."""
-    size = F.substring_index("cidr", "/", -1).try_cast("int")
-    listed = networks.where(F.col("cidr").contains(":")).select(
-        ip6_bits(F.substring_index("cidr", "/", 1)).alias("base"), F.when(size.between(0, 128), size).alias("size"), "owner"
-    ).dropna()
-    owners = cut_lineage(
-        listed.groupBy("size", F.expr("substring(base, 1, size)").alias("base"))
-        .agg(F.collect_set("owner").alias("owners")).select("size", F.concat("size", F.lit(":"), "base").alias("prefix"), "owners"))
-    sizes = sorted(row["size"] for row in owners.select("size").distinct().collect())
-    addresses = dns.select("ip").distinct().withColumn("bits", ip6_bits(F.col("ip"))).where("bits IS NOT NULL")
-    among = F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")
-    asked = addresses.select("ip", "bits", among).select("ip", F.expr("concat(size, ':', substring(bits, 1, size))").alias("prefix"))
-    found = lookup_join(asked, owners.select("prefix", "owners"), "prefix").where("owners IS NOT NULL")
-    return found.groupBy("ip").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("owners"))
-
-
-def network_blocks(networks: DataFrame) -> DataFrame:
-    """networks(lo, hi, owner) as aligned blocks: blocks(bits, prefix, owner).
-
-    A block holds 2^bits addresses and is named by their common prefix. It belongs
-    to a range when it lies inside it and the block twice its size does not. That
-    can only be the first or last block of a size, so a range has at most two of each.
-    """
-    sizes = networks.where("lo IS NOT NULL AND hi IS NOT NULL").select("lo", "hi", "owner", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bits"))
-    inner = sizes.select(
-        "*",
-        F.expr("shiftright(lo + shiftleft(1L, bits) - 1, bits)").alias("first"),
-        (F.expr("shiftright(hi + 1, bits)") - 1).alias("last"),
-    ).where("first <= last")
-    parent_lo = F.expr("shiftleft(shiftright(prefix, 1), bits + 1)")
-    parent_hi = parent_lo + F.expr("shiftleft(2L, bits)") - 1
-    return (
-        inner.withColumn("prefix", F.explode(F.array_distinct(F.array("first", "last"))))
-        .where(~((parent_lo >= F.col("lo")) & (parent_hi <= F.col("hi"))))
-        .select("bits", "prefix", "owner")
-    )
-
-
-# Blocks of 2^WIDE addresses and more: there are fewer than 2^(33 - WIDE) of them.
-WIDE = 16
-
-
-def hosting_matches(dns: DataFrame, networks: DataFrame) -> DataFrame:
-    """matches(ip, owners): addresses of dns(host, ip) that lie in a listed range.
-
-    Every listed range is cut into aligned blocks, so lying in a range becomes
-    equality of a prefix and there is no range left to compare. Wide blocks are
-    few by arithmetic and are broadcast. A narrow block holds fewer than 2^WIDE
-    distinct addresses, so no key of the shuffled join can be hot.
-    """
-    blocks = cut_lineage(
-        network_blocks(networks).groupBy("bits", "prefix").agg(F.collect_set("owner").alias("owners"))
-    )
-    # Block sizes in use, 33 at most: an address has a prefix for each of them.
-    sizes = sorted(row["bits"] for row in blocks.select("bits").distinct().collect())
-    addresses = dns.select("ip").distinct().withColumn("n", ip_number(F.col("ip"))).where("n IS NOT NULL")
-
-    def prefixes(among: list[int]) -> DataFrame:
-        bits = F.explode(F.array(*map(F.lit, among)).cast("array<int>")).alias("bits")
-        return addresses.select("ip", "n", bits).select(
-            "ip", "bits", F.expr("shiftright(n, bits)").alias("prefix")
-        )
-
-    is_wide = F.col("bits") >= WIDE
-    wide = prefixes([s for s in sizes if s >= WIDE]).join(F.broadcast(blocks.where(is_wide)), ["bits", "prefix"])
-    narrow = prefixes([s for s in sizes if s < WIDE]).join(blocks.where(~is_wide), ["bits", "prefix"])
-    return (
-        wide.unionByName(narrow)
-        .groupBy("ip")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("owners"))
-    )
-
-
 def hosting_signals(
     observations: DataFrame, dns: DataFrame, networks: DataFrame, key: str = "message_id"
 ) -> DataFrame:
     """hosting_flag: a URL's host resolves into a listed network, by recorded dns(host, ip)."""
     dns = dns.select("host", "ip").distinct()
     matches = hosting_matches(dns, networks)
-    if "cidr" in networks.columns:
-        matches = matches.unionByName(hosting_matches_6(dns, networks))
     flagged = (
         lookup_join(dns, matches, "ip")
         .where("owners IS NOT NULL")
