@@ -15,8 +15,10 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailrisk.functions.deadline import Deadline, Overdue, timed
 from mailrisk.schemas import HTML_SCAN
 
 # Executors need not have this package installed: the helpers travel with the task.
@@ -37,15 +39,26 @@ VOID = frozenset({
 })
 
 
+# Pieces of markup between two looks at the clock.
+STEPS = 256
+
+
 class _Scanner(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, clock: Deadline) -> None:
         super().__init__(convert_charrefs=False)
+        self._clock = clock
+        self._steps = 0
         self.texts: list[str] = []
         self.links: list[dict] = []
         self._open: list[tuple[str, dict | None]] = []
         self._names: Counter[str] = Counter()
         self._pending: list[str] = []
 
+    def _tick(self) -> None:
+        self._steps += 1
+        if self._steps % STEPS == 0:
+            self._clock.check()
+
     def _end_text(self) -> None:
         """Close the text node being read; only visible, non-blank nodes are kept."""
         node = "".join(self._pending).strip()
@@ -54,6 +67,7 @@ class _Scanner(HTMLParser):
             self.texts.append(node)
 
     def handle_starttag(self, tag, attrs) -> None:
+        self._tick()
         self._end_text()
         link = None
         if tag in URL_ATTRIBUTES:
@@ -72,6 +86,7 @@ class _Scanner(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag) -> None:
+        self._tick()
         self._end_text()
         while self._names[tag]:
             name, link = self._open.pop()
@@ -82,16 +97,20 @@ class _Scanner(HTMLParser):
                 break
 
     def handle_data(self, data) -> None:
+        self._tick()
         self._pending.append(data)
 
     def handle_charref(self, name) -> None:
+        self._tick()
         self._pending.append(html.unescape(f"&#{name};"))
 
     def handle_entityref(self, name) -> None:
+        self._tick()
         known = html5.get(f"{name};")
         self._pending.append(known if known is not None else f"&{name}")
 
     def handle_comment(self, data) -> None:
+        self._tick()
         self._end_text()
 
     handle_decl = handle_pi = handle_comment
@@ -115,18 +134,23 @@ def _clean(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def scan_html(markup: str | None) -> dict | None:
+def scan_html(markup: str | None, limit_s: float | None = None) -> dict | None:
     """Visible text (one node per line) and links; NULL in gives NULL out.
 
     Markup that the tokenizer refuses is read up to there, with the reason in `error`:
-    what was read is evidence, but what was not cannot be called clean.
+    what was read is evidence, but what was not cannot be called clean. So is markup that takes longer
+    than limit_s.
     """
     if markup is None:
         return None
-    scanner, error = _Scanner(), None
+    clock = Deadline(limit_s)
+    scanner, error = _Scanner(clock), None
     try:
         scanner.feed(markup)
         scanner.close()
+    except Overdue as late:
+        error = str(late)
+        scanner.stop()
     except Exception as exc:  # hostile markup the tokenizer refuses
         error = _clean(f"{type(exc).__name__}: {exc}")
         scanner.stop()
@@ -151,13 +175,13 @@ _SCAN_ARROW = pa.struct([
         ("anchor_text", pa.string()),
     ]))),
     ("error", pa.string()),
+    ("elapsed_ms", pa.int64()),
 ])
 
 
-@F.arrow_udf(HTML_SCAN)
-def _html_scan(markup: pa.Array) -> pa.Array:
-    return pa.array([scan_html(value.as_py()) for value in markup], type=_SCAN_ARROW)
-
+def html_scan(markup: str, limit_s: float | None = None) -> Column:
+    """Text and links of markup, read up to limit_s. Nondeterministic, so that the optimizer never reads it twice."""
+    def _html_scan(values: pa.Array) -> pa.Array:
+        return pa.array([timed(scan_html, value.as_py(), limit_s) for value in values], type=_SCAN_ARROW)
 
-# Declared nondeterministic so that the optimizer never reads the markup twice.
-html_scan = _html_scan.asNondeterministic()
+    return F.arrow_udf(_html_scan, HTML_SCAN).asNondeterministic()(markup)

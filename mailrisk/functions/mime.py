@@ -7,21 +7,25 @@ done on the nested record with column expressions (operators/messages.py).
 
 from __future__ import annotations
 
-import email
 import sys
 from email import policy
+from email.parser import BytesFeedParser
 from email.utils import getaddresses, parseaddr
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailrisk.functions.deadline import Deadline, Overdue, timed
 from mailrisk.schemas import MAIL
 
 # Executors need not have this package installed: the helpers travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BODY_TYPES = ("text/plain", "text/html")
+# Bytes that the parser is fed between two looks at the clock.
+FED_AT_ONCE = 1 << 16
 
 # Headers that were decoded already in this task. Content types, versions, senders and
 # recipients repeat from message to message, and the library decodes a header again at
@@ -81,21 +85,34 @@ def _text_of(part) -> str:
     return _clean(_attempt(lambda: data.decode(named, "replace")) or data.decode("utf-8", "replace"))
 
 
-def _parse(raw: bytes):
-    modern = _attempt(lambda: email.message_from_bytes(raw, policy=_POLICY))
-    return modern if modern is not None else email.message_from_bytes(raw)
+def _parse(raw: bytes, clock: Deadline):
+    try:
+        return _fed(raw, clock, BytesFeedParser(policy=_POLICY))
+    except Overdue:
+        raise
+    except Exception:  # the older policy reads what this one refuses
+        return _fed(raw, clock, BytesFeedParser())
+
 
+def _fed(raw: bytes, clock: Deadline, parser: BytesFeedParser):
+    for at in range(0, len(raw), FED_AT_ONCE):
+        clock.check()
+        parser.feed(raw[at : at + FED_AT_ONCE])
+    return parser.close()
 
-def _headers(message) -> dict[str, list[dict]]:
+
+def _headers(message, clock: Deadline) -> dict[str, list[dict]]:
     """Header values by lower-cased name, each with its position in the message."""
     found: dict[str, list[dict]] = {}
     for pos, (name, stored) in enumerate(_attempt(lambda: list(message.raw_items()), [])):
+        clock.check()
         value = _attempt(lambda: message.policy.header_fetch_parse(name, stored), "")
         found.setdefault(_clean(str(name)).lower(), []).append({"pos": pos, "value": _one_line(value)})
     return found
 
 
-def _part(number: int, part) -> dict:
+def _part(number: int, part, clock: Deadline) -> dict:
+    clock.check()
     disposition = (_attempt(part.get_content_disposition) or "").lower()
     filename = _one_line(_attempt(part.get_filename) or "")
     content_id = _one_line(_attempt(lambda: part.get("Content-ID")) or "")
@@ -113,19 +130,23 @@ def _part(number: int, part) -> dict:
     }
 
 
-def decode_mail(raw: bytes | None) -> dict:
-    """One message as a record shaped like schemas.MAIL; never raises."""
+def decode_mail(raw: bytes | None, limit_s: float | None = None) -> dict:
+    """One message as a record shaped like schemas.MAIL, without its time; never raises.
+
+    A message that takes longer than limit_s is given up with the reason.
+    """
     if raw is None:
         return {"error": "content is missing"}
+    clock = Deadline(limit_s)
     try:
-        message = _parse(raw)
-        headers = _headers(message)
+        message = _parse(raw, clock)
+        headers = _headers(message, clock)
         values = {name: [h["value"] for h in found] for name, found in headers.items()}
         first = {name: found[0] for name, found in values.items()}
         display, address = parseaddr(first.get("from", ""))
         walked = _attempt(lambda: list(message.walk()), [message])
         leaves = [p for p in walked if _attempt(p.get_content_maintype, "multipart") != "multipart"]
-        parts = [_part(number, part) for number, part in enumerate(leaves)]
+        parts = [_part(number, part, clock) for number, part in enumerate(leaves)]
         flat = None
         if all(p["text"] is None for p in parts) and not _attempt(message.is_multipart, True):
             flat = _text_of(message)
@@ -139,6 +160,8 @@ def decode_mail(raw: bytes | None) -> dict:
             "flat_text": flat,
             "error": None,
         }
+    except Overdue as late:
+        return {"error": str(late)}
     except Exception as exc:  # reported per message, so one bad row never ends a job
         return {"error": _clean(f"{type(exc).__name__}: {exc}")}
 
@@ -156,14 +179,17 @@ _MAIL_ARROW = pa.struct([
     ]))),
     ("flat_text", pa.string()),
     ("error", pa.string()),
+    ("elapsed_ms", pa.int64()),
 ])
 
 
-@F.arrow_udf(MAIL)
-def _mail_record(content: pa.Array) -> pa.Array:
-    return pa.array([decode_mail(value.as_py()) for value in content], type=_MAIL_ARROW)
+def mail_record(content: str, limit_s: float | None = None) -> Column:
+    """The decoded record of a message, given up beyond limit_s.
 
+    Declared nondeterministic so that the optimizer never decodes a message twice, once
+    for a pushed-down filter and once for the result.
+    """
+    def _mail_record(values: pa.Array) -> pa.Array:
+        return pa.array([timed(decode_mail, value.as_py(), limit_s) for value in values], type=_MAIL_ARROW)
 
-# Declared nondeterministic so that the optimizer never decodes a message twice, once
-# for a pushed-down filter and once for the result.
-mail_record = _mail_record.asNondeterministic()
+    return F.arrow_udf(_mail_record, MAIL).asNondeterministic()(content)

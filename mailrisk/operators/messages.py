@@ -16,9 +16,9 @@ from mailrisk.functions.mime import mail_record
 EMPTY_TYPE = "application/octet-stream"
 
 
-def decode_messages(raw: DataFrame) -> DataFrame:
-    """raw_messages(source_id, content) with the decoded record in `mail`."""
-    return raw.withColumn("mail", mail_record("content"))
+def decode_messages(raw: DataFrame, limit_s: float | None = None) -> DataFrame:
+    """raw_messages(source_id, content) with the decoded record in `mail`; a message may take limit_s seconds."""
+    return raw.withColumn("mail", mail_record("content", limit_s))
 
 
 def readable(decoded: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def inline_images(attachments: DataFrame) -> DataFrame:
     return attachments.where(F.col("content_id").isNotNull())
 
 
-def choose_bodies(decoded: DataFrame) -> DataFrame:
+def choose_bodies(decoded: DataFrame, limit_s: float | None = None) -> DataFrame:
     """Add body_html, body_text and the links found in the HTML.
 
     Text is the first plain part; else the text of the HTML; else the flat body
@@ -156,7 +156,7 @@ def choose_bodies(decoded: DataFrame) -> DataFrame:
     scanned = (
         decoded.withColumn("plain", _first_body("text/plain"))
         .withColumn("body_html", _first_body("text/html"))
-        .withColumn("scan", html_scan("body_html"))
+        .withColumn("scan", html_scan("body_html", limit_s))
     )
     return scanned.withColumn(
         "body_text", F.coalesce("plain", "scan.text", "mail.flat_text", F.lit(""))
@@ -169,17 +169,20 @@ def _links_type() -> str:
     return "array<struct<pos:int,source:string,href:string,anchor_text:string>>"
 
 
-def assemble_messages(decoded: DataFrame, keep_raw: bool = False) -> DataFrame:
-    """The `messages` table from decoded rows.
+def assemble_messages(
+    decoded: DataFrame, keep_raw: bool = False, limit_s: float | None = None, durations: bool = False
+) -> DataFrame:
+    """The `messages` table from decoded rows; with durations also decode_ms and html_ms of each message.
 
     Columns that came along with the raw messages are kept, and a received_at among them
     counts in place of the headers. A row that could not be
     decoded has its reason in `error` and nothing else.
     """
     raw = [F.col("content").alias("raw")] if keep_raw else []
+    took = [F.col("mail.elapsed_ms").alias("decode_ms"), F.coalesce("scan.elapsed_ms", F.lit(0).cast("bigint")).alias("html_ms")]
     along = [c for c in decoded.columns if c not in ("source_id", "content", "mail")]
     arrived = [] if "received_at" in along else [received_at().alias("received_at")]
-    return choose_bodies(decoded).select(
+    return choose_bodies(decoded, limit_s).select(
         "source_id",
         message_id().alias("message_id"),
         F.col("mail.from_addr").alias("from_addr"),
@@ -198,6 +201,7 @@ def assemble_messages(decoded: DataFrame, keep_raw: bool = False) -> DataFrame:
         F.col("mail.error").alias("error"),
         *along,
         *raw,
+        *(took if durations else []),
     )
 
 

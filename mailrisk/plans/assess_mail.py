@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.operators import body, headers, intel, links, lookups, observations, results, scoring
 from mailrisk.operators.messages import assemble_messages, decode_messages
-from mailrisk.schemas import LAYERS, MIN_TOKENS, SIGNALS
+from mailrisk.schemas import LAYERS, MIN_TOKENS, SIGNALS, TOTAL_BUDGET_S
 from mailrisk.session import cut_lineage
 
 
@@ -58,13 +58,20 @@ class Records:
     fusion_model: PipelineModel | None = None
 
 
+# Layers that look at what was read from markup.
+MARKUP_LAYERS = (2, 3, 4)
+
 # A layer takes the mail and gives signals. What it raises makes it incomplete.
 Layer = Callable[[Mail], DataFrame]
 
 
-def normalize(raw: DataFrame, qr_decodes: DataFrame | None = None) -> Mail:
-    """Decode every message once and write the result, which all layers then read."""
-    decoded = cut_lineage(assemble_messages(decode_messages(raw)))
+def normalize(raw: DataFrame, qr_decodes: DataFrame | None = None, deadline_s: float | None = TOTAL_BUDGET_S) -> Mail:
+    """Decode every message once and write the result, which all layers then read.
+
+    A message whose decoding takes longer than deadline_s is a reject; one whose markup does is read
+    up to there (see run_layers). Both know their own time, in decode_ms and html_ms.
+    """
+    decoded = cut_lineage(assemble_messages(decode_messages(raw, deadline_s), limit_s=deadline_s, durations=True))
     rejects = decoded.where("error IS NOT NULL").select(
         "source_id", F.lit("parse").alias("stage"), F.col("error").alias("reason")
     )
@@ -173,7 +180,9 @@ def run_layers(mail: Mail, layers: Mapping[int, Layer | None]) -> tuple[DataFram
     The signals of a layer are written before the next one starts, so a layer that
     fails takes nothing else with it; it is incomplete for the batch, with the reason.
     A layer that gives no table, or is not there, is incomplete too. Signals carry in `ran` the layer
-    that produced them. duration_ms is how long the layer's job took, for every message of the batch.
+    that produced them. duration_ms is what a message took: its own time in the functions that read
+    it, which the layers share, and an equal part of the layer's job. The layers that read
+    markup are incomplete for a message whose markup was cut by the deadline.
     """
     spark = mail.messages.sparkSession
     columns = spark.createDataFrame([], SIGNALS).columns
@@ -193,10 +202,14 @@ def run_layers(mail: Mail, layers: Mapping[int, Layer | None]) -> tuple[DataFram
         except Exception as exc:  # whatever a layer meets stays in that layer
             reason = _reason(exc)
         outcome.append((number, reason, int((time.monotonic() - started) * 1000)))
+    batch = max(1, mail.messages.count())
+    late = F.when(F.col("html_error").startswith("timeout after "), F.col("html_error"))
     states = F.array(*[
         F.struct(
-            F.lit(number).alias("layer"), F.lit(reason is None).alias("completed"),
-            F.lit(reason).cast("string").alias("error"), F.lit(took).cast("bigint").alias("duration_ms"),
+            F.lit(number).alias("layer"),
+            (F.lit(reason is None) & (late.isNull() if number in MARKUP_LAYERS else F.lit(True))).alias("completed"),
+            (F.coalesce(F.lit(reason).cast("string"), late) if number in MARKUP_LAYERS else F.lit(reason).cast("string")).alias("error"),
+            (F.col("decode_ms") + (F.col("html_ms") if number in MARKUP_LAYERS else 0) + -(-max(1, took) // batch)).cast("bigint").alias("duration_ms"),
         )
         for number, reason, took in outcome
     ])
@@ -227,15 +240,16 @@ def assess_mail(
     qr_decodes: DataFrame | None = None,
     limits: Mapping[int, float] | None = None,
     total: float | None = None,
+    deadline_s: float | None = TOTAL_BUDGET_S,
 ) -> Result:
     """raw_messages(source_id, content) to assessments, with all that led to them.
 
     Assessments carry source_id beside the message's own id. A layer is incomplete for a message
     if it failed, if it produced a signal that breaks the contract, or if it took longer than
     `limits` (seconds by layer) or the whole longer than `total`; its signals do not count then.
-    Limits are those of a batch and off by default.
+    Limits are off by default. deadline_s is how long the functions that read a message may take for it.
     """
-    mail = normalize(raw, qr_decodes)
+    mail = normalize(raw, qr_decodes, deadline_s)
     produced, runs = run_layers(mail, layers)
     accepted, quarantine = results.collect_signals(produced)
     grid = results.reject_layers(results.layer_grid(mail.messages, runs), quarantine)

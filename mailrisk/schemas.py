@@ -60,6 +60,7 @@ MAIL = T.StructType([
     T.StructField("parts", T.ArrayType(PART)),
     T.StructField("flat_text", T.StringType()),
     T.StructField("error", T.StringType()),
+    T.StructField("elapsed_ms", T.LongType()),
 ])
 
 LINK = T.StructType([
@@ -73,6 +74,7 @@ HTML_SCAN = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("links", T.ArrayType(LINK)),
     T.StructField("error", T.StringType()),
+    T.StructField("elapsed_ms", T.LongType()),
 ])
 
 RAW_MESSAGES = "source_id string, content binary"

@@ -172,6 +172,31 @@ def test_refused_markup_and_short_texts_abstain(spark, records):
     assert {r["score"] for r in scores} == {None} and all(r["completed"] for r in scores)
 
 
+def test_a_hostile_message_is_cut_alone(spark, records):
+    """Markup and parts without end: each such message stops at the deadline, the others are judged as ever."""
+    page = b"Message-ID: <p>\nFrom: Ann <a@work.com>\nContent-Type: text/html\n\n" + b"<b>x</b>" * 600_000
+    nest = b"From: Ann <a@work.com>\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b\n\n" + b"--b\nContent-Type: text/plain\n\nhi\n" * 120_000
+    calm = b"Message-ID: <%d>\nFrom: Ann <a@work.com>\nContent-Type: text/html\n\n<p>hi</p>"
+    rows = [("page", bytearray(page)), ("nest", bytearray(nest))] + [(f"c{i}", bytearray(calm % i)) for i in range(4)]
+    frame = spark.createDataFrame(rows, "source_id string, content binary").repartition(1)
+    done = run(spark, frame, plan.standard_layers(records), deadline_s=0.75)
+    assert [tuple(r) for r in done.rejects.collect()] == [("nest", "parse", "timeout after 0.75s")]
+    assert {k: v for k, v in states_of(done, "page").items() if k > 1} == dict.fromkeys((2, 3, 4), (False, "timeout after 0.75s"))
+    assert states_of(done, "page")[1] == (True, None)
+    took = {(r["message_id"], r["layer"]): r["duration_ms"] for r in done.grid.collect()}
+    for layer in (2, 3, 4):
+        others = [took[f"c{i}", layer] for i in range(4)]
+        assert took["page", layer] - max(others) >= 500, "its own time counts for it alone"
+        assert all(states_of(done, f"c{i}")[layer] == (True, None) for i in range(4))
+    assert done.signals.where("message_id = 'page' AND layer > 1").count() == 0
+
+
+def test_no_deadline_changes_nothing(spark, raw, records):
+    free, held = (run(spark, raw, plan.standard_layers(records), deadline_s=d) for d in (None, 60.0))
+    rows = lambda done: sorted(map(str, done.assessments.drop("scored_at").collect()))
+    assert rows(free) == rows(held)
+
+
 def test_work_can_be_removed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "work_folder", lambda _: str(tmp_path / "work"))
     session.cut_lineage(spark.range(3))
