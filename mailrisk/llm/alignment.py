@@ -12,20 +12,20 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate, count
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mailrisk.llm.common import pieces
+from mailrisk.llm.common import bound_batches, pieces
 from mailrisk.session import cut_lineage
 
 #: Characters for which encoding unit by unit is certain to equal encoding the whole text.
@@ -36,9 +36,9 @@ UNIT = re.compile(r" (?:[^ ]|(?<=[ \n]) )*(?: [ \n]*\Z)?")
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE = "▁"
-MAX_UNITS, MAX_UNIT = 120_000, 64
-#: Bytes of texts that are held as tokens at once.
-TEXT_AT_ONCE = 1 << 20
+MAX_UNITS, MAX_UNIT = 90_000, 64
+#: Bytes of texts in a batch, and of those that are held as tokens at once.
+TEXTS_BYTES, TEXT_AT_ONCE = 4 << 20, 1 << 20
 #: Distinct pairs that a task sums before it hands them on, and that one broadcast block holds.
 MAX_SUMMED, BLOCK_PAIRS = 1_000_000, 2_000_000
 
@@ -58,12 +58,14 @@ class ByteLevel:
     """
 
     def __init__(self, path: str) -> None:
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
         letters = byte_letters()
-        entries = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
+        ids = made["model"]["vocab"] | {t["content"]: t["id"] for t in made.get("added_tokens", [])}
+        entries = [""] * (max(ids.values()) + 1)
+        for entry, i in ids.items():
+            entries[i] = entry
         # An entry outside the alphabet is a special one, which is never emitted.
         self.tokens = [bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode() for entry in entries]
         splits = made.get("pre_tokenizer") or {}
@@ -75,6 +77,13 @@ class ByteLevel:
             ranks = {token: i for i, token in enumerate(self.tokens[: alphabet + len(merges)])}
             self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Loaded when a text needs it."""
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
     def encode(self, texts: list[str], plain: bool) -> list[list[int]]:
         if not texts:
             return []
@@ -242,8 +251,8 @@ def align(documents: DataFrame, path_a: str, path_b: str, text_col: str = "text"
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each row's links end, the distinct pairs of all rows, and for each link the place of its pair."""
     ends = column.offsets.to_numpy().astype(np.int64)
-    place, pairs = pd.factorize(column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]])
-    return ends - ends[0], pairs, place
+    coded = column.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    return ends - ends[0], coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -261,7 +270,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
         for batch in batches:
             ends, pairs, place = _flat(batch.column(0))
             owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            once = pd.unique(owner * max(1, len(pairs)) + place) % max(1, len(pairs))
+            once = pc.unique(pa.array(owner * max(1, len(pairs)) + place)).to_numpy() % max(1, len(pairs))
             for pair, n in zip(pairs.tolist(), np.bincount(once, minlength=len(pairs)).tolist(), strict=True):
                 summed[pair] = summed.get(pair, 0) + n
             if len(summed) > MAX_SUMMED:
@@ -341,6 +350,7 @@ def report(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     Links are written once and read twice, to count them and to weigh them.
     """
+    bound_batches(documents.sparkSession, TEXTS_BYTES)
     made = align(documents.select("doc_id", "text"), path_a, path_b)
     digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
     aligned = cut_lineage(made.select(
