@@ -31,6 +31,8 @@ BLOCK_ROWS = 8192
 COLUMNS = 16
 #: Width of the hypothesis test: candidates within it are kept.
 EPSILON = 2.1
+#: What squared distances of unit vectors in single precision may be off by: equal ones stay together.
+ROUNDING = 1e-6
 #: Share of true neighbours within the sample that the probed lists must hold.
 TARGET = 0.98
 
@@ -43,6 +45,7 @@ class Index:
 
     def turn(self, vectors: np.ndarray) -> np.ndarray:
         """Normalised in double precision, then rotated."""
+        vectors = scaled(vectors)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         return unit @ self.rotation
 
@@ -103,15 +106,22 @@ def scan(query: np.ndarray, columns: list[np.ndarray], wanted: int) -> np.ndarra
                 alive, distance = alive[stay], distance[stay]
         kept, kept_distance = np.r_[kept, alive], np.r_[kept_distance, distance]
         if len(kept) > wanted:
-            threshold = np.partition(kept_distance, wanted - 1)[wanted - 1] + 1e-9
+            threshold = np.partition(kept_distance, wanted - 1)[wanted - 1] + ROUNDING
             stay = kept_distance <= threshold
             kept, kept_distance = kept[stay], kept_distance[stay]
         start, size = start + size, 2048
     return kept
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that squares neither overflow nor vanish; cosines stay the same to the last bit."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """In double precision, row by row, so that equal vectors have equal scores."""
+    query, vectors = scaled(query), scaled(vectors)
     return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
@@ -121,7 +131,7 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of vectors that take part: not null or empty, every component finite, not all zero."""
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    found = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    found = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     return found.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(whole).where(F.exists("v", lambda x: x != 0))
 
 
@@ -146,7 +156,7 @@ def _distinct(valid: DataFrame, keep: int) -> DataFrame:
     def merged(frame: DataFrame, *keys: str) -> DataFrame:
         return frame.groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
-    reduced = valid.select("id", "v").mapInArrow(run, "v array<float>, ids array<long>")
+    reduced = valid.select("id", "v").mapInArrow(run, "v array<double>, ids array<long>")
     salted = reduced.withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(256)))
     return merged(merged(salted, "v", "salt"), "v")
 
@@ -185,7 +195,7 @@ def search(
                 near = index.lists_of(index.turn(_matrix(batch.column(0), dims)))
                 yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), *batch.columns], names=["list", "v", "ids"])
 
-    listed = cut_lineage(distinct.select("v", "ids").mapInArrow(assign, "list int, v array<float>, ids array<long>"))
+    listed = cut_lineage(distinct.select("v", "ids").mapInArrow(assign, "list int, v array<double>, ids array<long>"))
     counted = listed.groupBy("list").count()
     held = {r["list"]: r["count"] for r in counted.collect()}  # at most MAX_LISTS rows, here and in the broadcast
     blocks = {n: -(-c // block_rows) for n, c in held.items()}
@@ -214,7 +224,7 @@ def search(
                 [pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), batch.column(1).take(picked), batch.column(0).take(picked)],
                 names=["list", "block", "q", "v"])
 
-    probes = searches.select("v", "q").mapInArrow(probe, "list int, block int, q long, v array<float>")
+    probes = searches.select("v", "q").mapInArrow(probe, "list int, block int, q long, v array<double>")
 
     def scan_list(_, asked_here: pa.Table, candidates: pa.Table) -> pa.Table:
         found: list[tuple[int, float, list[int]]] = []
@@ -223,11 +233,13 @@ def search(
             turned = index.turn(own).astype(np.float32)
             columns = [np.ascontiguousarray(turned[:, at : at + COLUMNS]) for at in range(0, dims, COLUMNS)]
             ids = candidates["ids"].to_pylist()
+            smallest = np.array([some[0] for some in ids])
             wanted = _matrix(asked_here["v"], dims)
             for q, query, around in zip(asked_here["q"].to_pylist(), wanted, index.turn(wanted).astype(np.float32), strict=True):
                 near = scan(around, columns, k + 1)
                 scores = cosines(query, own[near])
-                for at in np.argsort(-scores, kind="stable")[: k + 1].tolist():
+                # Of equal scores the vector with the smaller smallest id goes first, so k + 1 vectors hold the k + 1 first ids.
+                for at in np.lexsort((smallest[near], -scores))[: k + 1].tolist():
                     found.append((q, float(scores[at]), ids[near[at]]))
         return pa.table({
             "q": pa.array([f[0] for f in found], pa.int64()), "score": pa.array([f[1] for f in found], pa.float64()),

@@ -78,6 +78,35 @@ def test_crowd_of_equal_vectors(spark):
             assert [v for v, _ in got[q]] == [v for v, _ in want[q]] == [i for i in (0, 3, 6, 9, 12, 15) if i != q][:5]
 
 
+@pytest.mark.parametrize("block_rows", [7, 8192])
+def test_ties_go_to_the_smaller_ids(spark, block_rows):
+    """Parallel vectors are different vectors of equal score; 40 of them over several blocks, in any order of rows."""
+    direction = [1.0, 2.0, -0.5, 4.0]
+    rows = {0: direction} | {i: [x * 2.0**i for x in direction] for i in range(1, 41)} | {i: [1.0, -1.0, float(i % 7), 0.5] for i in range(41, 90)}
+    order = np.random.default_rng(8).permutation(list(rows)).tolist()
+    frame = spark.createDataFrame([(i, rows[i], 0, "", 0) for i in order], FRAME.replace("float", "double")).repartition(5)
+    got = found(neighbours.search(frame, frame.where("vec_id in (0, 3, 40, 60)"), block_rows=block_rows))
+    want = brute(rows, [0, 3, 40])
+    assert got[0] == want[0] and [v for v, _ in got[0]] == [1, 2, 3, 4, 5]
+    assert got[3] == want[3] and [v for v, _ in got[3]] == [0, 1, 2, 4, 5]
+    assert got[40] == want[40] and [v for v, _ in got[60]][:5] == [v for v, _ in brute(rows, [60])[60]]
+
+
+def test_doubles_of_any_size(spark):
+    rows = {1: [1e-60, 0.0], 2: [1e200, 1e200], 3: [0.0, 1e-200], 4: [3e150, 1.0], 5: [0.1 + 1e-12, 0.1]}
+    frame = spark.createDataFrame([(i, v, 0, "", 0) for i, v in rows.items()], FRAME.replace("float", "double"))
+    got = found(neighbours.search(frame, frame))
+    assert got == brute(rows, list(rows)) and all(len(x) == 4 for x in got.values())
+    assert got[2][0][0] == 5 and got[1][0] == (4, 1.0) and got[3][0] == (2, np.sqrt(0.5))
+
+
+def test_scaling_changes_no_bit():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(50, 17)), rng.normal(size=17)
+    plain = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum()))
+    assert np.array_equal(neighbours.cosines(b, a), plain)
+
+
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.1"])
 def test_recall_of_the_query(spark, scale):
     from mailrisk.llm.queries import QUERIES
