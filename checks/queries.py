@@ -482,6 +482,35 @@ def resolve_redirects(spark, sf_dir):
     )
 
 
+@query("redirects_as_of", """
+WITH RECURSIVE timed AS (
+  SELECT a.url AS src, b.url AS dst, TIMESTAMP '2024-01-01' + to_days(CAST(CASE v WHEN 0 THEN 0 ELSE 5 + a.page_id % 20 END AS INTEGER)) AS seen_at
+  FROM pages a CROSS JOIN (VALUES (0), (1)) AS t(v)
+  JOIN pages b ON b.page_id = CASE WHEN v = 1 THEN a.page_id // 2 WHEN a.page_id = 0 THEN 1 ELSE a.page_id // 3 END),
+spans AS (SELECT *, lead(seen_at) OVER (PARTITION BY src ORDER BY seen_at) AS until FROM timed),
+links AS (SELECT CAST(page_id // 3 AS VARCHAR) AS message_id, url, TIMESTAMP '2024-01-01' + to_days(CAST((page_id // 3) % 30 AS INTEGER)) AS moment FROM pages),
+walks AS (
+  SELECT url, moment, [url] AS walk FROM links
+  UNION ALL
+  SELECT w.url, w.moment, list_append(w.walk, h.dst) FROM walks w
+  JOIN spans h ON h.src = w.walk[len(w.walk)] AND w.moment >= h.seen_at AND (h.until IS NULL OR w.moment < h.until)
+  WHERE len(w.walk) <= 8 AND NOT list_contains(w.walk, h.dst)),
+resolved AS (SELECT url, moment, arg_max(walk, len(walk)) AS walk FROM walks GROUP BY url, moment)
+SELECT message_id, url, array_to_string(list_slice(walk, 2, len(walk)), ' ') AS chain, CAST(len(walk) - 1 AS INTEGER) AS redirect_depth
+FROM links JOIN resolved USING (url, moment)""")
+def redirects_as_of(spark, sf_dir):
+    """Each page redirects to another one from some day on; messages of different days see different chains."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda n: F.timestamp_add("DAY", n, F.lit("2024-01-01").cast("timestamp"))
+    first = pages.select("url", F.expr("if(page_id = 0, 1, page_id div 3)").alias("target"), day(F.lit(0)).alias("seen_at"))
+    second = pages.select("url", F.expr("page_id div 2").alias("target"), day(5 + F.col("page_id") % 20).alias("seen_at"))
+    places = pages.select(F.col("page_id").alias("target"), F.col("url").alias("dst"))
+    hops = first.unionByName(second).join(places, "target").select(F.col("url").alias("src"), "dst", "seen_at")
+    seen = V.page_links(spark, sf_dir).withColumn("received_at", day(F.col("message_id").cast("int") % 30))
+    found = links.resolve_redirects_as_of(seen, hops)
+    return found.select("message_id", "url", F.array_join("redirect_chain", " ").alias("chain"), "redirect_depth")
+
+
 @query("redirect_signals", RESOLVED + """
 SELECT message_id, CAST(max(len(walk) - 1) AS VARCHAR) AS depth, max(len(walk) - 1) / 8::DOUBLE AS score
 FROM links JOIN resolved USING (url) WHERE len(walk) > 3 GROUP BY message_id""")
@@ -706,17 +735,11 @@ def urgency_signals(spark, sf_dir):
     return body.urgency_signals(scored, threshold=0.2).select("message_id", "name", _rounded("score", 4))
 
 
-_URGENCY: dict[tuple[str, str], DataFrame] = {}
-
-
 def _urgency(spark, sf_dir):
-    """doc_id, label, heldout and the urgency of every document; fitted once per application and folder."""
-    known = (spark.sparkContext.applicationId, sf_dir)
-    if known not in _URGENCY:
-        corpus = evaluation.holdout(_labelled(spark, sf_dir), 0.2, "doc_id")
-        model = body.fit_urgency(corpus.where("NOT heldout"))
-        _URGENCY[known] = cut_lineage(body.score_urgency(model, corpus).select("doc_id", "label", "heldout", "urgency"))
-    return _URGENCY[known]
+    """doc_id, label, heldout and the urgency of every document, fitted on the labelled ones outside the hold-out."""
+    corpus = evaluation.holdout(_labelled(spark, sf_dir), 0.2, "doc_id")
+    model = body.fit_urgency(corpus.where("NOT heldout"))
+    return cut_lineage(body.score_urgency(model, corpus).select("doc_id", "label", "heldout", "urgency"))
 
 
 @query("urgency_terms", f"""

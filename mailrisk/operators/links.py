@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk.functions import exprs
+from mailrisk.operators import asof
 from mailrisk.operators.domains import registrable_domain
 from mailrisk.operators.headers import named_brands
 from mailrisk.operators.signals import emit
@@ -110,6 +113,49 @@ def resolve_redirects(
     )
 
 
+def resolve_redirects_as_of(
+    observations: DataFrame, hops: DataFrame, at: str = "received_at", max_hops: int = MAX_HOPS
+) -> DataFrame:
+    """The same from hops(src, dst, seen_at) as they were when the message came.
+
+    Each step takes the newest hop of a URL that was recorded at or before the time in column `at`; of several
+    recorded at that time the smallest target. A message without a time follows the newest hops of all.
+    Hops without source, target or time are left out. Every different URL and time is followed once;
+    a step is an as-of merge (`asof`), so a URL in a third of the mail is not one task, and chains that have
+    ended take no part in the next.
+    """
+    known = hops.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col("seen_at").isNotNull())
+    one = known.groupBy("src", F.col("seen_at").cast("timestamp").alias("_time")).agg(F.min("dst").alias("dst"))
+    records = cut_lineage(one.select(F.col("src").alias("_key"), "_time", F.struct(F.col("_time").alias("_at"), "dst").alias("_record")))
+    latest = F.lit("9999-12-31").cast("timestamp")
+    moment = F.coalesce(F.col(at).cast("timestamp"), latest)
+    starts = observations.where(F.col("url").isNotNull()).select("url", moment.alias("_moment")).distinct()
+    going = starts.select("url", "_moment", F.array().cast("array<string>").alias("path"))
+    ended = []
+    for _ in range(max_hops):
+        last = F.coalesce(F.get(F.reverse("path"), F.lit(0)), "url")
+        asked = going.select(last.alias("_key"), F.col("_moment").alias("_time"), F.struct("url", "_moment", "path").alias("_event"))
+        target = F.col("_record.dst")
+        stepped = asof.merge(asked, records).select("_event.*", target.alias("_next"))
+        stays = F.col("_next").isNull() | (F.col("_next") == F.col("url")) | F.array_contains("path", F.col("_next"))
+        stepped = cut_lineage(stepped.withColumn("_ended", stays))
+        ended.append(stepped.where("_ended").select("url", "_moment", "path"))
+        going = stepped.where("NOT _ended").select("url", "_moment", F.array_append("path", F.col("_next")).alias("path"))
+        if going.isEmpty():
+            break
+    paths = reduce(DataFrame.unionByName, [*ended, going]).withColumnRenamed("path", "redirect_chain")
+    # A URL and a time make a key of their own; many messages of one time and URL are looked up, not joined by it.
+    name = lambda url, time: F.concat_ws(" ", F.unix_micros(time).cast("string"), url)
+    keyed = paths.select(name(F.col("url"), F.col("_moment")).alias("_place"), "redirect_chain")
+    chained = lookup_join(observations.withColumn("_place", name(F.col("url"), moment)), keyed, "_place").drop("_place")
+    chain = F.coalesce("redirect_chain", F.array().cast("array<string>"))
+    return chained.withColumn("redirect_chain", chain).select(
+        "*",
+        F.coalesce(F.get(F.reverse("redirect_chain"), F.lit(0)), "url").alias("final_url"),
+        F.size("redirect_chain").alias("redirect_depth"),
+    )
+
+
 def redirect_signals(
     resolved: DataFrame, flag_depth: int = FLAG_DEPTH, key: str = "message_id"
 ) -> DataFrame:

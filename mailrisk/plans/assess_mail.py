@@ -114,7 +114,11 @@ def standard_layers(records: Records) -> dict[int, Layer]:
         if records.brands is not None:
             found.append(links.anchor_brand_signals(seen, records.brands, records.suffixes))
         if records.hops is not None:
-            resolved = cut_lineage(links.resolve_redirects(seen, records.hops))
+            if "seen_at" in records.hops.columns:
+                timed = seen.join(mail.messages.select("message_id", "received_at"), "message_id")
+                resolved = cut_lineage(links.resolve_redirects_as_of(timed, records.hops))
+            else:
+                resolved = cut_lineage(links.resolve_redirects(seen, records.hops))
             found.append(links.redirect_signals(resolved))
             if records.pages is not None:
                 found.append(links.captcha_signals(resolved, records.pages))

@@ -125,6 +125,34 @@ def test_redirects_stop_at_loops_and_caps(spark):
     assert fired["m"]["metadata"]["depth"] == "8" and fired["m"]["score"] == 1.0
 
 
+def test_redirects_are_those_of_the_time(spark):
+    random.seed(12)
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    names = [f"u{i}" for i in range(12)]
+    hops = [(random.choice(names), random.choice(names), day(random.randint(0, 9))) for _ in range(60)]
+    hops += [(None, "u1", day(1)), ("u1", None, day(9)), ("u2", "u3", None)]
+    seen = [(f"m{i}", random.choice(["u0", "u1", "u2", "out"]), random.choice([None, day(-1), day(3), day(5), day(20)])) for i in range(60)] + [("none", None, day(3))]
+    table = spark.createDataFrame(hops, "src string, dst string, seen_at timestamp")
+    frame = spark.createDataFrame(seen, "message_id string, url string, received_at timestamp")
+    for cap in (8, 2):
+        got = {r["message_id"]: r for r in links.resolve_redirects_as_of(frame, table, max_hops=cap).collect()}
+        assert len(got) == len(seen)
+        for message, url, at in seen:
+            chain, here = [], url
+            while len(chain) < cap and here is not None:
+                known = [(t, d) for s, d, t in hops if s == here and d and t and (at is None or t <= at)]
+                newest = max((t for t, _ in known), default=None)
+                step = min((d for t, d in known if t == newest), default=None)
+                if step is None or step in [url, *chain]:
+                    break
+                chain.append(step)
+                here = step
+            assert got[message]["redirect_chain"] == chain, (message, cap)
+            assert got[message]["redirect_depth"] == len(chain) and got[message]["final_url"] == here
+    assert links.resolve_redirects_as_of(frame.limit(0), table).count() == 0
+    assert links.resolve_redirects_as_of(frame, table.limit(0)).where("redirect_depth > 0").count() == 0
+
+
 def test_captcha_and_qr(spark):
     pages = spark.createDataFrame([
         ("https://t/", '<div class="cf-turnstile"></div>'), ("https://h/", "<iframe src='https://js.hCaptcha.com/1/api.js'>"),
