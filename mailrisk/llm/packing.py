@@ -33,13 +33,30 @@ CAPACITY = 4096
 END_ID = 1
 #: Rows that a group of one length and salt holds on average at most.
 GROUP_ROWS = 10_000
-MAX_WORDS_KEPT = 300_000
+MAX_WORDS_KEPT = 400_000
 TEXT_AT_ONCE = 1 << 20
 
 
 # --- tokens --------------------------------------------------------------------------
 
 
+class Kept(dict):
+    """What was met before, up to a bound: when it is full, only what is met again goes on."""
+
+    def __init__(self) -> None:
+        self.older: dict[str | bytes, bytes] = {}
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that have to be made."""
+        if len(self) > MAX_WORDS_KEPT // 2:
+            self.older = dict(self)
+            self.clear()
+        absent = keys.difference(self)
+        again = absent & self.older.keys()
+        self.update((key, self.older[key]) for key in again)
+        return absent - again
+
+
 class WordIds:
     """Ids of words by a tokenizer that drops white space and marks word ends: a text's ids are those of its words in a row.
 
@@ -61,20 +78,15 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
+        self.words, self.letters, self.others = Kept(), Kept(), Kept()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for kept in (self.words, self.letters, self.others):
-            if len(kept) > MAX_WORDS_KEPT:
-                kept.clear()
         split = [t.split() for t in texts]
         known = self.words
-        parts = {w: self._parts(w.decode()) for w in {w for words in split for w in words if w not in known}}
-        self._learn_letters({core for core, _ in parts.values() if core and core not in self.letters})
-        self._learn_others({rest for _, rest in parts.values() if rest and rest not in self.others})
+        parts = {w: self._parts(w.decode()) for w in known.missing(set().union(*split))}
+        self._learn_letters(self.letters.missing({core for core, _ in parts.values() if core}))
+        self._learn_others(self.others.missing({rest for _, rest in parts.values() if rest}))
         for word, (core, rest) in parts.items():
             known[word] = (self.letters[core] if core else b"") + (self.others[rest] if rest else b"")
         return [b"".join(map(known.__getitem__, words)) for words in split]
@@ -87,14 +99,15 @@ class WordIds:
         return core.lower() if core.isascii() else core, word[len(core) :]
 
     def _learn_letters(self, new: set[str]) -> None:
-        todo = sorted(new)
+        todo = list(new)
         for at in range(0, len(todo), 1024):
             some = todo[at : at + 1024]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             # Every word ends at least once, so as many ends as words means one each.
             if len(ends) == len(some) and ends[-1] == len(ids):
-                self.letters.update(zip(some, (p.tobytes() for p in np.split(ids, ends[:-1])), strict=True))
+                data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.letters.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
             else:
                 self.letters.update({w: self._alone(w) for w in some})
 
