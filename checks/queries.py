@@ -810,16 +810,26 @@ def fusion_checks(spark, sf_dir):
 # --- layer 4 -------------------------------------------------------------------
 
 
-@query("url_ioc_signals", with_views("page_links", "feeds") + """
+URL_IOC = with_views("page_links", "feeds") + """
 SELECT message_id, min({'u': url, 'f': feeds}).u || ' is listed by ' || min({'u': url, 'f': feeds}).f AS evidence,
        CAST(count(DISTINCT url) AS VARCHAR) AS matches
 FROM page_links JOIN (SELECT url, array_to_string(list_sort(list(DISTINCT feed)), ', ') AS feeds FROM feeds GROUP BY url) USING (url)
-GROUP BY message_id""")
+GROUP BY message_id"""
+
+
+@query("url_ioc_signals", URL_IOC)
 def url_ioc_signals(spark, sf_dir):
     found = intel.url_ioc_signals(V.page_links(spark, sf_dir), V.feeds(spark, sf_dir))
     return found.select("message_id", "evidence", F.col("metadata")["matches"].alias("matches"))
 
 
+@query("url_ioc_sieved", URL_IOC)
+def url_ioc_sieved(spark, sf_dir):
+    """The same beyond the size of a broadcast: observations pass a Bloom filter of the feeds first."""
+    found = intel.url_ioc_signals(V.page_links(spark, sf_dir), V.feeds(spark, sf_dir), small_rows=0)
+    return found.select("message_id", "evidence", F.col("metadata")["matches"].alias("matches"))
+
+
 @query("domain_ioc_signals", with_views("page_links", "feeds", "host_domains") + """
 , placed AS (SELECT p.url, d.domain FROM pages p JOIN host_domains d ON d.host = lower(regexp_extract(p.url, '^https?://([^/?#:]+)', 1)) WHERE d.domain IS NOT NULL),
 listed AS (SELECT domain, array_to_string(list_sort(list(DISTINCT feed)), ', ') AS feeds FROM feeds JOIN placed USING (url) GROUP BY domain)

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk.functions import exprs
+from mailrisk.operators import bloom
 from mailrisk.operators.domains import registrable_domain
 from mailrisk.operators.signals import emit
 from mailrisk.operators.networks import matches as hosting_matches
-from mailrisk.operators.skew import lookup_join
+from mailrisk.operators.skew import SMALL_ROWS, lookup_join
+from mailrisk.session import cut_lineage, is_small
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -41,10 +43,24 @@ def _listed(hits: DataFrame, indicator: str, name: str, key: str) -> DataFrame:
     )
 
 
-def url_ioc_signals(observations: DataFrame, feeds: DataFrame, key: str = "message_id") -> DataFrame:
+def _hits(seen: DataFrame, listed: DataFrame, indicator: str, small_rows: int) -> DataFrame:
+    """Rows of `seen` whose indicator is listed, with its feeds.
+
+    Beyond the size of a broadcast, a Bloom filter of the list drops nearly all rows without a hit where
+    they are, and only the others meet the list in a shuffle.
+    """
+    if not is_small(listed, small_rows):
+        listed = cut_lineage(listed)
+        seen = bloom.sieve(seen, listed, indicator)
+    return lookup_join(seen, listed, indicator, small_rows).where("feeds IS NOT NULL")
+
+
+def url_ioc_signals(
+    observations: DataFrame, feeds: DataFrame, key: str = "message_id", small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """url_ioc: an observed URL is in a feed."""
-    hits = lookup_join(observations.select(key, "url"), _by_indicator(feeds, "url"), "url")
-    return _listed(hits.where("feeds IS NOT NULL"), "url", "url_ioc", key)
+    hits = _hits(observations.select(key, "url"), _by_indicator(feeds, "url"), "url", small_rows)
+    return _listed(hits, "url", "url_ioc", key)
 
 
 def with_domain(df: DataFrame, suffixes: DataFrame, url_col: str = "url") -> DataFrame:
@@ -54,13 +70,12 @@ def with_domain(df: DataFrame, suffixes: DataFrame, url_col: str = "url") -> Dat
 
 
 def domain_ioc_signals(
-    observations: DataFrame, feeds: DataFrame, suffixes: DataFrame, key: str = "message_id"
+    observations: DataFrame, feeds: DataFrame, suffixes: DataFrame, key: str = "message_id", small_rows: int = SMALL_ROWS
 ) -> DataFrame:
     """domain_ioc: the registrable domain of an observed URL is that of a feed entry."""
     seen = with_domain(observations, suffixes).select(key, "domain").distinct()
     listed = _by_indicator(with_domain(feeds, suffixes), "domain")
-    hits = lookup_join(seen, listed, "domain")
-    return _listed(hits.where("feeds IS NOT NULL"), "domain", "domain_ioc", key)
+    return _listed(_hits(seen, listed, "domain", small_rows), "domain", "domain_ioc", key)
 
 
 def hosting_signals(
