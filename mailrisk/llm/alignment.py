@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 from itertools import accumulate, count
 from typing import NamedTuple
@@ -31,12 +31,12 @@ from mailrisk.session import cut_lineage
 #: Characters for which encoding unit by unit is certain to equal encoding the whole text.
 PLAIN = re.compile(r"[\n\x20-\x7E¡-¬®-ſ]*")
 #: A unit begins with a space after something else than white space, where both sides always end a token.
-UNIT = re.compile(r" (?:[^ ]|(?<=[ \n]) )*(?: [ \n]*\Z)?")
+UNIT = re.compile(r" [ \n]*[^ \n]*(?:\n[ \n]*[^ \n]*)*(?: [ \n]*\Z)?")
 #: Fixed value: how the byte-level tokenizer splits text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE = "▁"
-MAX_UNITS, MAX_UNIT = 90_000, 64
+MAX_UNITS, MAX_UNIT = 120_000, 64
 #: Bytes of texts in a batch, and of those that are held as tokens at once.
 TEXTS_BYTES, TEXT_AT_ONCE = 4 << 20, 1 << 20
 #: Distinct pairs that a task sums before it hands them on, and that one broadcast block holds.
@@ -142,6 +142,15 @@ class Aligned(NamedTuple):
 
 
 NOTHING = Aligned(0, 0, 0, "", b"")
+#: The same of a unit, without what follows from the rest: tokens of A, groups and links.
+Unit = tuple[int, str, bytes]
+NO_UNIT: Unit = (0, "", b"")
+
+
+def aligned(n_a: int, groups: str, links: bytes) -> Aligned:
+    """A group of a and b tokens has one `|` and a + b - 1 links."""
+    n_groups = groups.count("|")
+    return Aligned(n_a, len(links) // 8 + n_groups - n_a, n_groups, groups, links)
 
 
 class Aligner:
@@ -151,14 +160,14 @@ class Aligner:
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.sizes_a, self.sizes_b = [len(t) for t in self.a.tokens], [len(t) for t in self.b.tokens]
         self.names_a, self.names_b = [f"{i}|" for i in range(len(self.sizes_a))], [str(i) for i in range(len(self.sizes_b))]
-        self.units: dict[str, Aligned] = {}
-        self.older: dict[str, Aligned] = {}
+        self.units: dict[str, Unit] = {}
+        self.older: dict[str, Unit] = {}
 
-    def align_ids(self, text: str, ids_a: list[int], ids_b: list[int]) -> Aligned:
+    def align_ids(self, text: str, ids_a: list[int], ids_b: list[int]) -> Unit:
         """Aligns the ids of both sides; nothing where the bytes of either differ from the text."""
         data = text.encode()
         if b"".join(map(self.b.tokens.__getitem__, ids_b)) != data or b"".join(map(self.a.tokens.__getitem__, ids_a)) != data:
-            return NOTHING
+            return NO_UNIT
         ends_a, ends_b = list(accumulate(map(self.sizes_a.__getitem__, ids_a))), list(accumulate(map(self.sizes_b.__getitem__, ids_b)))
         printed, links, n, a, b = [], [], len(self.sizes_b), 0, 0
         name_a, name_b = self.names_a, self.names_b
@@ -176,9 +185,9 @@ class Aligner:
                 printed.append(f"{','.join(map(str, ids_a[a : to_a - 1]))},{name_a[ids_a[to_a - 1]]}{','.join(map(str, ids_b[b:to_b]))}")
                 links += [ids_a[i] * n + ids_b[j] for i, j in overlaps(ends_a, ends_b, a, b, to_a, to_b)]
             a, b = to_a, to_b
-        return Aligned(len(ids_a), len(ids_b), len(printed), ";".join(printed), array("q", links).tobytes())
+        return len(ids_a), ";".join(printed), array("q", links).tobytes()
 
-    def _whole(self, texts: list[str], plain: bool) -> Iterator[Aligned]:
+    def _whole(self, texts: list[str], plain: bool) -> Iterator[Unit]:
         """Aligns texts that begin with a space."""
         sides = zip(texts, self.a.encode(texts, plain), self.b.encode([t[1:] for t in texts]), strict=True)
         return (self.align_ids(*side) for side in sides)
@@ -200,16 +209,14 @@ class Aligner:
             if len(unit) > MAX_UNIT:
                 long.append(unit)
         others = self._whole([t for t, units in zip(spaced, split, strict=True) if units is None], False)
-        done = iter([next(others) if units is None else self._joined([known[u] for u in units]) for units in split])
+        done = iter([aligned(*(next(others) if units is None else self._joined(map(known.__getitem__, units)))) for units in split])
         for unit in long:
             del known[unit]
         return [next(done) if t else NOTHING for t in texts]
 
-    def _joined(self, units: list[Aligned]) -> Aligned:
-        n_a, n_b, n_groups, groups, links = zip(*units, strict=True)
-        if not all(n_a):
-            return NOTHING
-        return Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
+    def _joined(self, units: Iterable[Unit]) -> Unit:
+        n_a, groups, links = zip(*units, strict=True)
+        return (sum(n_a), ";".join(groups), b"".join(links)) if all(n_a) else NO_UNIT
 
 
 @lru_cache(maxsize=2)
