@@ -11,6 +11,7 @@ from mailrisk.functions import exprs
 from mailrisk.operators import bloom
 from mailrisk.operators.domains import registrable_domain
 from mailrisk.operators.signals import emit
+from mailrisk.operators.networks import listed as listed_addresses
 from mailrisk.operators.networks import matches as hosting_matches
 from mailrisk.operators.skew import SMALL_ROWS, lookup_join
 from mailrisk.session import cut_lineage, is_small
@@ -81,21 +82,22 @@ def domain_ioc_signals(
 def hosting_signals(
     observations: DataFrame, dns: DataFrame, networks: DataFrame, key: str = "message_id"
 ) -> DataFrame:
-    """hosting_flag: a URL's host resolves into a listed network, by recorded dns(host, ip)."""
+    """hosting_flag: a URL's host resolves into a listed network, by recorded dns(host, ip).
+
+    Owners are looked up for the one address that each listed host is named with; until then it
+    only counts whether an address is listed.
+    """
     dns = dns.select("host", "ip").distinct()
-    matches = hosting_matches(dns, networks)
-    flagged = (
-        lookup_join(dns, matches, "ip")
-        .where("owners IS NOT NULL")
-        .groupBy(F.lower("host").alias("host"))
-        .agg(F.min(F.struct("ip", "owners")).alias("first"))
-        .select("host", "first.*")
+    listed = listed_addresses(dns, networks).withColumn("listed", F.lit(True))
+    flagged = cut_lineage(
+        lookup_join(dns, listed, "ip").where("listed").groupBy(F.lower("host").alias("host")).agg(F.min("ip").alias("ip"))
     )
     seen = observations.select(key, exprs.url_host(F.col("url")).alias("host")).distinct()
-    hits = lookup_join(seen, flagged, "host").where("owners IS NOT NULL")
-    per_message = hits.groupBy(key).agg(
-        F.min(F.struct("host", "ip", "owners")).alias("first"), F.count("*").alias("hosts")
+    hits = lookup_join(seen, flagged, "host").where("ip IS NOT NULL")
+    first = hits.groupBy(key).agg(
+        F.min(F.struct("host", "ip")).alias("first"), F.count("*").alias("hosts")
     ).select(key, "first.*", "hosts")
+    per_message = lookup_join(first, cut_lineage(hosting_matches(flagged, networks)), "ip")
     return emit(
         per_message,
         "hosting_flag",

@@ -231,3 +231,19 @@ def test_indicators(spark, suffixes):
     url = by_message(intel.url_ioc_signals(seen, feeds))
     assert set(url) == {"a"} and url["a"]["evidence"] == "https://bad.example.com/x is listed by one, two"
     assert set(by_message(intel.domain_ioc_signals(seen, feeds, suffixes))) == {"a", "b"}
+
+
+def test_hosting_names_owners_of_the_first_address_only(spark, monkeypatch):
+    """Owners are asked for one address of each listed host, not for every address."""
+    asked = []
+    named = intel.hosting_matches
+    monkeypatch.setattr(intel, "hosting_matches", lambda dns, networks: (asked.append(dns.count()), named(dns, networks))[1])
+    dns = spark.createDataFrame([("H.example", f"10.0.0.{i}") for i in range(50)] + [("g.example", "10.0.0.7"), ("far.example", "11.0.0.1"), ("g.example", None)], "host string, ip string")
+    networks = spark.createDataFrame([(10 << 24, (10 << 24) + 255, "B"), ((10 << 24) + 3, (10 << 24) + 90, "A")], "lo long, hi long, owner string")
+    seen = spark.createDataFrame([("m1", "https://h.example/x"), ("m1", "https://g.example/"), ("m2", "https://far.example/"), ("m3", "https://h.example/y")], "message_id string, url string")
+    got = {r["message_id"]: (r["metadata"]["host"], r["metadata"]["ip"], r["metadata"]["hosts"], r["evidence"]) for r in intel.hosting_signals(seen, dns, networks).collect()}
+    assert got == {
+        "m1": ("g.example", "10.0.0.7", "2", "g.example resolves to 10.0.0.7 of A, B"),
+        "m3": ("h.example", "10.0.0.0", "1", "h.example resolves to 10.0.0.0 of B"),
+    }
+    assert asked == [2]
