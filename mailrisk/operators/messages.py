@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from mailrisk.functions.html import html_scan
 from mailrisk.functions.mime import mail_record
+from mailrisk.session import bound_batches
 
 EMPTY_TYPE = "application/octet-stream"
 
 
 def decode_messages(raw: DataFrame, limit_s: float | None = None) -> DataFrame:
     """raw_messages(source_id, content) with the decoded record in `mail`; a message may take limit_s seconds."""
+    bound_batches(raw.sparkSession)
     return raw.withColumn("mail", mail_record("content", limit_s))
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from mailrisk.functions import exprs
 from mailrisk.functions.html import html_scan
 from mailrisk.operators.signals import emit
+from mailrisk.session import bound_batches
 
 
 def html_links(df: DataFrame, html_col: str) -> DataFrame:
     """One row per a[href], img[src] and form[action], in document order."""
+    bound_batches(df.sparkSession)
     others = [c for c in df.columns if c != html_col]
     return df.withColumn("scan", html_scan(html_col)).select(*others, F.inline("scan.links"))
 
