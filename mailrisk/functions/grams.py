@@ -20,6 +20,8 @@ CHAR_SIZES = (3, 4, 5)
 CHARS_AT_ONCE, WORDS_AT_ONCE = 1 << 16, 1 << 14
 #: Hashes of a text beyond which they are added up by column.
 HASHES_HELD = 1 << 19
+#: Bytes of texts whose vectors are made at once.
+TEXT_AT_ONCE = 1 << 18
 WORD = regex.compile(TOKEN)
 # The constants of 32-bit MurmurHash3, and the seed of the feature hash.
 C1, C2, C3, C4, C5 = (np.uint32(c) for c in (0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35))
@@ -124,6 +126,19 @@ def _added(total: np.ndarray | None, held: list[np.ndarray], features: int) -> n
     return more if total is None else total + more
 
 
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows with TEXT_AT_ONCE bytes of texts, or one row."""
+    sizes = batch.column(column).cast(pa.large_binary())
+    ends = np.cumsum([x.as_buffer().size if x.is_valid else 0 for x in sizes])
+    start = before = 0
+    for at, end in enumerate(ends.tolist()):
+        if at > start and end - before > TEXT_AT_ONCE:
+            yield batch.slice(start, at - start)
+            start, before = at, int(ends[at - 1])
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def sparse_vectors(texts: pa.Array, features: int) -> pa.StructArray:
     """The stored form of sparse vectors: counts of each lower-case text, none for null."""
     found = [counts(t.as_py() or "", features) for t in texts]

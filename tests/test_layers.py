@@ -247,3 +247,49 @@ def test_hosting_names_owners_of_the_first_address_only(spark, monkeypatch):
         "m3": ("h.example", "10.0.0.0", "1", "h.example resolves to 10.0.0.0 of B"),
     }
     assert asked == [2]
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_frequent_words_of_a_large_model_are_not_shuffled(spark, monkeypatch, order):
+    """Only occurrences of words beyond the frequent ones are joined by word; scores stay the same."""
+    rows = [(f"m{i}", f"the report of the week is here. the word{i} of the day! the end") for i in range(30)] + [("m30", None), ("m31", "")]
+    messages = spark.createDataFrame(rows, "message_id string, body_text string")
+    lm = body.fit_ngram_lm(messages, "body_text", order=order)
+    scored = lambda n: sorted((r[0], r[1], r[2], round(r[3], 9)) for r in body.sentence_scores(messages, lm, broadcast_words=n, order=order).collect())
+    want = scored(1000)
+    joined, plain = [], body.lookup_join
+    monkeypatch.setattr(body, "lookup_join", lambda left, *rest: (joined.append(left.count()), plain(left, *rest))[1])
+    assert len(want) == 90 and scored(20) == want
+    assert joined[0] <= 60, "all of 420 words are joined otherwise"
+    assert scored(0) == want
+
+
+def test_vectors_are_made_a_few_texts_at_a_time(spark):
+    import pyarrow as pa
+
+    from mailrisk.functions import grams
+
+    texts = ["x" * 50000] * 20 + [None, "", "y" * 10**6, "z"]
+    made = list(grams.parts(pa.record_batch({"n": list(range(24)), "t": texts}), 1))
+    assert [v for part in made for v in part["n"].to_pylist()] == list(range(24)) and len(made) > 4
+    assert all(part.num_rows == 1 or sum(len(t or "") for t in part["t"].to_pylist()) <= grams.TEXT_AT_ONCE for part in made)
+    assert list(grams.parts(pa.record_batch({"t": pa.array([], pa.string())}), 0)) == []
+
+
+def test_entries_of_vectors(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a"), (3, None), (4, "something else")], "doc_id long, text string")
+    found = body.urgency_features(docs, features=1 << 10)
+    want = {r["doc_id"]: sum(v > 0 for v in r["features"].toArray()) for r in found.collect()}
+    assert {r["doc_id"]: r["entries"] for r in body.count_entries(found, "doc_id").collect()} == want and want[4] > want[3] == 0
+
+
+def test_records_are_made_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from mailrisk.functions.deadline import ROWS_AT_ONCE, records
+
+    values = pa.array([str(i) if i % 7 else None for i in range(5 * ROWS_AT_ONCE + 3)])
+    kind = pa.struct([("x", pa.string())])
+    make = lambda v: None if v.as_py() is None else {"x": v.as_py()}
+    assert records(values, make, kind).to_pylist() == [make(v) for v in values]
+    assert len(records(values[:0], make, kind)) == 0
