@@ -14,8 +14,9 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -38,6 +39,14 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LONG, SHORTEST = 20, min(ASSIGN_SHORTEST, ACCESS_SHORTEST, HEX_SHORTEST)
 #: Short tokens whose kind a scanner remembers.
 TOKENS_KEPT = 1 << 17
+#: Different examples that a kind needs for an automaton.
+FEWEST = 10
+#: An arc that fewer than one in STATES examples take gets no state of its own; beginnings of up to DEPTH characters are counted in one round.
+STATES, DEPTH = 2000, 64
+#: Counts that a task holds at once, rates that are gathered to be ordered, and ranges that more are counted in.
+COUNTS_HELD, GATHERED, PARTS = 1 << 16, 10_000, 4096
+#: Characters of different tokens that a task holds between batches.
+CHARS_HELD = 1 << 23
 #: What the learnt kinds are called in a span, after the kind whose examples they come from.
 LEARNT = {kind: f"like_{kind}" for kind in KINDS}
 ORDER = {kind: i for i, kind in enumerate((*KINDS, *LEARNT.values()))}
@@ -119,25 +128,30 @@ class Automaton:
 
 
 class _Tree:
-    """A frequency prefix tree, and the merging of its states."""
+    """A frequency prefix tree, and the merging of its states. What follows an open state is not known."""
 
-    def __init__(self, examples: Iterable[str]) -> None:
+    def __init__(self, examples: Iterable[str] = ()) -> None:
         self.arcs: list[dict[str, int]] = [{}]
         self.flow: list[dict[str, int]] = [{}]
         self.ends = [0]
+        self.open: set[int] = set()
         for example in examples:
             at = 0
             for symbol in example:
                 self.flow[at][symbol] = self.flow[at].get(symbol, 0) + 1
                 following = self.arcs[at].get(symbol)
                 if following is None:
-                    following = self.arcs[at][symbol] = len(self.arcs)
-                    self.arcs.append({})
-                    self.flow.append({})
-                    self.ends.append(0)
+                    following = self.arcs[at][symbol] = self.added()
                 at = following
             self.ends[at] += 1
 
+    def added(self) -> int:
+        """A new state."""
+        self.arcs.append({})
+        self.flow.append({})
+        self.ends.append(0)
+        return len(self.arcs) - 1
+
     def total(self, state: int) -> int:
         return self.ends[state] + sum(self.flow[state].values())
 
@@ -166,6 +180,8 @@ class _Tree:
         todo = [(into, state)]
         while todo:
             a, b = todo.pop()
+            if b not in self.open:
+                self.open.discard(a)
             self.ends[a] += self.ends[b]
             for symbol, n in self.flow[b].items():
                 self.flow[a][symbol] = self.flow[a].get(symbol, 0) + n
@@ -175,16 +191,18 @@ class _Tree:
                     self.arcs[a][symbol] = self.arcs[b][symbol]
 
 
-def infer(examples: list[str], alpha: float = 0.05) -> Automaton:
-    """Merges states of the prefix tree, from the start outwards, into the states already kept."""
-    tree = _Tree(examples)
-    kept, fringe = [0], [(0, symbol) for symbol in sorted(tree.arcs[0])]
+def _grow(tree: _Tree, kept: list[int], alpha: float, least: int = 1) -> None:
+    """Merges states of the tree, from the kept ones outwards, into those, or keeps them too.
+
+    Arcs to open states and those that fewer than `least` examples take stay as they are.
+    """
+    fringe = [(k, s) for k in kept for s in sorted(tree.arcs[k]) if tree.arcs[k][s] not in kept]
     while fringe:
         # The busiest state next: what it is merged with is known best.
         fringe.sort(key=lambda x: (tree.flow[x[0]].get(x[1], 0), x[1]))
         parent, symbol = fringe.pop()
         state = tree.arcs[parent][symbol]
-        if state in kept:
+        if state in kept or state in tree.open or tree.flow[parent][symbol] < least:
             continue
         same = next((k for k in kept if tree.compatible(k, state, alpha)), None)
         if same is None:
@@ -195,15 +213,169 @@ def infer(examples: list[str], alpha: float = 0.05) -> Automaton:
             tree.fold(same, state)
             waiting = set(fringe)
             fringe += [(k, s) for k in kept for s in sorted(tree.arcs[k]) if tree.arcs[k][s] not in kept and (k, s) not in waiting]
-    number = {state: i for i, state in enumerate(kept)}
-    symbols = max(2, len({s for k in kept for s in tree.arcs[k]}))
-    arcs, ends = [], []
-    for state in kept:
+
+
+def _automaton(arcs: list[dict[str, int]], flow: list[dict[str, int]], ends: list[int], examples: int) -> Automaton:
+    """Probabilities from how many of the examples take each arc, and end in each state."""
+    symbols = max(2, len({s for taken in flow for s in taken}))
+    made, finals = [], []
+    for following, taken, end in zip(arcs, flow, ends, strict=True):
         # Half a count for each symbol that the kind uses, so that one more example would not be a surprise.
-        total = tree.total(state) + 0.5 * symbols
-        arcs.append({s: (number[tree.arcs[state][s]], (n + 0.5) / total) for s, n in tree.flow[state].items()})
-        ends.append(tree.ends[state] / total)
-    return Automaton(arcs, ends, 0.5 / (sum(map(len, examples)) / max(1, len(examples)) * 100 + symbols))
+        total = end + sum(taken.values()) + 0.5 * symbols
+        made.append({s: (following[s], (n + 0.5) / total) for s, n in taken.items()})
+        finals.append(end / total)
+    length = sum(sum(taken.values()) for taken in flow) / max(1, examples)
+    return Automaton(made, finals, 0.5 / (length * 100 + symbols))
+
+
+def infer(examples: list[str], alpha: float = 0.05) -> Automaton:
+    """Merges states of the prefix tree, from the start outwards, into the states already kept."""
+    tree, kept = _Tree(examples), [0]
+    _grow(tree, kept, alpha)
+    number = {state: i for i, state in enumerate(kept)}
+    arcs = [{s: number[t] for s, t in tree.arcs[k].items()} for k in kept]
+    return _automaton(arcs, [tree.flow[k] for k in kept], [tree.ends[k] for k in kept], len(examples))
+
+
+# --- the same over a table --------------------------------------------------------------
+
+Arcs = list[dict[str, int]]
+
+
+def _walks(values: DataFrame, machines: dict[str, Arcs], least: dict[str, int]) -> dict[str, _Tree]:
+    """Trees of all values(kind, value): the kept states first, counted, and below each arc that is still missing what follows it.
+
+    A value walks through the kept states of its kind until an arc is missing. How many take each arc or end
+    is counted, and behind a missing arc each beginning of the rest. Beginnings that fewer than `least`
+    values have in common, and those of over DEPTH characters, are open states. With one added up row per beginning, the driver
+    gets at most DEPTH times STATES of a kind.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for kind, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                arcs, state = machines[kind], 0
+                for at, symbol in enumerate(value):
+                    found[kind, state, "", "", symbol] += 1
+                    if symbol not in arcs[state]:
+                        for end in range(at + 1, min(at + 1 + DEPTH, len(value) + 1)):
+                            found[kind, state, symbol, value[at + 1 : end], value[end : end + 1]] += 1
+                        break
+                    state = arcs[state][symbol]
+                else:
+                    found[kind, state, "", "", ""] += 1
+                if len(found) > COUNTS_HELD:
+                    yield _count_rows(found)
+                    found.clear()
+        yield _count_rows(found)
+
+    taken = values.mapInArrow(run, "kind string, state int, missing string, begins string, next string, n long")
+    place = ["kind", "state", "missing", "begins"]
+    states = taken.groupBy(*place, "next").agg(F.sum("n").alias("n")).groupBy(*place).agg(
+        F.sum("n").alias("n"), F.collect_list(F.struct("next", "n")).alias("taken"))  # one entry per symbol
+    enough = reduce(lambda one, other: one | other, [(F.col("kind") == kind) & (F.col("n") >= n) for kind, n in least.items()])
+    trees = {}
+    for kind, arcs in machines.items():
+        tree = trees[kind] = _Tree()
+        for _ in arcs[1:]:
+            tree.added()
+        for state, following in enumerate(arcs):
+            tree.arcs[state] = dict(following)
+    at = {}
+    rows = states.where((F.col("missing") == "") | enough).collect()
+    # Shorter beginnings first, so that the state before is there.
+    for kind, state, missing, begins, _, following in sorted(rows, key=lambda r: (r.kind, r.missing != "", len(r.begins))):
+        tree = trees[kind]
+        here = at[kind, state, missing, begins] if missing else state
+        tree.open.discard(here)
+        for symbol, n in sorted(following):
+            if not symbol:
+                tree.ends[here] = n
+                continue
+            tree.flow[here][symbol] = n
+            if symbol not in tree.arcs[here]:
+                new = tree.arcs[here][symbol] = tree.added()
+                tree.open.add(new)
+                at[kind, state, missing or symbol, begins + symbol if missing else ""] = new
+    return trees
+
+
+def _count_rows(found: Counter) -> pa.RecordBatch:
+    names = ["kind", "state", "missing", "begins", "next", "n"]
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    columns = list(zip(*((*place, n) for place, n in found.items()), strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def infer_tables(values: DataFrame, counts: dict[str, int], alpha: float = 0.05) -> dict[str, Automaton]:
+    """`infer` for each kind of all values(kind, value), which are `counts` of each kind.
+
+    Every round all values walk through the states found so far, and the states behind are merged by what the counts of
+    all values tell, until no missing arc is taken by one in STATES of the values. Rarer ones lead back to the start, where
+    so few counts would be merged. At last all values walk again and give every probability. Up to STATES values of up to
+    DEPTH characters, one round sees everything, as `infer` does.
+    """
+    least = {kind: -(-n // STATES) for kind, n in counts.items()}
+    machines: dict[str, Arcs] = {kind: [{}] for kind in counts}
+    growing = set(counts)
+    while growing:
+        some = values.where(F.col("kind").isin(*sorted(growing)))
+        for kind, tree in _walks(some, {k: machines[k] for k in growing}, {k: least[k] for k in growing}).items():
+            kept = list(range(len(machines[kind])))
+            _grow(tree, kept, alpha, least[kind])
+            number = {state: i for i, state in enumerate(kept)}
+            grown = [{s: number[t] for s, t in tree.arcs[k].items() if t in number} for k in kept]
+            if grown == machines[kind]:
+                growing.discard(kind)
+            machines[kind] = grown
+    return _counted(values, machines, counts)
+
+
+def _counted(values: DataFrame, machines: dict[str, Arcs], counts: dict[str, int]) -> dict[str, Automaton]:
+    """The automata, with probabilities from all values. An arc that is missing leads to the start."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for kind, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                arcs, state = machines[kind], 0
+                for symbol in value:
+                    found[kind, state, "", "", symbol] += 1
+                    state = arcs[state].get(symbol, 0)
+                found[kind, state, "", "", ""] += 1
+        yield _count_rows(found)  # one row per state and symbol
+
+    if not machines:
+        return {}
+    taken = values.where(F.col("kind").isin(*machines)).mapInArrow(
+        run, "kind string, state int, missing string, begins string, next string, n long")
+    flow = {kind: [{} for _ in arcs] for kind, arcs in machines.items()}
+    ends = {kind: [0] * len(arcs) for kind, arcs in machines.items()}
+    for r in taken.groupBy("kind", "state", "next").agg(F.sum("n").alias("n")).orderBy("kind", "state", "next").collect():
+        if r.next:
+            flow[r.kind][r.state][r.next] = r.n
+        else:
+            ends[r.kind][r.state] = r.n
+    return {
+        kind: _automaton([{s: arcs[state].get(s, 0) for s in taken} for state, taken in enumerate(flow[kind])], flow[kind], ends[kind], counts[kind])
+        for kind, arcs in machines.items()
+    }
+
+
+def nth(rates: DataFrame, n: int) -> float:
+    """The n-th smallest, from 0, of all of rates(rate): ranges are counted and the right one is cut again until it is small."""
+    while True:
+        size = rates.agg(F.count("*").alias("rows"), F.min("rate").alias("low"), F.max("rate").alias("high")).first()
+        if size["low"] == size["high"]:
+            return size["low"]
+        if size["rows"] <= GATHERED:
+            return sorted(r.rate for r in rates.select("rate").collect())[n]
+        width = (size["high"] - size["low"]) / PARTS
+        part = F.least(F.floor((F.col("rate") - size["low"]) / width), F.lit(PARTS - 1))
+        for r in rates.groupBy(part.alias("part")).count().orderBy("part").collect():
+            if n < r["count"]:
+                break
+            n -= r["count"]
+        rates = rates.where(part == r["part"])
 
 
 @dataclass
@@ -220,16 +392,26 @@ class Background:
         return total + sum(math.log(pairs.get(token[i : i + 2], unseen)) for i in range(len(token) - 1))
 
 
-def background(tokens: list[str]) -> Background:
-    firsts, pairs, befores = Counter(), Counter(), Counter()
+def bigrams(tokens: Iterable[str]) -> Counter:
+    """How often each two characters follow each other, and each character begins."""
+    found: Counter = Counter()
     for token in tokens:
-        firsts[token[:1]] += 1
+        found[token[:1]] += 1
         for i in range(len(token) - 1):
-            pairs[token[i : i + 2]] += 1
-            befores[token[i]] += 1
+            found[token[i : i + 2]] += 1
+    return found
+
+
+def background(found: dict[str, int]) -> Background:
+    """From `bigrams` of all tokens."""
+    firsts = {c: n for c, n in found.items() if len(c) == 1}
+    pairs = {p: n for p, n in found.items() if len(p) == 2}
+    befores: Counter = Counter()
+    for pair, n in pairs.items():
+        befores[pair[0]] += n
     return Background(
         {p: (n + 0.5) / (befores[p[0]] + 33) for p, n in pairs.items()},
-        {c: (n + 0.5) / (len(tokens) + 33) for c, n in firsts.items()}, 1 / 66,
+        {c: (n + 0.5) / (sum(firsts.values()) + 33) for c, n in firsts.items()}, 1 / 66,
     )
 
 
@@ -256,6 +438,15 @@ class SecretModel:
         common = self.ordinary[len(token) >= LONG]
         return (self.automata[kind].log_likelihood(token, whole=False) - common.log_likelihood(token)) / len(token)
 
+    def rates(self, kind: str, token: str) -> Iterator[tuple[tuple[str, str], float]]:
+        """What thresholds are set by: rates of a labelled credential, or of a short ordinary token (kind '') under each kind."""
+        if kind in self.automata:
+            yield (kind, "long" if len(token) >= LONG else "short"), self.rate(kind, token)
+        elif not kind and len(token) < LONG:
+            for other in self.automata:
+                if self.shortest[other] <= len(token):
+                    yield (other, "usual"), self.rate(other, token)
+
     def learnt_kind(self, token: str) -> str | None:
         if len(token) >= LONG:
             return self._learnt_kind(token, True)
@@ -295,30 +486,19 @@ def fit(examples: list[tuple[str, str]], ordinary: list[str], floor: float = 0.5
     characters has a threshold of its own for such tokens, at least what all but one in a
     thousand of the short ordinary tokens stay below.
     """
-    common = {long: background([t for t in ordinary if (len(t) >= LONG) == long]) for long in (True, False)}
+    common = {long: background(bigrams(t for t in ordinary if (len(t) >= LONG) == long)) for long in (True, False)}
     automata, shortest = {}, {}
     for kind in KINDS:
         values = sorted({v for k, v in examples if k == kind})
-        if len(values) >= 10:
+        if len(values) >= FEWEST:
             automata[kind] = infer(values)
-            shortest[kind] = max(SHORTEST, min(LONG, min(map(len, values))))
-    thresholds: dict[tuple[str, bool], float] = {}
-    model = SecretModel(automata, common, thresholds, shortest)
-    for kind in automata:
-        values = [v for k, v in examples if k == kind]
-        for long in (True, False):
-            rates = sorted(model.rate(kind, v) for v in values if (len(v) >= LONG) == long)
-            if not rates and long:
-                # Longer tokens of the format are measured by the short ones.
-                rates = sorted(model.rate(kind, v) for v in values)
-            if not rates:
-                continue
-            thresholds[kind, long] = max(floor, 0.8 * rates[len(rates) // 20])
-            if not long:
-                usual = sorted(model.rate(kind, t) for t in ordinary if shortest[kind] <= len(t) < LONG)
-                if usual:
-                    above = math.nextafter(usual[-1 - len(usual) // 1000], math.inf)
-                    thresholds[kind, long] = max(thresholds[kind, long], above)
+            shortest[kind] = _shortest(min(map(len, values)))
+    model = SecretModel(automata, common, {}, shortest)
+    rates: dict[tuple[str, str], list[float]] = {}
+    for kind, value in [*examples, *(("", t) for t in ordinary)]:
+        for place, rate in model.rates(kind, value):
+            rates.setdefault(place, []).append(rate)
+    _set_thresholds(model, {place: len(found) for place, found in rates.items()}, lambda place, n: sorted(rates[place])[n], floor)
     return model
 
 
@@ -339,51 +519,103 @@ class Smallest:
         return sorted(self.held, key=lambda v: (self.held[v], v.encode()))[: self.bound]
 
 
-def fit_tables(documents: DataFrame, examples: int = 2000, ordinary: int = 4000, max_length: int = 256) -> SecretModel:
-    """Fits on the credentials that the fixed patterns label in all documents.
+def _shortest(length: int) -> int:
+    return max(SHORTEST, min(LONG, length))
 
-    Of the labelled credentials of each kind, of the other long tokens (cut at none, dropped beyond
-    `max_length` characters) and, if there are short credentials, of the other short tokens, those with the
-    smallest hash are used: `examples`, `ordinary` and `ordinary` of them at most.
-    """
-    bounds = {**dict.fromkeys(KINDS, examples), "": ordinary}
-
-    def sample(label: bool, shortest: int, longest: int | None = None) -> DataFrame:
-        """(kind, value) of labelled credentials, if asked for, and of the ordinary tokens of these lengths (kind '')."""
-        pattern = tokens_of(shortest, longest)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept = {kind: Smallest(bound) for kind, bound in bounds.items()}
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    base = base_spans(text or "")
-                    for span, value in base if label else ():
-                        if len(value) <= max_length:
-                            kept[span[2]].add(value)
-                    if not has_words_of(shortest, text or ""):
-                        continue
-                    for _, _, token, touches in candidates(text or "", pattern, covers([span for span, _ in base])):
-                        if not touches and len(token) <= max_length:
-                            kept[""].add(token)
-            rows = [(kind, value) for kind in kept for value in kept[kind].values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "value"])
 
-        # Each task hands on at most the bound of each kind; what is smallest of all is among that.
-        return cut_lineage(documents.select("text").mapInArrow(run, "kind string, value string"))
+def _set_thresholds(model: SecretModel, sizes: dict[tuple[str, str], int], rate_at: Callable[[tuple[str, str], int], float], floor: float) -> None:
+    """By how many rates there are of each place of `SecretModel.rates`, and what their n-th smallest is."""
+    for kind in model.automata:
+        # Without long examples, longer tokens of the format are measured by the short ones.
+        for long, name in ((True, "long" if (kind, "long") in sizes else "short"), (False, "short")):
+            if (kind, name) not in sizes:
+                continue
+            threshold = max(floor, 0.8 * rate_at((kind, name), sizes[kind, name] // 20))
+            usual = sizes.get((kind, "usual"))
+            if not long and usual:
+                threshold = max(threshold, math.nextafter(rate_at((kind, "usual"), usual - 1 - usual // 1000), math.inf))
+            model.thresholds[kind, long] = threshold
+
+
+def _labelled_tokens(documents: DataFrame, label: bool, shortest: int, longest: int | None = None) -> DataFrame:
+    """(kind, value): the different labelled credentials, if asked for, and ordinary tokens of these lengths (kind '')."""
+    pattern = tokens_of(shortest, longest)
+
+    def rows(held: set[tuple[str, str]]) -> pa.RecordBatch:
+        columns = list(zip(*held, strict=True)) or [()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["kind", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[tuple[str, str]] = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                base = base_spans(text or "")
+                if label:
+                    held.update((span[2], value) for span, value in base)
+                if has_words_of(shortest, text or ""):
+                    found = candidates(text or "", pattern, covers([span for span, _ in base]))
+                    held.update(("", token) for _, _, token, touches in found if not touches)
+            if len(held) > TOKENS_KEPT or sum(len(value) for _, value in held) > CHARS_HELD:
+                yield rows(held)
+                held.clear()
+        yield rows(held)
+
+    return cut_lineage(documents.select("text").mapInArrow(run, "kind string, value string").distinct())
+
+
+def _bigrams_of(tokens: DataFrame) -> dict[bool, Background]:
+    """Backgrounds of all long and all short tokens(value); the driver gets a row per two characters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            for long, held in found.items():
+                held.update(bigrams(v for v in values if (len(v) >= LONG) == long))
+        rows = [(long, pair, n) for long, held in found.items() for pair, n in held.items()]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        types = [pa.bool_(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["long", "pair", "n"])
+
+    added = tokens.select("value").mapInArrow(run, "long boolean, pair string, n long").groupBy("long", "pair").agg(F.sum("n").alias("n"))
+    rows = added.collect()
+    return {long: background({r.pair: r.n for r in rows if r.long == long}) for long in (True, False)}
+
+
+def _rates(tokens: DataFrame, model: SecretModel) -> DataFrame:
+    """(kind, name, rate): `SecretModel.rates` of all tokens(kind, value)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(*place, rate) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for place, rate in model.rates(*row)]
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            types = [pa.string(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "name", "rate"])
+
+    return tokens.mapInArrow(run, "kind string, name string, rate double")
 
-    def smallest(found: DataFrame, kind: str) -> list[str]:
-        values = found.where(F.col("kind") == kind).select("value").distinct()
-        return [r.value for r in values.orderBy(F.xxhash64("value"), "value").limit(bounds[kind]).collect()]
 
-    found = sample(True, LONG)
-    labelled = [(kind, value) for kind in KINDS for value in smallest(found, kind)]
-    plain = smallest(found, "")
-    short = min((len(value) for _, value in labelled), default=LONG)
+def fit_tables(documents: DataFrame, floor: float = 0.5) -> SecretModel:
+    """`fit` on all different credentials that the fixed patterns label in all documents, and on all different other tokens.
+
+    Other tokens are the long ones and, if there are short credentials, those as long as the shortest. Only counts reach the driver:
+    of automaton arcs (`infer_tables`), of two characters, of ranges of rates (`nth`).
+    """
+    tokens = _labelled_tokens(documents, True, LONG)
+    sizes = {r.kind: r for r in tokens.where("kind <> ''").groupBy("kind").agg(
+        F.count("*").alias("n"), F.min(F.length("value")).alias("least")).collect()}
+    short = min((r.least for r in sizes.values()), default=LONG)
     if short < LONG:
         # Ordinary tokens of these lengths are many, and looked for only where credentials have them.
-        plain += smallest(sample(False, short, LONG - 1), "")
-    return fit(labelled, plain)
+        tokens = tokens.unionAll(_labelled_tokens(documents, False, short, LONG - 1))
+    taught = {kind: sizes[kind] for kind in KINDS if kind in sizes and sizes[kind].n >= FEWEST}
+    automata = infer_tables(tokens.where("kind <> ''"), {kind: r.n for kind, r in taught.items()})
+    model = SecretModel(automata, _bigrams_of(tokens.where("kind = ''")), {}, {kind: _shortest(r.least) for kind, r in taught.items()})
+    if not automata:
+        return model
+    rates = cut_lineage(_rates(tokens, model))
+    found = {(r.kind, r.name): r["count"] for r in rates.groupBy("kind", "name").count().collect()}
+    _set_thresholds(
+        model, found, lambda place, n: nth(rates.where((F.col("kind") == place[0]) & (F.col("name") == place[1])), n), floor)
+    return model
 
 
 def joined(spans: list[Span]) -> str:

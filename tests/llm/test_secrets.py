@@ -110,6 +110,47 @@ def test_the_smallest_of_all_are_among_those_of_the_parts(spark):
     assert set(kept.values()) <= {v for h in halves for v in h.values()}
 
 
+def formatted(n):
+    return ["KX9-" + hexes(1, 12)[0] + "-" + "".join(RNG.choice("ABCDEFGHJKLM") for _ in range(RNG.randint(6, 9))) for _ in range(n)]
+
+
+def test_all_credentials_and_tokens_are_counted(spark, monkeypatch):
+    """Over a table the model is that of all 3000 credentials of a kind and all 9000 other tokens."""
+    values, others = formatted(3000), [f"wort{i:x}undnochmehrworte{i}" for i in range(5000)] + [f"kurz{i:x}" for i in range(4000)]
+    texts = [f"token = {v} " + " ".join(others[3 * i : 3 * i + 3]) for i, v in enumerate(values)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    short = min(map(len, values))
+    monkeypatch.setattr(secrets, "STATES", 4000)
+    monkeypatch.setattr(secrets, "GATHERED", 50)  # so that the n-th smallest is looked for in ranges
+    got, want = secrets.fit_tables(docs), secrets.fit([("assign", v) for v in values], [t for t in others if len(t) >= min(short, 20)])
+    assert got.automata == want.automata and got.ordinary == want.ordinary
+    assert got.thresholds == want.thresholds and got.shortest == want.shortest
+
+
+def test_rounds_find_the_format_and_count_all(spark, monkeypatch):
+    """With few states at a time the format is found in rounds, and its probabilities are those of all values."""
+    monkeypatch.setattr(secrets, "STATES", 40)
+    monkeypatch.setattr(secrets, "DEPTH", 3)
+    values = sorted(set(formatted(3000)))
+    table = spark.createDataFrame([("assign", v) for v in values], "kind string, value string").repartition(4)
+    machine = secrets.infer_tables(table, {"assign": len(values)})["assign"]
+    assert [sorted(a) for a in machine.arcs[:1]] == [["K"]] and len(machine.arcs) < 60
+    first = machine.arcs[0]["K"][1]
+    assert abs(first - (len(values) + 0.5) / (len(values) + 0.5 * len(set("".join(values))))) < 1e-9
+    whole = secrets.infer(values)
+    for value in formatted(50):
+        assert machine.log_likelihood(value) > whole.log_likelihood(value) - 6
+        assert machine.log_likelihood(value) > machine.log_likelihood(value[::-1]) + 20
+
+
+def test_the_nth_smallest(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "GATHERED", 3)
+    monkeypatch.setattr(secrets, "PARTS", 4)
+    rates = [RNG.gauss(0, 1) for _ in range(300)] + [0.25] * 100
+    table = spark.createDataFrame([(r,) for r in rates], "rate double")
+    assert [secrets.nth(table, n) for n in (0, 7, 199, 250, 399)] == [sorted(rates)[n] for n in (0, 7, 199, 250, 399)]
+
+
 SYMBOLS = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 
 
