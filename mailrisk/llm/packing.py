@@ -19,7 +19,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations_with_replacement
+from itertools import chain, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Rows that a group of one length and salt holds on average at most.
 GROUP_ROWS = 10_000
-MAX_WORDS_KEPT = 400_000
-TEXT_AT_ONCE = 1 << 20
+MAX_WORDS_KEPT = 800_000
+TEXT_AT_ONCE = 1 << 21
 
 
 # --- tokens --------------------------------------------------------------------------
@@ -43,12 +43,12 @@ TEXT_AT_ONCE = 1 << 20
 class Kept(dict):
     """What was met before, up to a bound: when it is full, only what is met again goes on."""
 
-    def __init__(self) -> None:
-        self.older: dict[str | bytes, bytes] = {}
+    def __init__(self, bound: int | None = None) -> None:
+        self.bound, self.older = bound, {}
 
     def missing(self, keys: set) -> set:
         """Those of the keys that have to be made."""
-        if len(self) > MAX_WORDS_KEPT // 2:
+        if len(self) > (self.bound or MAX_WORDS_KEPT) // 2:
             self.older = dict(self)
             self.clear()
         absent = keys.difference(self)
@@ -69,7 +69,7 @@ class WordIds:
     #: Punctuation that is never part of what the tokenizer splits off together with letters, nor of a special token.
     PUNCTUATION = ".,!?;:%$#&*)]}\""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words_kept: int | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -78,26 +78,24 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
-        self.words, self.letters, self.others = Kept(), Kept(), Kept()
+        self.words, self.letters, self.others = (Kept(words_kept) for _ in range(3))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.split() for t in texts]
-        known = self.words
-        parts = {w: self._parts(w.decode()) for w in known.missing(set().union(*split))}
-        self._learn_letters(self.letters.missing({core for core, _ in parts.values() if core}))
-        self._learn_others(self.others.missing({rest for _, rest in parts.values() if rest}))
-        for word, (core, rest) in parts.items():
-            known[word] = (self.letters[core] if core else b"") + (self.others[rest] if rest else b"")
+        known, letters, others = self.words, self.letters, self.others
+        new = list(known.missing(set(chain.from_iterable(split))))
+        # Whole lists at a time: new words are many. A word is letters and the punctuation after them, or all of it is a rest.
+        words = [w.decode() for w in new]
+        cores = [w.rstrip(self.PUNCTUATION) for w in words]
+        rests = [w[len(core) :] if core.isalpha() else w for w, core in zip(words, cores, strict=True)]
+        cores = [(core.lower() if core.isascii() else core) if core.isalpha() else "" for core in cores]
+        self._learn_letters(letters.missing(set(cores) - {""}))
+        self._learn_others(others.missing(set(rests) - {""}))
+        letters[""] = others[""] = b""
+        known.update(zip(new, [letters[core] + others[rest] for core, rest in zip(cores, rests, strict=True)], strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        """Letters and the punctuation after them, or nothing and the word."""
-        core = word.rstrip(self.PUNCTUATION)
-        if not core.isalpha():
-            return "", word
-        return core.lower() if core.isascii() else core, word[len(core) :]
-
     def _learn_letters(self, new: set[str]) -> None:
         todo = list(new)
         for at in range(0, len(todo), 1024):
@@ -119,23 +117,26 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, words_kept: int | None = None) -> WordIds:
     """One per worker process."""
-    return WordIds(path)
+    return WordIds(path, words_kept)
 
 
-def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(
+    documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, words_kept: int | None = None,
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each whole text's ids and an end id, cut at the capacity.
 
     A null text counts as empty and is the end id alone. Repeated rows give repeated pieces. Other
-    columns are not read. The tokenizer's file must be at `path` on every executor.
+    columns are not read. The tokenizer's file must be at `path` on every executor. `words_kept` (MAX_WORDS_KEPT) bounds the words
+    whose ids a worker keeps: fewer take less memory and more time.
     """
     source = documents.select("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = word_ids(path)
+        made = word_ids(path, words_kept)
         for batch in batches:
             for part in byte_pieces(batch, "text", TEXT_AT_ONCE):
                 rows, owner, cut = [], [], []
