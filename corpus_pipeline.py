@@ -15,6 +15,7 @@ from mailrisk.session import cut_lineage
 
 #: Smaller than for single queries: workers keep what earlier stages left in them.
 BATCH_BYTES = 6 << 20
+WORDS_KEPT = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays."""
+    """The document with the smallest id of each group of near copies stays.
+
+    Pairs come from SimHashes that differ in three bits at most, then from minima; they count at Jaccard 0.8 or more of five-word shingles.
+    """
     bound_batches(spark, BATCH_BYTES)
     return near_copies.deduplicate(docs)
 
@@ -45,7 +49,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, placed in sequences."""
     bound_batches(spark, BATCH_BYTES)
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), words_kept=WORDS_KEPT))
 
 
 STAGES = [

@@ -1,9 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At 0.8 the 64-bit SimHashes of two texts differ in ten bits on average, too many for keys on
-them. Candidates come from minima of the shingle hashes instead: 24 keys of five minima each
+SimHashes that differ in three bits at most give the first candidates (`simhash`). At 0.8 the 64-bit
+SimHashes of two texts differ in ten bits on average, too many for keys on them. The other candidates come from minima of the shingle hashes instead: 24 keys of five minima each
 meet with probability 1 - (1 - 0.8^5)^24 > 0.9999 at 0.8, and oftener above. Every
-candidate pair is then checked on the exact sets. Links are contracted between four rounds, and
+candidate pair is then checked on the exact sets. Links are contracted between that and four more rounds, and
 only pairs that are not connected yet go to the next:
 
     neighbours in each bucket, by the next key: near sets are likely to have that in common too
@@ -106,23 +106,25 @@ def _signed(value: int) -> int:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, size, keys): node names the set of shingles, so texts of equal sets are one node."""
+    """(doc_id, text_hash, node, size, keys, fp): node names the set of shingles, so texts of equal sets are one node; fp is the SimHash."""
     source = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, fps = [], [], [], []
             for text in as_bytes(batch.column(2)):
                 found = shingles(text or b"")
+                fps.append(_signed(simhash.fingerprint(text or b"")))
                 nodes.append(_signed(xxhash.xxh64_intdigest(found.tobytes(), 7)))
                 sizes.append(len(found))
                 keys.append(band_keys(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "node", "size", "keys"])
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())],
+                names=["doc_id", "text_hash", "node", "size", "keys", "fp"])
 
     kind = dict(source.dtypes)["doc_id"]
-    return source.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, size long, keys array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, size long, keys array<long>, fp long")
 
 
 # --- links --------------------------------------------------------------------
@@ -260,8 +262,19 @@ def _crowded_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("key", "band", "one", "other").applyInArrow(_block_links, "a long, b long").distinct()
 
 
-def roots(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of each node that is not the smallest of its component.
+def simhash_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of marked(node, fp) whose SimHashes are equal or linked (`simhash.links`), a < b."""
+    pairs = cut_lineage(marked.select("fp", "node").distinct())
+    first = cut_lineage(pairs.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = pairs.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    one, other = (first.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(c)) for c in ("a", "b"))
+    found = simhash.links(first.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    both = equal.union(found.join(one, "fp_a").join(other, "fp_b").select("a", "b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def roots(sets: DataFrame, texts: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """(node, root) of each node that is not the smallest of its component. Pairs `first` (a, b) are compared before all others.
 
     sets(node, text_hash, size, keys) has the hash of one text of each node, which is looked up in
     texts(text_hash, text, part), where `part` deals copies of a text to COPIES parts.
@@ -270,11 +283,17 @@ def roots(sets: DataFrame, texts: DataFrame) -> DataFrame:
     keyed = keyed.select("node", "size", "band", "key", F.get("keys", F.pmod(F.col("band") + 1, F.size("keys"))).alias("next"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut_lineage(keyed.join(shared, "key"))
-    wanted = cut_lineage(sets.join(members.select("node").distinct(), "node").select("node", "text_hash"))
+    nodes = members.select("node")
+    if first is not None:
+        nodes = nodes.union(first.select("a")).union(first.select("b"))
+    wanted = cut_lineage(sets.join(nodes.distinct(), "node").select("node", "text_hash"))
     anywhere = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     found = texts.join(anywhere, ["text_hash", "part"]).dropDuplicates(["node", "part"]).dropDuplicates(["node"])
     near = cut_lineage(shingle_sets(found))
     known, tested, links = None, None, None
+    if first is not None:
+        tested, links = first, cut_lineage(verified(first, near))
+        known = components.stars(links)
     for turn in range(4):
         if known is None:
             placed = members.withColumn("root", F.col("node"))
@@ -310,6 +329,8 @@ def roots(sets: DataFrame, texts: DataFrame) -> DataFrame:
 def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, root): rows whose texts are linked by steps of similarity 0.8 or more have one root.
 
+    SimHashes of three-word shingles that differ in three bits at most give the first pairs (`simhash.links`); the others
+    are looked for where those have not connected the texts. All pairs are checked on the exact sets.
     Null and empty texts are one group. Texts of fewer than five words are near copies of equal ones
     only. Upper and lower case and the spaces between words make no difference. Repeated rows stay.
     """
@@ -317,7 +338,8 @@ def groups(documents: DataFrame) -> DataFrame:
     sets = cut_lineage(
         marked.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(COPIES)).cast("int")
-    known = roots(sets, documents.select(F.xxhash64("text").alias("text_hash"), part.alias("part"), "text").where("text is not null"))
+    found = documents.select(F.xxhash64("text").alias("text_hash"), part.alias("part"), "text").where("text is not null")
+    known = roots(sets, found, cut_lineage(simhash_pairs(marked)))
     return marked.join(known, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 

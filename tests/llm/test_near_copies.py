@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from mailrisk.llm import near_copies
+from mailrisk.llm import near_copies, simhash
 
 RNG = random.Random(5)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -72,6 +72,31 @@ def test_the_stage_on_the_folder(spark):
     assert {1, 6} <= got and not {145, 177} & got, "near copies of 6 and 1 whose SimHashes differ in 7 and 11 bits"
 
 
+def test_simhashes_give_the_first_pairs(spark, monkeypatch):
+    """All pairs of near SimHashes are in components of the pairs that are compared first, and what is similar of them is linked."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = {}
+    for i in range(60):
+        words = list(base) if i % 2 else [f"v{rng.randrange(10**6)}" for _ in range(400)]
+        words[rng.randrange(400)] = f"x{i}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in texts.items()}
+    near = [(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= 3]
+    assert len(near) > 10
+    seen, compared = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, sets: seen.append(pairs) or compared(pairs, sets))
+    assert sorted(r.doc_id for r in near_copies.deduplicate(docs).collect()) == plain_stay(texts)
+    node = {r.doc_id: r.node for r in near_copies.sketches(docs).collect()}
+    label = {n: n for n in node.values()}
+    pairs = [(r.a, r.b) for r in seen[0].collect()]
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert all(label[node[i]] == label[node[j]] for i, j in near)
+
+
 def test_a_large_family_makes_few_pairs():
     """Members of one component make no pairs in the third round."""
     import numpy as np
