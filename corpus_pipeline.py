@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailrisk.llm import near_copies, packing, secrets, substring, toxicity
 from mailrisk.llm.common import bound_batches, table
-from mailrisk.session import cut_lineage
+from mailrisk.session import cut_lineage, release_memory
 
 #: Smaller than for single queries: workers keep what earlier stages left in them.
 BATCH_BYTES = 6 << 20
@@ -70,4 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = cut_lineage(docs)
+            release_memory()
     return docs

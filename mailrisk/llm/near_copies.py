@@ -1,9 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 SimHashes that differ in three bits at most give the first candidates (`simhash`). At 0.8 the 64-bit
-SimHashes of two texts differ in ten bits on average, too many for keys on them. The other candidates come from minima of the shingle hashes instead: 24 keys of five minima each
-meet with probability 1 - (1 - 0.8^5)^24 > 0.9999 at 0.8, and oftener above. Every
-candidate pair is then checked on the exact sets. Links are contracted between that and four more rounds, and
+SimHashes of two texts differ in ten bits on average, too many for keys on them. The other candidates
+come from minima of the shingle hashes: 24 keys of five minima each meet with probability 1 - (1 - 0.8^5)^24 > 0.9999 at 0.8, and oftener above. Every
+candidate pair is then checked on the exact sets. Links are contracted between four rounds, and
 only pairs that are not connected yet go to the next:
 
     neighbours in each bucket, by the next key: near sets are likely to have that in common too
@@ -292,8 +292,8 @@ def roots(sets: DataFrame, texts: DataFrame, first: DataFrame | None = None) ->
     near = cut_lineage(shingle_sets(found))
     known, tested, links = None, None, None
     if first is not None:
+        # Contracted together with the links of the next round.
         tested, links = first, cut_lineage(verified(first, near))
-        known = components.stars(links)
     for turn in range(4):
         if known is None:
             placed = members.withColumn("root", F.col("node"))
@@ -330,7 +330,7 @@ def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, root): rows whose texts are linked by steps of similarity 0.8 or more have one root.
 
     SimHashes of three-word shingles that differ in three bits at most give the first pairs (`simhash.links`); the others
-    are looked for where those have not connected the texts. All pairs are checked on the exact sets.
+    come from minima. All pairs are checked on the exact sets.
     Null and empty texts are one group. Texts of fewer than five words are near copies of equal ones
     only. Upper and lower case and the spaces between words make no difference. Repeated rows stay.
     """

@@ -282,9 +282,13 @@ def _walks(values: DataFrame, machines: dict[str, Arcs], least: dict[str, int])
         for state, following in enumerate(arcs):
             tree.arcs[state] = dict(following)
     at = {}
-    rows = states.where((F.col("missing") == "") | enough).collect()
+    # As Arrow: the rows of a whole tree are many, and take ten times as much as objects.
+    rows = states.where((F.col("missing") == "") | enough).toArrow()
+    kinds, froms, missings, starts = (rows[c].to_pylist() for c in place)
     # Shorter beginnings first, so that the state before is there.
-    for kind, state, missing, begins, _, following in sorted(rows, key=lambda r: (r.kind, r.missing != "", len(r.begins))):
+    for i in sorted(range(len(kinds)), key=lambda i: (missings[i] != "", len(starts[i]))):
+        kind, state, missing, begins = kinds[i], froms[i], missings[i], starts[i]
+        following = [(x["next"], x["n"]) for x in rows["taken"][i].as_py()]
         tree = trees[kind]
         here = at[kind, state, missing, begins] if missing else state
         tree.open.discard(here)
