@@ -293,3 +293,21 @@ def test_records_are_made_a_few_rows_at_a_time():
     make = lambda v: None if v.as_py() is None else {"x": v.as_py()}
     assert records(values, make, kind).to_pylist() == [make(v) for v in values]
     assert len(records(values[:0], make, kind)) == 0
+
+
+def test_sentences_are_scored_where_their_text_is(spark):
+    """Sums of sentences are not shuffled unless a key repeats; messages of one key, or without a key, are one."""
+    rows = [("m1", "one two. three"), ("m2", "two! . one two"), ("m3", None)]
+    messages = spark.createDataFrame(rows, "message_id string, body_text string")
+    lm = body.fit_ngram_lm(messages, "body_text")
+    scored = body.sentence_scores(messages, lm)
+    assert "Exchange hashpartitioning" not in scored._jdf.queryExecution().executedPlan().toString()
+    nll = {r["token"]: r["nll"] for r in lm.collect()}
+    assert {(r[0], r[1]): (r[2], round(r[3], 9)) for r in scored.collect()} == {
+        ("m1", 0): (2, round((nll["one"] + nll["two"]) / 2, 9)), ("m1", 1): (1, round(nll["three"], 9)),
+        ("m2", 0): (1, round(nll["two"], 9)), ("m2", 2): (2, round((nll["one"] + nll["two"]) / 2, 9))}
+    twice = messages.unionByName(spark.createDataFrame([("m1", "new"), (None, "one"), (None, "two three")], messages.schema))
+    for words in (0, 2, 100):
+        got = {(r[0], r[1]): (r[2], round(r[3], 9)) for r in body.sentence_scores(twice, lm, broadcast_words=words).collect()}
+        assert len(got) == 5 and got["m1", 0] == (3, round((nll["one"] + nll["two"] + nll[None]) / 3, 9))
+        assert got[None, 0] == (3, round((nll["one"] + nll["two"] + nll["three"]) / 3, 9))
