@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailrisk.llm import near_copies, packing, secrets, substring, toxicity
 from mailrisk.llm.common import bound_batches, table
-from mailrisk.session import cut_lineage, release_memory
+from mailrisk.session import passing_tables
 
 #: Smaller than for single queries: workers keep what earlier stages left in them.
 BATCH_BYTES = 6 << 20
@@ -67,8 +67,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut_lineage(docs)
-            release_memory()
+        if name == STAGES[-1][0]:
+            return stage(spark, docs, sf_dir)
+        with passing_tables(spark) as lasting:
+            docs = lasting(stage(spark, docs, sf_dir))
     return docs

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.llm import components, simhash
 from mailrisk.llm.common import as_bytes, pieces
-from mailrisk.session import cut_lineage
+from mailrisk.session import cut_lineage, passing_tables, release_memory
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is exact.
@@ -320,6 +320,7 @@ def roots(sets: DataFrame, texts: DataFrame, first: DataFrame | None = None) ->
             tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         known = components.stars(links)
+        release_memory(sets.sparkSession)
     return known
 
 
@@ -345,4 +346,5 @@ def groups(documents: DataFrame) -> DataFrame:
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """One document of each group: which one, and what happens to odd rows, is as in `simhash.deduplicate`."""
-    return simhash.one_of_each(documents, groups(documents))
+    with passing_tables(documents.sparkSession) as lasting:
+        return simhash.one_of_each(documents, groups(documents), lasting)

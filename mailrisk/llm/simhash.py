@@ -20,7 +20,7 @@ Each has 30 bits or more. Fingerprints with a common key are verified, and links
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -280,15 +280,18 @@ def _broadcast_few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if size["rows"] <= FEW_KEYS and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES else keys
 
 
-def one_of_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each root, then the smallest text hash, of groups(doc_id, text_hash, root)."""
+def one_of_each(documents: DataFrame, groups: DataFrame, write: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """The document with the smallest doc_id of each root, then the smallest text hash, of groups(doc_id, text_hash, root).
+
+    `write` writes the only table that the result reads besides `documents`.
+    """
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
     stay = groups.groupBy("root").agg(smallest.alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
     rows = groups.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n"))
     found = rows["__id"].eqNullSafe(stay["_id"]) & (rows["__hash"] == stay["_hash"])
     place = rows.join(stay, found, "left").select("__id", "__hash", "n", F.col("_hash").isNotNull().alias("stays"))
     # Texts need no shuffle where few rows go: what goes is looked up, not what stays.
-    place = cut_lineage(place.where("not stays or n > 1"))
+    place = write(place.where("not stays or n > 1"))
     gone, repeated = (_broadcast_few(rows.select("__id", "__hash")) for rows in (place, place.where("stays")))
     source = documents.withColumn("__hash", F.xxhash64("text")).withColumnRenamed("doc_id", "__id")
 

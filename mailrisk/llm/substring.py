@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.llm.common import as_bytes
 from mailrisk.llm.fm_index import FmIndex
-from mailrisk.session import cut_lineage
+from mailrisk.session import cut_lineage, passing_tables
 
 WINDOW = 50
 GRAM = 8
@@ -256,7 +256,7 @@ def repeated_windows(
         .select("doc_id", "text_hash", runs.alias("runs"))
         .groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("spans"))
     )
-    return surveyed, suspects, cut_lineage(spans)
+    return surveyed, suspects, spans
 
 
 # --- operators ------------------------------------------------------------------
@@ -281,6 +281,7 @@ def report(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD, shard
     rows; other columns are not read.
     """
     surveyed, suspects, spans = repeated_windows(documents, window, crowd, shard_words)
+    spans = cut_lineage(spans)
     id_kind = dict(surveyed.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +305,8 @@ def deduplicate(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD,
     A text that loses words becomes its other words joined by single spaces, and its `n_chars` (if
     there) is counted anew; every other text is unchanged to the byte.
     """
-    _, _, spans = repeated_windows(documents, window, crowd, shard_words)
+    with passing_tables(documents.sparkSession) as lasting:
+        spans = lasting(repeated_windows(documents, window, crowd, shard_words)[2])
     names = documents.columns
     marked = documents.withColumn("__hash", F.xxhash64("text"))
     marks = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("spans").alias("__spans"))

@@ -1,5 +1,6 @@
 """The pipeline against a plain version of every stage, each on the stage before it."""
 
+import os
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from mailrisk import session
 from mailrisk.llm import secrets, toxicity
 from .test_near_copies import plain_stay
 
@@ -110,3 +112,29 @@ def test_run(spark, stages):
     got = corpus_pipeline.run(spark, FOLDER).collect()
     key = lambda r: (r.doc_id, r.piece, r.ids_crc32)
     assert sorted(map(key, got)) == sorted(map(key, stages[5]))
+
+
+def test_a_stage_leaves_only_what_its_result_reads(spark):
+    """Tables of a stage that its result does not read are gone when it returns, and those of all earlier blocks stay."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    folder = session.work_folder(spark).removeprefix("file://")
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeated_passages):
+        earlier = session.cut_lineage(spark.range(3))
+        before = set(os.listdir(folder))
+        result = stage(spark, docs, FOLDER)
+        left = [f for f in os.listdir(folder) if f not in before]
+        assert len(left) == 1 and os.path.exists(f"{folder}/{left[0]}/_SUCCESS")
+        assert 0 < result.count() <= 60 and earlier.count() == 3
+
+
+def test_passing_tables(spark):
+    folder = session.work_folder(spark).removeprefix("file://")
+    with pytest.raises(ZeroDivisionError), session.passing_tables(spark) as lasting:
+        with session.passing_tables(spark) as inner:
+            passing = session.cut_lineage(spark.range(5))
+            middle = inner(passing.where("id > 1"))
+        assert middle.count() == 3 and not os.path.exists(passing.inputFiles()[0].removeprefix("file://"))
+        last = lasting(middle.where("id > 2"))
+        before = set(os.listdir(folder))
+        1 / 0  # noqa: B018
+    assert last.count() == 2 and len(before - set(os.listdir(folder))) == 1
