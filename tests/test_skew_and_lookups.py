@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from mailrisk import session
 from mailrisk.operators import asof, lookups, skew
 
 
@@ -179,3 +180,14 @@ def test_stale_entries_do_not_match(spark):
     entries = spark.createDataFrame([("a", "old", h(5)), ("a", "now", h(3)), ("a", "half", h(1)), ("b", "gone", h(7))], "feed string, url string, fetched_at timestamp")
     found = lookups.current_entries(entries, lookups.feed_status(snapshots, noon))
     assert [r["url"] for r in found.collect()] == ["now"]
+
+
+def test_a_written_table_is_counted_where_it_is(spark, monkeypatch):
+    """No row is brought to one task, and the answer is that of a count that stops."""
+    rows = session.cut_lineage(spark.range(50).select(F.col("id").cast("string").alias("token")))
+    expected = [session.is_small(rows, most, size) for most, size in ((50, 1 << 20), (49, 1 << 20), (50, 10))]
+    limit = type(rows).limit  # first() takes one row of the counts
+    monkeypatch.setattr(type(rows), "limit", lambda frame, n: limit(frame, n) if n == 1 else pytest.fail("rows are moved"))
+    assert [session.is_small(rows, most, size, written=True) for most, size in ((50, 1 << 20), (49, 1 << 20), (50, 10))] == expected == [True, False, False]
+    assert skew.lookup_join(rows, rows.withColumn("n", F.lit(1)), "token", 10, written=True).where("n = 1").count() == 50
+    assert session.is_small(rows.where("false"), 0, written=True)
