@@ -31,7 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Pairs come from SimHashes that differ in three bits at most, then from minima; they count at Jaccard 0.8 or more of five-word shingles.
     """
     bound_batches(spark, BATCH_BYTES)
-    return near_copies.deduplicate(docs)
+    with passing_tables(spark) as lasting:
+        return near_copies.deduplicate(docs, lasting)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ least AGREE of their 120 minima agree: of similar pairs, one in a million has fe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.llm import components, simhash
 from mailrisk.llm.common import as_bytes, pieces
-from mailrisk.session import cut_lineage, passing_tables, release_memory
+from mailrisk.session import cut_lineage, release_memory
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is exact.
@@ -344,7 +344,6 @@ def groups(documents: DataFrame) -> DataFrame:
     return marked.join(known, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
-    """One document of each group: which one, and what happens to odd rows, is as in `simhash.deduplicate`."""
-    with passing_tables(documents.sparkSession) as lasting:
-        return simhash.one_of_each(documents, groups(documents), lasting)
+def deduplicate(documents: DataFrame, write: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """One document of each group: which one, and what happens to odd rows, is as in `simhash.deduplicate`; `write` as in `simhash.one_of_each`."""
+    return simhash.one_of_each(documents, groups(documents), write)
