@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +11,15 @@ import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from mailrisk.functions import exprs, grams
-from mailrisk.operators import ngrams
+from mailrisk.operators import logistic, ngrams
 from mailrisk.operators.signals import emit
 from mailrisk.operators.skew import SMALL_ROWS, lookup_join
 from mailrisk.schemas import MIN_TOKENS
@@ -69,25 +69,46 @@ def term_counts(df: DataFrame, text_col: str, features: int) -> DataFrame:
     and handed on a few texts at a time.
     """
     kept = df.drop("tf")
-    names = kept.columns
-    schema = StructType([*kept.schema.fields, StructField("tf", VectorUDT())])
-    bound_batches(df.sparkSession)
     bound_reads(df.sparkSession)
-    lowered = kept.withColumn("_lowered", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    return _with_terms(kept, text_col, [StructField("tf", VectorUDT())], lambda texts: [grams.sparse_vectors(texts, 2 * features)])
+
+
+def _with_terms(df: DataFrame, text_col: str, added: list[StructField], make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """df and the columns that `make` gives for its lower-case texts, a few at a time."""
+    names = df.columns
+    bound_batches(df.sparkSession)
+    lowered = df.withColumn("_lowered", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in grams.parts(batch, len(names)):
-                vectors = grams.sparse_vectors(part.column(len(names)), 2 * features)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], vectors], names=[*names, "tf"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.column(len(names)))], names=[*names, *[f.name for f in added]])
 
-    return lowered.mapInArrow(run, schema)
+    return lowered.mapInArrow(run, StructType([*df.schema.fields, *added]))
 
 
 def urgency_features(df: DataFrame, text_col: str = "text", features: int = 1 << 18) -> DataFrame:
-    """Feature vectors of a corpus, weighted by document frequency in that corpus."""
-    terms = cut_lineage(term_counts(df, text_col, features))
-    return IDF(inputCol="tf", outputCol="features").fit(terms).transform(terms).select(*df.columns, "features")
+    """Feature vectors of a corpus, weighted by document frequency in that corpus.
+
+    The texts are read twice: to count in how many each column occurs, and to make the vectors, which are not written.
+    """
+    width = 2 * features
+
+    def having(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(width + 1)
+        for batch in batches:
+            for part in grams.parts(batch, 0):
+                found = grams.batch_counts([t.as_py() or "" for t in part.column(0)], width)
+                out[:-1] += np.bincount(np.concatenate([c for c, _ in found]), minlength=width)
+                out[-1] += len(found)
+        return out
+
+    bound_batches(df.sparkSession)
+    found = logistic.total(df.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_lowered")), having)
+    if len(found) == 1 or not found[-1]:
+        raise ValueError("there is no text")
+    idf = df.sparkSession.sparkContext.broadcast(logistic.inverse_frequencies(found[-1], found[:-1]))
+    return _with_terms(df, text_col, [StructField("features", VectorUDT())], lambda texts: [grams.sparse_vectors(texts, width, idf.value)])
 
 
 def count_entries(df: DataFrame, key: str, vector_col: str = "features") -> DataFrame:
@@ -106,21 +127,28 @@ def count_entries(df: DataFrame, key: str, vector_col: str = "features") -> Data
 def fit_urgency(
     train: DataFrame, text_col: str = "text", label_col: str = "label",
     features: int = 1 << 18, max_iter: int = 20,
-) -> PipelineModel:
-    """Fit the urgency classifier on labelled mail. Term counts are written once, fitting reads them several times."""
+) -> logistic.TermModel:
+    """Fit the urgency classifier on labelled mail. Term counts are written once, packed; fitting reads them several times."""
     labelled = train.where(F.col(label_col).isNotNull()).select(
-        text_col, F.col(label_col).cast("double").alias("label")
+        F.col(label_col).cast("double").alias("label"), F.col(text_col).alias("_text")
     )
-    terms = cut_lineage(term_counts(labelled, text_col, features).select("label", "tf"))
-    last = LogisticRegression(maxIter=max_iter, regParam=0.01, featuresCol="features", labelCol="label")
-    return Pipeline(stages=[IDF(inputCol="tf", outputCol="features"), last]).fit(terms)
+    fields = [StructField(c, BinaryType()) for c in ("low", "high", "times")]
+    bound_reads(train.sparkSession)
+    terms = cut_lineage(_with_terms(labelled, "_text", fields, lambda texts: grams.packed(texts, 2 * features)).drop("_text"))
+    return logistic.fit(terms, 2 * features, max_iter)
+
 
+def score_urgency(model: logistic.TermModel | PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add `urgency`, the probability that a text presses the reader. Each text is scored where it is read; no vectors are made.
 
-def score_urgency(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add `urgency`, the probability that a text presses the reader."""
-    columns = model.stages[-1].numFeatures
-    scored = model.transform(term_counts(df, text_col, columns // 2))
-    return scored.select(*df.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("urgency"))
+    A pipeline of the library's IDF and logistic regression over `term_counts` scores as well.
+    """
+    if isinstance(model, PipelineModel):
+        idf, last = model.stages[-2:]
+        model = logistic.TermModel(idf.idf.toArray() * last.coefficients.toArray(), last.intercept)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return _with_terms(df.drop("urgency"), text_col, [StructField("urgency", DoubleType())], lambda texts: [
+        pa.array(shared.value.probabilities([t.as_py() or "" for t in texts]))])
 
 
 def heldout_accuracy(scored: DataFrame, label_col: str = "label") -> float:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk.operators import body, headers, intel, links, lookups, observations, results, scoring
+from mailrisk.operators.logistic import TermModel
 from mailrisk.operators.messages import assemble_messages, decode_messages
 from mailrisk.schemas import LAYERS, MIN_TOKENS, SIGNALS, TOTAL_BUDGET_S
 from mailrisk.session import cut_lineage
@@ -54,7 +55,7 @@ class Records:
     dns: DataFrame | None = None
     networks: DataFrame | None = None
     language_model: DataFrame | None = None
-    urgency_model: PipelineModel | None = None
+    urgency_model: TermModel | PipelineModel | None = None
     fusion_model: PipelineModel | None = None
 
 
